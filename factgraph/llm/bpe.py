@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from itertools import chain
@@ -22,11 +23,14 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
+from tokenizers import Tokenizer
 
 #: Words kept in a worker's table of encoded words; the table is emptied when it is full.
 MAX_WORDS = 400_000
 #: Characters that match \s in a tokenizer file's patterns.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+#: Beyond these characters a text may hold ones that are newer than Python's character tables; the library's own tables then split it.
+BEYOND = re.compile("[^\x00-\u0557]").search
 #: Fixed value: the split pattern of byte-level tokenizers that name none in their file.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -71,7 +75,8 @@ class PairIndexBpe:
         self.last = {c: self.vocab.get(c + self.suffix) for c in self.bytes}
         names = {i: t for t, i in chain(self.vocab.items(), self.special.items())}
         self.names = np.array([names.get(i, "") for i in range(max(names) + 1)], dtype=object)
-        back = {c: b for b, c in enumerate(self.bytes)}
+        self.back = back = {c: b for b, c in enumerate(self.bytes)}
+        self.library = Tokenizer.from_file(path)
         self.raw = np.array([bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t in self.names], dtype=object) if self.joins_bytes else None
         self.known: dict[str, bytes] = {}
 
@@ -80,6 +85,14 @@ class PairIndexBpe:
             text = unicodedata.normalize("NFC", text)
         return text.replace("Σ", "σ").lower() if self.lower else text  # sigma: by character, not by word
 
+    def split(self, text: str) -> list[str]:
+        """The words of a text without special tokens."""
+        if BEYOND(text) and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            own = self.library.normalizer
+            shown = self.library.pre_tokenizer.pre_tokenize_str(own.normalize_str(text) if own else text)
+            return [bytes(self.back[c] for c in w).decode() for w, _ in shown]
+        return self.words(self.normalized(text))
+
     def merge_all(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words, as little-endian unsigned 32-bit integers."""
         size, rank, made = self.size, self.rank, self.made
@@ -161,7 +174,7 @@ class PairIndexBpe:
             parts = self.special_split.split(text or "") if self.special_split else [text or ""]
             mine = []
             for k in range(0, len(parts), 2):
-                words = self.words(self.normalized(parts[k])) if parts[k] else []
+                words = self.split(parts[k]) if parts[k] else []
                 fresh.update(w for w in set(words) if w not in known)
                 mine.append((words, self.special[parts[k + 1]].to_bytes(4, "little") if k + 1 < len(parts) else b""))
             pieces.append(mine)
