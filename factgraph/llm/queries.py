@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe
+from factgraph.llm import bpe, mixing
 from factgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,9 +25,13 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode,)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mix_sources": mixing.ORACLE_SQL}

@@ -1,3 +1,5 @@
+import functools
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -12,8 +14,13 @@ FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = ["", "ΣΑΣ ΟΔΟΣ", "a<|endoftext|>b <|startoftext|>", "İstanbul ǅ ﬁ x²½ ⅷ", "é  x\x85y\x1cz", "日本語 🎉🎉", "don't we'll 'S", "x" * 5000, "ab" * 3000, " \t\n\n  z  ", "​﻿᠎"]
 
 
+@functools.cache
+def library_of(name):
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
 def as_library(name, texts):
-    library = Tokenizer.from_file(public_tokenizers.path(name))
+    library = library_of(name)
     ids = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
     return ids, [library.decode(x, skip_special_tokens=False) for x in ids]
 
