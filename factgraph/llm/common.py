@@ -38,3 +38,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def fold(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 5; fold 0 is held out from all training."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, text_col: str = "text", id_col: str = "doc_id") -> list[tuple[str, int]]:
+    """(text, label) of at most per_class rows of each class, none of them of fold 0 or longer than max_chars; in the order of a hash of the id.
+
+    The bound on rows holds before the texts are read: ids are drawn from the labels alone, and only their texts are looked up and brought to the driver.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("id")) != 0))
+    known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("at", F.xxhash64("id"))
+    drawn = None
+    for value in (0, 1):
+        some = known.filter(F.col("label") == value).orderBy("at", "id").limit(per_class)
+        drawn = some if drawn is None else drawn.unionByName(some)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.length("text") <= max_chars)
+    found = texts.join(F.broadcast(drawn), "id").groupBy("id", "at", "label").agg(F.min("text").alias("text")).toPandas()
+    found = found.sort_values(["at", "id"])
+    return list(zip(found["text"].tolist(), found["label"].tolist(), strict=True))
