@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,7 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's files, with its scheme."""
     base = shared_dir(spark)
-    base = base if ":" in base.split("/")[0] else "file://" + base
+    base = re.sub(r"^(file:)?/+", "file:///", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

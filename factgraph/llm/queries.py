@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe, mixing, quality, topk, toxicity
+from factgraph.llm import bpe, media, mixing, quality, topk, toxicity
 from factgraph.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = media.store(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return media.load(media.headers(places)).select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length", "width", "height", "bit_depth"
+    )
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -48,7 +55,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op4_media_columns, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
