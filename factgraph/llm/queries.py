@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe, linededup, media, mixing, neardup, quality, topk, toxicity
+from factgraph.llm import bpe, linededup, media, mixing, neardup, pii, quality, topk, toxicity
 from factgraph.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -63,7 +70,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op4_media_columns, op5_line_dedup, op6_near_duplicates, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
