@@ -58,8 +58,8 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.spans(table(spark, sf_dir, "documents"), keep=["doc_id"])
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"), shown("spans").alias("spans"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
