@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe, linededup, media, mixing, neardup, pii, quality, topk, toxicity
+from factgraph.llm import bpe, idfiles, linededup, media, mixing, neardup, pii, quality, topk, toxicity
 from factgraph.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = idfiles.write(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return idfiles.read(listed).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = media.store(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return media.load(media.headers(places)).select(
@@ -70,7 +75,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op3_id_files, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
 
 
 def oracle_sql() -> dict[str, str]:
