@@ -1 +1 @@
-
+"""Reserved for incremental scans; scans are batch only so far."""
