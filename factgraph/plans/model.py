@@ -5,17 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = 3
 
-SOURCES = T.StructType.fromDDL("id long, path string, sha256 string")
-ASSETS = T.StructType.fromDDL("id long, source_id long, kind string, name string, canonical_name string, attributes map<string,string>")
-RELATIONSHIPS = T.StructType.fromDDL("id long, from_id long, to_id long, type string, origin string")
-EVIDENCE = T.StructType.fromDDL("id long, source_id long, asset_id long, relationship_id long, locator string")
-CONFIGS = T.StructType.fromDDL("name string, owner string, source_root string, domain string, tags array<string>")
-DIAGNOSTICS = T.StructType.fromDDL("code string, message string, path string, locator string")
-FILES = T.StructType.fromDDL("path string, sha256 string")
+# Schemas as DDL text: they need no session to be defined.
+SOURCES = "id long, path string, sha256 string"
+ASSETS = "id long, source_id long, kind string, name string, canonical_name string, attributes map<string,string>"
+RELATIONSHIPS = "id long, from_id long, to_id long, type string, origin string"
+EVIDENCE = "id long, source_id long, asset_id long, relationship_id long, locator string"
+CONFIGS = "name string, owner string, source_root string, domain string, tags array<string>"
+DIAGNOSTICS = "code string, message string, path string, locator string"
+FILES = "path string, sha256 string"
 TABLES = {"sources": SOURCES, "assets": ASSETS, "relationships": RELATIONSHIPS, "evidence": EVIDENCE, "configs": CONFIGS, "diagnostics": DIAGNOSTICS, "files": FILES}
 
 # Kinds that a selector may name, attributes that leave the ledger in a pack, and the limits of a pack.
