@@ -12,10 +12,11 @@ from factgraph.functions.names import normalize_name
 from factgraph.operators import derive, integrity, links, neighborhood, ownership, paths, summary
 from factgraph.plans.model import Ledger
 from factgraph.plans.star import SQL, Star, table
+from factgraph.sources.queries import QUERIES as _EXTRACTION
 
 Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
+_QUERIES: dict[str, Query] = {name: f for name, (f, _) in _EXTRACTION.items()}
+_ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _EXTRACTION.items()}
 
 #: The assets that the single-asset queries ask about, by id: a customer, a supplier, a part, a service.
 CUSTOMER_ASSET, SUPPLIER_ASSET, PART_ASSET, SERVICE_ASSET = 8 * 1 + 1, 8 * 1 + 2, 8 * 1 + 4, 8 * 1
