@@ -32,13 +32,20 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
     number = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")
     sources = at.select(number("phase", "path").alias("id"), "path", "sha256")
     declared = facts.filter("fact = 'asset'").select(F.lit(0).alias("phase"), "path", "ordinal", "kind", "name", "canonical", "attributes", "locator")
+    # a package stands in each of its files: the first keeps it
+    packages = declared.filter("kind = 'package'").groupBy("canonical").agg(F.min_by(F.struct(*declared.columns), "path").alias("p")).select("p.*")
+    declared = declared.filter("kind <> 'package'").unionByName(packages)
     if services:
         rows = [(1, FILENAME, n, "service", name, name, {"owner": owner, "source": source} | ({"domain": domain} if domain else {}) | ({"tags": ",".join(tags)} if tags else {}), f"services.{name}") for n, name, owner, source, domain, tags in services]
         declared = declared.unionByName(spark.createDataFrame(rows, "phase int, path string, ordinal int, kind string, name string, canonical string, attributes map<string,string>, locator string"))
     placed = declared.join(sources.select("path", F.col("id").alias("source_id")), "path").withColumn("id", number("phase", "path", "ordinal"))
     assets = placed.select("id", "source_id", "kind", "name", F.col("canonical").alias("canonical_name"), "attributes")
     ends = placed.select("path", "kind", "canonical", "id")
-    edges = facts.filter("fact = 'edge'").join(ends.toDF("path", "from_kind", "from_canonical", "from_id"), ["path", "from_kind", "from_canonical"])
+    edges = facts.filter("fact = 'edge'")
+    starts = ends.toDF("path", "from_kind", "from_canonical", "from_id")
+    within = edges.filter("from_kind <> 'package'").join(starts, ["path", "from_kind", "from_canonical"])
+    across = edges.filter("from_kind = 'package'").join(starts.filter("from_kind = 'package'").drop("path"), ["from_kind", "from_canonical"])
+    edges = within.unionByName(across)
     edges = edges.join(ends.toDF("path", "to_kind", "to_canonical", "to_id"), ["path", "to_kind", "to_canonical"])
     edges = edges.join(sources.select("path", F.col("id").alias("source_id")), "path").select(F.lit(0).alias("phase"), "path", "ordinal", "from_id", "to_id", "type", "origin", "source_id", "locator")
     if services:

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import hashlib
 import os
+import posixpath
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.sources import ddl, documents
+from factgraph.sources import ddl, documents, golang
 
 # What is listed and what is not, and the bounds of a scan.
 EXTENSIONS = (".json", ".yaml", ".yml", ".sql", ".go")
@@ -27,7 +28,6 @@ FACTS = (
     "from_kind string, from_canonical string, to_kind string, to_canonical string, type string, origin string"
 )
 COLUMNS = [c.split()[0] for c in re.sub(r"<[^>]*>", "", FACTS).split(", ")]
-GENERATED = re.compile(rb"(?m)^// Code generated .* DO NOT EDIT\.$")
 
 
 class ScanError(ValueError):
@@ -83,10 +83,7 @@ def extract(path: str, content: bytes) -> list[dict]:
     add("file", name=hashlib.sha256(content).hexdigest())
     try:
         if path.lower().endswith(".go"):
-            if path.endswith(".go") and GENERATED.search(content):
-                add("gap", kind="generated_file", name="Generated file is listed, not analyzed.", locator="file")
-            else:
-                add("gap", kind="go_not_analyzed", name="Go source is listed; its declarations are not extracted yet.", locator="file")
+            _extract_go(path, content, add)
             return rows
         text = content.decode("utf-8", "replace")
         if path.lower().endswith(".sql"):
@@ -110,6 +107,31 @@ def extract(path: str, content: bytes) -> list[dict]:
     return rows
 
 
+def _extract_go(path: str, content: bytes, add) -> None:
+    span = lambda a, b: f"L{a}-L{b}"
+    file = golang.parse(content.decode("utf-8", "replace"))
+    if file.generated:
+        if path.endswith(".go"):
+            add("gap", kind="generated_file", name="Generated Go source is excluded from semantic analysis.", locator="file")
+        return
+    add("source")
+    package = golang.package_key(path, file.package)
+    attributes = {"directory": posixpath.dirname(path) or ".", "package": file.package, "analysis": "static_source_inventory"}
+    add("asset", kind="package", name=file.package, canonical=package, attributes=attributes, locator=span(file.package_line, file.package_line))
+    for key, name, f in golang.function_keys(path, file):
+        at = span(f.line, f.last_line)
+        own = {"package": file.package, "receiver": f.receiver, "name": f.name, "start_line": str(f.line), "end_line": str(f.last_line)}
+        add("asset", kind="function", name=name, canonical=key, attributes=own, locator=at)
+        add("edge", from_kind="package", from_canonical=package, to_kind="function", to_canonical=key, type="contains", origin="source-derived", locator=at)
+    for name, _, line in file.imports:
+        if name == ".":
+            add("gap", kind="go_dot_import", name="Dot imports cannot be resolved conservatively.", locator=span(line, line))
+    for c in file.constraints:
+        add("gap", kind="go_build_constraints", name="Build constraints are not evaluated; this is a static source inventory, not a deployed build.", locator=span(c.line, c.last_line))
+    if file.functions:
+        add("gap", kind="go_bodies", name="Calls, routes and queries inside functions are not extracted yet.", locator="file")
+
+
 def facts_of(contents: DataFrame) -> DataFrame:
     """The facts of files (path, content)."""
 

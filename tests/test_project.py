@@ -91,3 +91,16 @@ def test_init_makes_only_what_is_missing(spark, tmp_path):
     project = Project(spark, str(tmp_path))
     assert project.init() == [manifest.FILENAME, ".factgraph"] and project.init() == []
     assert project.scan()["candidates"] == 1
+
+
+def test_go_packages_span_files(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.go").write_text(f"package shop\n\nfunc {name.upper()}() {{}}\n")
+    (tmp_path / "a_test.go").write_text("package shop\nfunc Hidden() {}\n")
+    project = Project(spark, str(tmp_path))
+    project.init()
+    assert project.scan()["gaps"] == 2
+    got = project.summary()["assets"]
+    assert (got["package"], got["function"]) == (1, 2)
+    assert {r["name"] for r in project.impact("package:shop")} == {"shop.A", "shop.B"}
+    assert project.verify()["valid"]

@@ -1,6 +1,6 @@
 import pytest
 
-from factgraph.sources import ddl, documents, sqlref
+from factgraph.sources import ddl, documents, golang, scan, sqlref
 
 ACCEPTED = [
     ("SELECT id, name FROM items WHERE id = $1", "", "items", "read"),
@@ -110,3 +110,60 @@ def test_documents_that_stop_a_scan(text):
 def test_yaml_words():
     assert documents.load("on: yes\nb: true\n---\nc: 1") == {"on": "yes", "b": True}
     assert documents.openapi(documents.load("openapi: 3.0")) is None and documents.openapi({}) is None
+
+
+GO = """//go:build linux
+
+// Package shop sells.
+package shop
+
+import (
+	"net/http"
+	. "fmt"
+)
+
+type Store struct{ n int }
+
+const text = `func fake() {
+}`
+
+func init() {}
+func init() { x := "}" ; _ = x }
+
+// List lists.
+func (s *Store) List(w http.ResponseWriter, r *http.Request) error {
+	if s.n > 0 { return nil }
+	return func() error { return nil }()
+}
+
+func (Box[T]) Get() (v T, err error) { return }
+func Map[K comparable, V any](m map[K]V) []V
+var f = func() {}
+"""
+
+
+def test_go_declarations():
+    rows = scan.extract("shop/store.go", GO.encode())
+    functions = [(r["name"], r["canonical"], r["locator"]) for r in rows if r["kind"] == "function" and r["fact"] == "asset"]
+    at = "go_function:shop%2Fstore.go:shop."
+    assert functions == [
+        ("shop.init", f"{at}init:16", "L16-L16"), ("shop.init", f"{at}init:17", "L17-L17"), ("shop.*Store.List", f"{at}*Store.List".replace("*", "*"), "L20-L23"),
+        ("shop.Box.Get", f"{at}Box.Get", "L25-L25"), ("shop.Map", f"{at}Map", "L26-L26"),
+    ]
+    assert [(r["kind"], r["locator"]) for r in rows if r["fact"] == "gap"] == [("go_dot_import", "L8-L8"), ("go_build_constraints", "L1-L1"), ("go_bodies", "file")]
+    assert sum(r["type"] == "contains" for r in rows) == 5
+
+
+def test_go_identity_survives_moved_lines():
+    keys = lambda text: [k for k, _, f in golang.function_keys("a.go", golang.parse(text)) if f.name != "init"]
+    assert keys(GO) == keys("\n\n" + GO)
+
+
+@pytest.mark.parametrize("text", ["", "func f() {}", "package", "package a\nfunc f( {}", "package a\nx := 1", "package a\nfunc () {}", "package a\nvar s = \"open", "package a\nfunc f() { ]"])
+def test_bad_go(text):
+    assert [r["fact"] for r in scan.extract("a.go", text.encode())] == ["file", "error"]
+
+
+def test_generated_go():
+    assert [r["kind"] for r in scan.extract("a.go", b"// Code generated by x. DO NOT EDIT.\npackage a\nfunc F() {}\n")] == [None, "generated_file"]
+    assert len(scan.extract("a.go", b"package a\n// Code generated by x. DO NOT EDIT.\nfunc F() {}\n")) > 3
