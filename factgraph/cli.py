@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from factgraph import __version__
 from factgraph.project import Project
 
-VERBS = {"init": 0, "scan": 0, "ingest": 0, "build": 0, "summary": 0, "verify": 0, "doctor": 0, "explain": 1, "impact": 1, "pack": 1, "path": 2, "version": 0}
+VERBS = {"init": 0, "scan": 0, "ingest": 0, "build": 0, "summary": 0, "verify": 0, "doctor": 0, "explain": 1, "impact": 1, "pack": 1, "path": 2, "ask": 1, "version": 0}
 
 
 def lines(value: object, indent: str = "") -> list[str]:
@@ -30,7 +30,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--project", default=".")
     parser.add_argument("--db")
     parser.add_argument("--format", choices=("text", "json"), default="text")
+    parser.add_argument("--asset", help="what ask is about")
+    parser.add_argument("--provider", default="")
+    parser.add_argument("--model", default="")
+    parser.add_argument("--dry-run", action="store_true", help="ask shows its request; it never sends one")
     args = parser.parse_args(argv)
+    if args.verb == "ask" and not args.asset:
+        parser.error("ask needs --asset")
     if len(args.arguments) != VERBS[args.verb]:
         parser.error(f"{args.verb} takes {VERBS[args.verb]} arguments")
     if args.verb == "version":
@@ -38,7 +44,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     project = Project(spark or SparkSession.builder.appName("factgraph").getOrCreate(), args.project, args.db)
     try:
-        result = project.scan(False) if args.verb == "ingest" else getattr(project, args.verb)(*args.arguments)
+        if args.verb == "ask":
+            result = project.ask(args.arguments[0], args.asset, args.provider, args.model, args.dry_run)
+        else:
+            result = project.scan(False) if args.verb == "ingest" else getattr(project, args.verb)(*args.arguments)
     except (ValueError, LookupError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

@@ -102,7 +102,7 @@ def pack(ledger: Ledger, asset_id: int) -> dict:
             if to == r.asset_id:
                 mine |= of.get(("relationship", rel), set()) | of.get(("asset", service), set())
         who = sorted({(services[s], teams.get(services[s], "")) for to, s, _ in owned if to == r.asset_id and s in services})
-        listed.append({"id": r.stable_id, "kind": r.kind, "name": r.name, "attributes": dict(sorted(r.attributes.items())), "owners": [{"service": s, "team": t} for s, t in who], "evidence_ids": sorted(mine)})
+        listed.append({"id": r.stable_id, "kind": r.kind, "name": r.name, "attributes": dict(sorted(r.attributes.items())), "owners": [{"name": s, "team": t} for s, t in who], "evidence_ids": sorted(mine)})
     related = [{"id": e.stable_id, "from_id": e.from_stable, "to_id": e.to_stable, "type": e.type, "origin": e.origin, "evidence_ids": sorted(of.get(("relationship", e.relationship_id), ()))} for e in edges]
     boundary = admitted.boundary or more
     paths = sorted({p["source"] for p in places.values()})

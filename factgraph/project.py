@@ -9,6 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph import assist
 from factgraph.operators import derive, integrity, links, neighborhood, paths, summary
 from factgraph.plans import store
 from factgraph.plans.model import Ledger
@@ -191,3 +192,8 @@ class Project:
         if issues := self.issues(ledger):
             raise VerifyError("; ".join(issues))
         return neighborhood.pack(ledger, links.resolve(ledger.assets, selector).id)
+
+    def ask(self, question: str, selector: str, provider: str = "", model: str = "", dry_run: bool = True) -> dict:
+        """The request that would ask about an asset's pack; provider and model are the manifest's unless given."""
+        chosen = self.manifest()[0].assistance
+        return assist.prepare(self.pack(selector), question, provider or chosen.get("provider", ""), model or chosen.get("model", ""), dry_run)

@@ -58,6 +58,10 @@ def test_scan_build_path(spark, root, capsys):
     ids = {e["id"] for e in pack["evidence"]}
     assert all(set(x["evidence_ids"]) <= ids and x["evidence_ids"] for x in pack["assets"] + pack["relationships"])
     assert json.dumps(project.pack("listOrders")) == json.dumps(pack)
+    asked = project.ask("What breaks?", "listOrders", "openai", "some-model")
+    assert asked == project.ask("What breaks?", "listOrders", "openai", "some-model") and "listOrders" in asked["body"]["input"]
+    assert main(["ask", "What?", "--asset", "listOrders", "--provider", "openai", "--model", "m", "--project", str(root)], spark) == 1  # neither dry run nor consent
+    capsys.readouterr()
     assert project.doctor()["healthy"]
     assert main(["verify", "--project", str(root), "--format", "json"], spark) == 0 and json.loads(capsys.readouterr().out)["valid"]
 
