@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 #: Words kept in a worker's table of encoded words; the table is emptied when it is full.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 #: Characters that match \s in a tokenizer file's patterns.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Beyond these characters a text may hold ones that are newer than Python's character tables; the library's own tables then split it.
