@@ -22,6 +22,7 @@ from factgraph.llm.common import written
 WEIGHTS = (5, 2, 1)
 PASSES = 3
 SEED = "mix"
+RESULT = ("size", "source_size", "target", "taken")
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -53,28 +54,36 @@ def ranges(rows: int) -> int:
     return 1 << max(4, (4 * int(rows**0.5)).bit_length() - 1)
 
 
-def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """One row per document: the columns to keep, its size, source_size, target and taken."""
-    new = ("size", "source_size", "target", "taken")
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in new]
+def decisions(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(id, source, size, source_size, target, taken, upto), one row per document: what the mix takes of it, without its text."""
     sized = docs.select(
-        F.struct(*map(F.col, kept)).alias("row"),
+        F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
         word_count(F.col(text_col)).alias("size"),
         F.md5(F.concat_ws(":", F.lit(SEED), F.col(id_col).cast("string")).cast("binary")).alias("key"),
-        F.col(id_col).cast("string").alias("id"),
     )
     queued = queues(written(sized, "mix-sized"))
     end = end_of_mix(queued)
     taken = F.lit(0) if end is None else sum((F.when(place_of(p) <= end, F.col("size")).otherwise(0) for p in range(PASSES)), F.lit(0))
-    return queued.select(*(F.col(f"row.{c}").alias(c) for c in kept), "size", "source_size", "target", F.when(F.col("target") > 0, taken).otherwise(0).cast("long").alias("taken"))
+    return queued.select("id", "source", "size", "source_size", "target", F.when(F.col("target") > 0, taken).otherwise(0).cast("long").alias("taken"), "upto")
+
+
+def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs with each document's size, source_size, target and taken. Texts are shuffled once, to meet the decisions; rows alike in id, source and size are numbered on either side."""
+    kept = [c for c in docs.columns if c not in RESULT]
+    wide = docs.select(F.struct(F.lit(0), *map(F.col, kept)).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    alike = Window.partitionBy("id", "source", "size")
+    wide = wide.withColumn("n", F.row_number().over(alike.orderBy(F.lit(0))))
+    made = written(decisions(docs, text_col, id_col, source_col), "mix-decisions").withColumn("n", F.row_number().over(alike.orderBy("upto")))
+    same = [wide[c].eqNullSafe(made[c]) for c in ("id", "source")] + [wide[c] == made[c] for c in ("size", "n")]
+    return wide.join(made, same).select(*(F.col(f"row.{c}").alias(c) for c in kept), *(made[c] for c in RESULT))
 
 
 def place_of(p: int) -> Column:
     """Where the p-th copy stands in the mix; rows without a target stand nowhere."""
     return F.struct(
         F.try_divide(p * F.col("source_size") + F.col("upto"), F.col("target")).alias("finish"), F.col("source").isNull().alias("none"),
-        F.coalesce("source", F.lit("")).alias("source"), F.col("key").alias("key"), F.coalesce("id", F.lit("")).alias("id"), F.col("size").alias("size"),
+        F.coalesce("source", F.lit("")).alias("source"), F.col("key").alias("key"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.col("size").alias("size"),
     )
 
 
@@ -87,10 +96,10 @@ def queues(sized: DataFrame) -> DataFrame:
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("before", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     offsets = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).select(offsets["source"].alias("s"), F.col("range").alias("r"), "before", "source_size", "target", "total")
-    queue = Window.partitionBy("source", "range").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    queue = Window.partitionBy("source", "range").orderBy("key", F.col("id").cast("string"), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = sized.withColumn("within", F.sum("size").over(queue))
     joined = upto.join(offsets, upto["source"].eqNullSafe(offsets["s"]) & (upto["range"] == offsets["r"]))
-    return written(joined.select("row", "source", "size", "key", "id", "source_size", "target", "total", (F.col("before") + F.col("within")).alias("upto")), "mix-queued")
+    return written(joined.select("source", "size", "key", "id", "source_size", "target", "total", (F.col("before") + F.col("within")).alias("upto")), "mix-queued")
 
 
 def end_of_mix(queued: DataFrame) -> Column | None:

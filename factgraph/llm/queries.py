@@ -30,7 +30,7 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixing.decisions(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), *mixing.RESULT)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ CASES = {
 def test_as_brute_force(spark, case):
     rows = CASES[case]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {(r.doc_id, r.size): (r.source_size, r.target, r.taken) for r in mixing.mix(docs, keep=["doc_id"]).collect()}
+    got = {(r.doc_id, r.size): (r.source_size, r.target, r.taken) for r in mixing.mix(docs).collect()}
     assert got == brute(rows)
 
 
