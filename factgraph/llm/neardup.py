@@ -8,7 +8,10 @@ weighted Jaccard similarity; 16 bands of 3 samples put texts into buckets.
 
 Exact copies are one text from the start. In each bucket one text is the hub: in even bands the one that shares most buckets, which
 in a group of copies is the one nearest to all, in odd bands one by a hash that differs from band to band. The others are compared with it alone, by true weighted Jaccard similarity. Those that are not similar to their hub meet again without it, in buckets narrowed by one more
-band, until no bucket holds two; so the pairs compared grow with the texts, not with the square of a bucket. Verified links join texts to classes.
+band, until no bucket holds two. Verified links join texts to classes. Then every bucket whose texts are not all of one class is finished: those outside
+its largest class are compared with all the others of other classes, except pairs that a bound excludes. Two bounds
+hold without exception: similarity is at most the ratio of the total weights, and 1 - similarity is a metric, so two texts whose similarities to the
+bucket's hub lie more than 1 - SIMILAR apart are not similar. So each pair that shares a bucket is in one class, compared, or excluded.
 
 Texts of one to four words are one shingle of all their words. Defined results: a null or empty text (or one of spaces) is similar to no text but
 its equals, null counting as empty; rows that repeat an id are one document, and so in one class; rows without an id have no class; an empty table
@@ -35,6 +38,8 @@ RARE = 0.1
 #: Counters of a row of partial counts, and shingles that are sampled together.
 BLOCK = 1 << 11
 TOGETHER = 200_000
+#: Texts of a bucket that are held while the bucket's others stream past.
+HELD = 256
 
 _rng = np.random.default_rng(20)
 _POWERS = np.cumprod(np.full(1 << 14, 0x9E3779B97F4A7C15, np.uint64), dtype=np.uint64)
@@ -176,7 +181,7 @@ def similarity(a: tuple, b: tuple, idf: np.ndarray) -> float:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
-    """(v, hub, similar) of pairs (v, hub)."""
+    """(v, hub, score, similar) of pairs (v, hub), the score being their similarity."""
     own = texts.select("v", F.col("text").alias("own"))
     hubs = texts.select(F.col("v").alias("hub"), F.col("text").alias("other"))
 
@@ -190,10 +195,11 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
                     known[hub] = shingles(other)
                     if len(known) > 64:
                         known.popitem(last=False)
-                out.append((v, hub, similarity(shingles(mine), known[hub], table) >= least))
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.bool_()))], ["v", "hub", "similar"])
+                score = similarity(shingles(mine), known[hub], table)
+                out.append((v, hub, score, score >= least))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["v", "hub", "score", "similar"])
 
-    return pairs.join(own, "v").join(hubs, "hub").select("v", "hub", "own", "other").mapInArrow(compare, "v long, hub long, similar boolean")
+    return pairs.join(own, "v").join(hubs, "hub").select("v", "hub", "own", "other").mapInArrow(compare, "v long, hub long, score double, similar boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -211,6 +217,98 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def settled(beside: DataFrame, judged: DataFrame, found: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
+    """(v, hub): the links that are missing between components of a bucket. beside has all texts of a bucket but its hub, judged their scores against it.
+
+    The texts outside a bucket's largest component are held in blocks of HELD, and the bucket's texts stream past each block. A pair is looked at in the
+    first band that it shares.
+    """
+    ratio = F.least("weight", "hub_weight") / F.greatest("weight", "hub_weight")
+    scored = beside.join(judged.select("v", "hub", "score"), ["v", "hub"], "left").join(found, "v", "left")
+    # between low and high lies the similarity to the hub
+    placed = scored.select("band", "key", "v", "weight", "bands", F.coalesce("c", "v").alias("c"), F.coalesce("score", F.lit(0.0)).alias("low"), F.coalesce("score", ratio).alias("high"))
+    placed = written(placed, "near-placed")
+    sizes = placed.groupBy("band", "key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key")
+    several = sizes.agg(F.max(F.struct("n", "c")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    several = several.select("band", "key", F.col("most.c").alias("main"), F.ceil((F.col("n") - F.col("most.n")) / HELD).cast("int").alias("blocks"))
+    inside = placed.join(several, ["band", "key"])
+    held = inside.filter("c <> main").withColumn("block", F.pmod(F.xxhash64("v"), "blocks").cast("int")).withColumn("past", F.lit(0))
+    past = inside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("past", F.lit(1))
+    columns = ["band", "key", "block", "past", "v", "weight", "bands", "c", "low", "high", "main", "text"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, at, block, stack = idf.value, None, [], None
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c]
+            return c
+
+        for batch in batches:
+            out = []
+            cells = [column.to_pylist() for column in batch.columns[:-1]]
+            for band, key, part, past, v, weight, keys, c, low, high, main, text in zip(*cells, batch.column(len(columns) - 1), strict=True):
+                if at != (band, key, part):
+                    at, block, stack = (band, key, part), [], None
+                    root.clear()
+                if not past:
+                    block.append((v, weight, keys[:band], c, low, high, shingles(text.as_py())))
+                    continue
+                if not block:
+                    continue
+                if stack is None:
+                    stack = Stack(block, table)
+                    tops = np.array([top(x[3]) for x in block])
+                mine = top(c)
+                open_ = (tops != mine) & ((c == main) | (stack.v < v))
+                open_ &= np.minimum(stack.weight, weight) >= np.maximum(stack.weight, weight) * (least - 1e-6)
+                open_ &= np.maximum(stack.low - high, low - stack.high) <= 1 - least + 1e-6
+                if band and open_.any():
+                    open_ &= ~(stack.keys == np.array(keys[:band])).any(axis=1)
+                if not open_.any():
+                    continue
+                s = shingles(text.as_py())
+                scores = stack.scores(s, weights(s, table))
+                for i in np.nonzero(open_ & (scores >= least - 1e-9))[0]:
+                    if tops[i] != mine and similarity(s, block[i][6], table) >= least:
+                        out.append((v, block[i][0]))
+                        root[int(tops[i])] = mine
+                        tops[tops == tops[i]] = mine
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(2)], ["v", "hub"])
+
+    rows = held.unionByName(past).join(texts, "v").select(columns)
+    return rows.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "past").mapInArrow(link, "v long, hub long")
+
+
+class Stack:
+    """Texts that are compared together: their shingles in one sorted array."""
+
+    def __init__(self, block: list[tuple], idf: np.ndarray):
+        self.v, self.weight = np.array([x[0] for x in block]), np.array([x[1] for x in block])
+        self.keys = np.array([x[2] for x in block], np.int64)
+        self.low, self.high = np.array([x[4] for x in block]), np.array([x[5] for x in block])
+        w = [weights(x[6], idf) for x in block]
+        h = np.concatenate([x[6][0] for x in block])
+        order = np.argsort(h)
+        self.of = np.repeat(np.arange(len(block)), [len(x) for x in w])[order]
+        self.each, self.sums = np.concatenate(w)[order], np.array([x.sum() for x in w])
+        self.h = np.unique(h)
+        self.ends = np.searchsorted(h[order], self.h, "right")
+        self.starts = np.concatenate([[0], self.ends[:-1]])
+
+    def scores(self, s: tuple[np.ndarray, np.ndarray], w: np.ndarray) -> np.ndarray:
+        """The weighted Jaccard similarity of each text with the set s of weights w."""
+        at = np.searchsorted(self.h, s[0])
+        at[at == len(self.h)] = 0
+        known = self.h[at] == s[0]
+        at, mine = at[known], w[known]
+        n = self.ends[at] - self.starts[at]
+        place = np.arange(n.sum()) + np.repeat(self.starts[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.empty(0, np.int64)
+        both = np.bincount(self.of[place], np.minimum(self.each[place], np.repeat(mine, n)), len(self.sums))
+        return both / (self.sums + w.sum() - both)
+
+
 def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILAR) -> DataFrame:
     """(id, class_id): one row per id, the class being the least id in it."""
     spark: SparkSession = docs.sparkSession
@@ -248,12 +346,16 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lea
         judged = written(verified(pairs, texts, idf, least), f"near-judged-{narrowing}")
         good = judged.filter("similar").select("v", "hub")
         links = good if links is None else links.unionByName(good)
+        if narrowing == 0:
+            first_beside, first_judged = beside, judged
         narrowing += 1
         if narrowing == BANDS:
             break
         rest = beside.join(good, ["v", "hub"], "left_anti")
         again = F.xxhash64("key", F.get("bands", (F.col("band") + narrowing) % BANDS))
         members = written(rest.select("v", "weight", "bands", "known", "band", again.alias("key")), f"near-members-{narrowing}")
+    if links is not None:
+        links = links.unionByName(written(settled(first_beside, first_judged, components(links), texts, idf, least), "near-settled"))
     joined = ids.join(copies.select("digest", "rep"), "digest").filter("v <> rep").select("v", F.col("rep").alias("hub"))
     links = joined if links is None else links.unionByName(joined)
     found = components(links)

@@ -55,6 +55,28 @@ def test_groups_and_odd_rows(spark):
     assert neardup.classes(docs.limit(0)).count() == 0
 
 
+def test_chains_and_groups_at_the_threshold(spark):
+    """Texts that are similar to one another but not to the hub of their bucket."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 5))
+    rows = []
+    for _ in range(6):
+        text = [word() for _ in range(200)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(text)))
+            for _ in range(4):
+                text[rng.integers(200)] = word()
+    for _ in range(2):
+        base = [word() for _ in range(200)]
+        for _ in range(60):
+            text = list(base)
+            for _ in range(rng.integers(2, 6)):
+                text[rng.integers(200)] = word()
+            rows.append((len(rows), " ".join(text)))
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: r.class_id for r in got.collect()} == brute(rows)
+
+
 def test_sampling_estimates_similarity():
     idf = np.zeros(1 << neardup.COUNTERS, np.float32)
     a = neardup.shingles(" ".join(f"w{i}" for i in range(400)))
