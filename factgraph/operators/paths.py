@@ -20,7 +20,7 @@ def steps(relationships: DataFrame, assets: DataFrame) -> DataFrame:
     return relationships.join(ends, "to_id").select("from_id", "to_id", F.struct("type", "origin", "kind", "name", "id", "from_id", "to_id").alias("step"))
 
 
-def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal: int, most: int = 100) -> DataFrame:
+def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal: int) -> DataFrame:
     """(step, from_id, to_id, type, origin, kind, name, relationship_id): no rows from an asset to itself; LookupError where the goal can't be reached."""
     spark = relationships.sparkSession
     schema = "step long, from_id long, to_id long, type string, origin string, kind string, name string, relationship_id long"
@@ -29,7 +29,8 @@ def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal:
     edges = steps(relationships, assets)
     reached = spark.createDataFrame([(start, [])], f"id long, path array<{STEP}>")
     visited = reached.select("id")
-    for level in range(most):
+    level = 0
+    while True:
         ahead = edges.join(reached.withColumnRenamed("id", "from_id"), "from_id").join(visited.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
         ahead = ahead.groupBy(F.col("to_id").alias("id")).agg(F.min(F.concat("path", F.array("step"))).alias("path"))
         reached = written(ahead, f"path-{level}")
@@ -39,4 +40,7 @@ def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal:
         if reached.isEmpty():
             break
         visited = visited.unionByName(reached.select("id"))
+        level += 1
+        if level % 16 == 0:  # a long search reads few folders
+            visited = written(visited, f"visited-{level}")
     raise LookupError(f"no directed path from {start} to {goal}")
