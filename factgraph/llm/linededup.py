@@ -1,16 +1,23 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
-A line is parsed to a fixed depth: its number of tokens, its leading tokens, then a leaf that holds templates. Tokens with a digit or an @ are variable
-fields and become <*>, at every level; a template is the leaf's line with its variable fields generalised, and lines meet in it only if their constant
-tokens are equal. A template found in at least MIN_DOCS documents recurs: it stays where it is found first, in the lowest document, and all its other
-lines are dropped. Lines of fewer than MIN_TOKENS tokens or MIN_CONSTANT constant ones are no templates and stay.
+A line's tokens are parsed to a fixed depth: their number, then the LEADING first of them, then a leaf that holds templates. Tokens with a digit or an @
+are variable fields from the start and become <*>, at every level (but not longer ones than MASKED characters, such as a whole line of a script without
+spaces). Within a leaf the lines that differ are generalised by position: a token stays if at least CONSTANT different lines of the leaf have it at
+its place, and becomes a field otherwise. Where this gives a template of at least LEAST_FIXED constant tokens, FIXED of all, that is found in GENERAL_DOCS
+documents, it is the line's template; else the line as it is (with its masked tokens) is. So a field may be any word, and lines meet in a
+template only if all its constant tokens agree.
 
-Lines travel as two 64-bit hashes of their path and template. Counting combines before the shuffle, so a line that fills a third of the corpus is one
-row a task. Recurring templates are broadcast when they are counted and few, and joined by their hash otherwise, where large partitions can be split.
+A template that is found in enough documents recurs: it stays where it is found first, in the lowest document, and all its other lines are dropped. How
+many are enough depends on what is constant in it: 2 documents from LONG characters on; 3 for lines of 3 tokens with 2 constant ones, or of LINE constant
+characters; SHORT_DOCS for shorter lines of at least SHORT constant characters. Lines with less in them stay.
+
+Lines travel as 64-bit hashes of their leaf and template, and with a 32-bit hash of each token. Counting combines before the shuffle, so a line that fills
+a third of the corpus is one row a task, and only one line of each kind, from leaves that hold CONSTANT different ones, is generalised. Recurring
+templates, leaves and constants are broadcast where they are counted and few, and joined by their hash otherwise, where large partitions can be split.
 
 Defined results: null and empty texts stay as they are; a text whose lines all go is empty (whole rows can be left out by the caller: dropped = lines);
-rows that repeat id and text count as documents each and keep the same lines; an empty table gives an empty result; other columns are kept unless a
-result column has their name.
+rows that repeat id and text count as documents each and keep the same lines; a null id is the lowest; an empty table gives an empty result; other
+columns are kept unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -20,71 +27,125 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.common import written
 
-MIN_DOCS = 3
-MIN_TOKENS = 3
-MIN_CONSTANT = 2
 LEADING = 2
-#: Recurring templates that are few enough to be broadcast: a row takes about 60 bytes.
+CONSTANT = 3
+LEAST_FIXED, FIXED, GENERAL_DOCS = 4, 0.8, 3
+LONG, LINE, SHORT = 100, 12, 4
+LONG_DOCS, LINE_DOCS, SHORT_DOCS = 2, 3, 20
+MASKED = 32
+#: Rows that are few enough to be broadcast: a row takes about 60 bytes.
 FEW = 100_000
-GAP = r"[\x09-\x0D\x20]+"
-VARIABLE = r"[^\x09-\x0D\x20]*[0-9@][^\x09-\x0D\x20]*"
-
-
-def template(line: Column) -> Column:
-    """The line's tokens, one space apart, its variable fields generalised."""
-    return F.trim(F.regexp_replace(F.regexp_replace(line, GAP, " "), VARIABLE, "<*>"))
-
+SOLID = r"[^\x09-\x0D\x20]"
+GAP = r"[\x09\x0B-\x0D\x20]+"
+VARIABLE = rf"(?<!{SOLID})(?={SOLID}{{1,{MASKED}}}(?!{SOLID}))[^\x09-\x0D\x200-9@]*+[0-9@]{SOLID}*+"
+PLACE = ("id", "row", "pos")
 
-def is_template(line: Column) -> Column:
-    tokens = F.split(line, " ")
-    return (F.size(tokens) >= MIN_TOKENS) & (F.size(F.filter(tokens, lambda t: t != "<*>")) >= MIN_CONSTANT)
 
-
-def place(line: Column) -> Column:
-    """The hashes of the template's place in the tree: of the path to its leaf with the template, and of the template alone."""
-    tokens = F.split(line, " ")
-    path = F.xxhash64(F.size(tokens), F.slice(tokens, 1, LEADING), line)
-    return F.struct(path.alias("a"), F.xxhash64(F.lit("leaf"), line).alias("b"))
+def tokens(text: Column) -> Column:
+    """The tokens of each line, variable fields as <*>."""
+    masked = F.regexp_replace(F.regexp_replace(text, GAP, " "), VARIABLE, "<*>")
+    return F.transform(F.split(masked, "\n"), lambda line: F.split(F.trim(line), " "))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """(id, row, a, b, pos, lead): each line that is a template; lead marks a template's first line in its document."""
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(template(x).alias("t"), i.alias("i"))), lambda x: is_template(x["t"]))
-    placed = rows.select("id", "row", F.sort_array(F.transform(lines, lambda x: F.struct(place(x["t"]).alias("p"), x["i"].alias("i")))).alias("x"))
-    lead = F.transform("x", lambda e, i: F.struct(e["p"]["a"].alias("a"), e["p"]["b"].alias("b"), e["i"].alias("pos"), ((i == 0) | (F.get("x", i - 1)["p"] != e["p"])).cast("int").alias("lead")))
-    return placed.select("id", "row", F.inline(lead))
-
-
-def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(id, row, pos, leaf, line, need, parts, lead): each line that may recur; lead marks the first of its equals in its document."""
+
+    def judged(t: Column, i: Column) -> Column:
+        fixed = F.filter(t, lambda x: x != "<*>")
+        return F.struct(t.alias("t"), i.alias("pos"), F.size(fixed).alias("fixed"), F.length(F.array_join(fixed, "")).alias("chars"))
+
+    def placed(x: Column) -> Column:
+        t, chars = x["t"], x["chars"]
+        need = F.when(chars >= LONG, LONG_DOCS).when((F.size(t) >= 3) & (x["fixed"] >= 2) | (chars >= LINE), LINE_DOCS).otherwise(SHORT_DOCS)
+        parts = F.when(x["fixed"] >= LEAST_FIXED, F.transform(t, lambda w: F.when(w == "<*>", 0).otherwise(F.hash(w))))
+        key = F.struct(F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.xxhash64(F.lit("line"), t).alias("line"))
+        return F.struct(key.alias("key"), x["pos"].alias("pos"), need.cast("byte").alias("need"), parts.alias("parts"))
+
+    lines = F.filter(F.transform(tokens(F.col("text")), judged), lambda x: x["chars"] >= SHORT)
+    sorted_ = rows.select("id", "row", F.sort_array(F.transform(lines, placed)).alias("x"))
+    lead = lambda e, i: ((i == 0) | (F.get("x", i - 1)["key"] != e["key"])).cast("int").alias("lead")
+    return sorted_.select("id", "row", F.inline(F.transform("x", lambda e, i: F.struct(e["pos"].alias("pos"), e["key"]["leaf"].alias("leaf"), e["key"]["line"].alias("line"), e["need"].alias("need"), e["parts"].alias("parts"), lead(e, i)))))
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, which is written, with a hint to broadcast it if it is counted and small."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def generalised(lines: DataFrame, found: DataFrame) -> DataFrame | None:
+    """(leaf, line, first) of the lines whose generalised template recurs, first being where that is found first."""
+    leaves = written(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT).select("leaf"), "lines-leaves")
+    if leaves.isEmpty():
+        return None
+    kinds = lines.filter("parts is not null").join(few(leaves), "leaf").groupBy("leaf", "line").agg(F.any_value("parts").alias("parts"))
+    kinds = written(kinds, "lines-kinds")
+    words = kinds.select("leaf", "line", F.posexplode("parts").alias("at", "word")).filter("word <> 0")
+    constant = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT).select("leaf", "at", "word")
+    constant = written(constant, "lines-constant")
+    kept = words.join(few(constant), ["leaf", "at", "word"]).groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("at", "word")).alias("shape"), F.count(F.lit(1)).alias("fixed"))
+    size, solid = F.size("parts"), F.size(F.filter("parts", lambda w: w != 0))
+    shaped = kinds.join(kept, ["leaf", "line"]).filter((F.col("fixed") < solid) & (F.col("fixed") >= F.greatest(F.lit(LEAST_FIXED), F.ceil(size * FIXED))))
+    shaped = written(shaped.select("leaf", "line", "shape", "fixed"), "lines-shaped")
+    if shaped.isEmpty():
+        return None
+    shaped = few(shaped)
+    template = ["leaf", "shape", "fixed"]
+    met = lines.join(shaped, ["leaf", "line"]).groupBy(*template, *PLACE).agg(F.count(F.lit(1)).alias("n"))  # n: rows alike
+    met = met.groupBy(*template, "id", "row").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
+    recur = met.groupBy(*template).agg(F.sum("n").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter(F.col("n") >= GENERAL_DOCS)
+    return written(shaped.join(recur, template).select("leaf", "line", "first"), "lines-general")
+
+
+def recurring(lines: DataFrame) -> DataFrame:
+    """(leaf, line, first) of all lines whose template recurs."""
+    found = written(lines.groupBy("leaf", "line").agg(F.sum("lead").alias("n"), F.max("need").alias("need"), F.min(F.struct(*PLACE)).alias("first")), "lines-found")
+    alike = found.filter("n >= need").select("leaf", "line", "first")
+    general = generalised(lines, found)
+    if general is not None:
+        alike = general.unionByName(alike.join(general, ["leaf", "line"], "left_anti"))
+    return written(alike, "lines-recurring")
+
+
+def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """docs (or the columns to keep of it) with the text without dropped lines, and the numbers of lines and of dropped lines."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("lines", "dropped", text_col)]
+    shown = [c for c in (docs.columns if keep is None else keep) if c not in ("lines", "dropped")]
+    kept = [c for c in shown if c != text_col]
     rows = docs.select(F.struct(F.lit(0), *map(F.col, kept)).alias("kept"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("row", F.xxhash64(F.col("id").cast("string"), "text"))
     lines = written(parsed(rows), "lines-parsed")
-    found = lines.groupBy("a", "b").agg(F.sum("lead").alias("n"), F.min(F.struct("id", "row", "pos")).alias("first"))
-    recur = written(found.filter(F.col("n") >= min_docs).select("a", "b", "first"), "lines-recurring")
-    recur = F.broadcast(recur) if recur.count() <= FEW else recur
-    gone = lines.join(recur, ["a", "b"]).filter(~F.struct("id", "row", "pos").eqNullSafe(F.col("first")))
+    gone = lines.join(few(recurring(lines)), ["leaf", "line"]).filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("pos").alias("gone"))
     rows = rows.join(gone, (F.col("row") == F.col("gone_row")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
     split = F.split("text", "\n")
-    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
     return rows.select(
-        *(left.alias(c) if c == text_col else F.col(f"kept.{c}").alias(c) for c in (docs.columns if keep is None else keep) if c not in ("lines", "dropped")),
-        *([] if text_col in (docs.columns if keep is None else keep) else [left.alias(text_col)]),
+        *(left.alias(c) if c == text_col else F.col(f"kept.{c}").alias(c) for c in shown),
+        *([] if text_col in shown else [left.alias(text_col)]),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("dropped"),
     )
 
 
-#: The same dedup in DuckDB's SQL, over the view documents; templates are compared as they are, not by hash.
+#: The same dedup in DuckDB's SQL, over the view documents; lines and tokens are compared as they are, not by hash.
 ORACLE_SQL = """
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
 l AS (SELECT n, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
-t AS (SELECT *, trim(regexp_replace(regexp_replace(line, '[\\x09-\\x0D\\x20]+', ' ', 'g'), '[^\\x09-\\x0D\\x20]*[0-9@][^\\x09-\\x0D\\x20]*', '<*>', 'g')) AS template FROM l),
-k AS (SELECT * FROM t WHERE len(string_split(template, ' ')) >= 3 AND len(list_filter(string_split(template, ' '), lambda x: x <> '<*>')) >= 2),
-r AS (SELECT template, min({'d': doc_id, 'p': pos}) AS lowest FROM k GROUP BY template HAVING count(DISTINCT n) >= 3),
-g AS (SELECT k.n, k.pos FROM k JOIN r USING (template) WHERE NOT (k.doc_id = lowest.d AND k.pos = lowest.p)),
+t AS (SELECT n, doc_id, pos, list_transform(string_split(trim(regexp_replace(line, '[\\x09-\\x0D\\x20]+', ' ', 'g')), ' '),
+                                            lambda w: CASE WHEN regexp_matches(w, '[0-9@]') AND length(w) <= 32 THEN '<*>' ELSE w END) AS t FROM l),
+f AS (SELECT *, list_filter(t, lambda w: w <> '<*>') AS fixed FROM t),
+c AS (SELECT *, length(array_to_string(fixed, '')) AS chars, {'n': len(t), 'lead': t[1:2]} AS leaf FROM f),
+k AS (SELECT *, CASE WHEN chars >= 100 THEN 2 WHEN len(t) >= 3 AND len(fixed) >= 2 OR chars >= 12 THEN 3 ELSE 20 END AS need FROM c WHERE chars >= 4),
+found AS (SELECT t, any_value(leaf) AS leaf, any_value(fixed) AS fixed, any_value(need) AS need, count(DISTINCT n) AS docs, min({'d': doc_id, 'p': pos}) AS lowest FROM k GROUP BY t),
+several AS (SELECT leaf FROM found GROUP BY leaf HAVING count(*) >= 3),
+words AS (SELECT leaf, t, unnest(t) AS word, generate_subscripts(t, 1) AS place FROM found SEMI JOIN several USING (leaf) WHERE len(fixed) >= 4),
+constant AS (SELECT leaf, place, word FROM words WHERE word <> '<*>' GROUP BY leaf, place, word HAVING count(*) >= 3),
+shaped AS (SELECT leaf, t, list({'at': place, 'word': word} ORDER BY place) AS shape FROM words JOIN constant USING (leaf, place, word) GROUP BY leaf, t
+           HAVING count(*) < len(list_filter(t, lambda w: w <> '<*>')) AND count(*) >= greatest(4, ceil(len(t) * 0.8))),
+general AS (SELECT leaf, shape, min({'d': doc_id, 'p': pos}) AS lowest FROM k JOIN shaped USING (leaf, t) GROUP BY leaf, shape HAVING count(DISTINCT n) >= 3),
+r AS (SELECT t, lowest FROM shaped JOIN general USING (leaf, shape)
+      UNION ALL SELECT t, lowest FROM found WHERE docs >= need AND t NOT IN (SELECT t FROM shaped JOIN general USING (leaf, shape))),
+g AS (SELECT k.n, k.pos FROM k JOIN r USING (t) WHERE NOT (k.doc_id = lowest.d AND k.pos = lowest.p)),
 s AS (SELECT l.n, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (WHERE g.pos IS NULL), '') AS text, count(*) AS lines, count(g.pos) AS dropped
       FROM l LEFT JOIN g ON l.n = g.n AND l.pos = g.pos GROUP BY l.n)
 SELECT d.doc_id, s.text, coalesce(s.lines, 0)::BIGINT AS lines, coalesce(s.dropped, 0)::BIGINT AS dropped FROM d LEFT JOIN s USING (n)
