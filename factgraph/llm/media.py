@@ -2,13 +2,15 @@
 
 A payload is a text's UTF-8 bytes, zero-padded to a positive multiple of 64, kept losslessly as an 8-bit greyscale PNG of width 64. Each task appends its
 payloads to tar shards of its own in the shared folder, under the payload's sha256 as name; a payload that its shard holds already is not stored again,
-and its row points at the stored one. Rows carry shard, offset, length and digest; content_index() names one place per digest over all shards.
-Reading goes by ranges: the first bytes of a member give the metadata columns, its whole range the payload and its features.
+and its row points at the stored one. Where several tasks have stored a payload, content_index() names its one place, and all its rows point there, so
+that a digest has one address over the whole table; what the other tasks stored of it is never read. Rows carry shard, offset, length and digest. Reading
+goes by ranges: the first bytes of a member give the metadata columns, its whole range the payload and its features.
 
 A shard's name carries the task attempt, and rows come only from the attempt that succeeded, so a lost executor leaves an orphan file and no wrong row.
+Shard and offset depend on the run, all other columns on the text alone.
 
-Defined results: a null text is stored as the empty one; repeated rows share a stored payload within a shard and have equal values everywhere; an
-empty table writes no shard; other columns are kept unless a result column has their name.
+Defined results: a null text is stored as the empty one; rows of equal texts have equal values in all columns, the place too; an empty table writes no
+shard; other columns are kept unless a result column has their name.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ SIGNATURE = b"\x89PNG\r\n\x1a\n"
 PLACE = "digest string, shard string, offset long, length long, n_bytes long"
 META = "media_type string, width long, height long, bit_depth int"
 READ = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Payloads with several places that are few enough to be broadcast: a row takes about 300 bytes.
+FEW = 100_000
 #: Members whose values a reading task keeps for rows that point at the same place.
 KEPT_MEMBERS = 10_000
 
@@ -147,7 +151,7 @@ def store(docs: DataFrame, base: str | None = None, text_col: str = "text", keep
         return row, writer.close
 
     places = extended(read, PLACE, step)
-    return written(places if keep is None else places.select(*(c for c in keep if c in places.columns), *(f.name for f in fields(PLACE))), "media-places")
+    return settled(written(places if keep is None else places.select(*(c for c in keep if c in places.columns), *(f.name for f in fields(PLACE))), "media-places"))
 
 
 class Ranges:
@@ -223,5 +227,18 @@ def load(places: DataFrame) -> DataFrame:
 
 
 def content_index(places: DataFrame) -> DataFrame:
-    """(digest, shard, offset, length): one place for each payload, the first by shard and offset."""
-    return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    """(digest, shard, offset, length, places): one place for each payload, the first by shard and offset, and how many it has been stored at."""
+    at = places.select("digest", "shard", "offset", "length").distinct()  # combined before the shuffle: a hot digest is a row a task
+    return at.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count(F.lit(1)).alias("places")).select("digest", "at.*", "places")
+
+
+def settled(places: DataFrame) -> DataFrame:
+    """places with each row at its payload's one place. Only payloads that have several are joined, broadcast where they are counted and few."""
+    moved = content_index(places).filter("places > 1")
+    moved = written(moved.select(F.col("digest").alias("moved_digest"), F.struct("shard", "offset", "length").alias("moved_to")), "media-moved")
+    moved = F.broadcast(moved) if moved.count() <= FEW else moved
+    columns = places.columns
+    rows = places.select(F.col("digest").alias("own_digest"), F.struct("shard", "offset", "length").alias("own"), F.struct(*columns).alias("row"))
+    joined = rows.join(moved, F.col("own_digest") == F.col("moved_digest"), "left").withColumn("place", F.coalesce("moved_to", "own"))
+    new = ("shard", "offset", "length")
+    return joined.select(*(F.col(f"place.{c}" if c in new else f"row.`{c}`").alias(c) for c in columns))
