@@ -5,21 +5,24 @@ and a box, sum(max(q * low, q * high)) bounds every inner product inside; the se
 bound left is below the k-th score. A first pass searches each query in its own shard; the k-th score found there goes along to all other shards,
 so that they start with it. Scores are integers, hence exact, and a bound that equals the k-th score is still searched, for the tie.
 
-Queries meet shards in blocks, so that a task holds one shard and one block whatever the size of the table. This is the stated search of a query set
-against all rows, not a join of rows with rows; each shard returns k rows a query at most.
+A shard's vectors come first and are made a tree once; all queries of their length then stream past it, so that a task holds one shard whatever the
+number of queries. This is the stated search of a query set against all rows, not a join of rows with rows; each shard returns k rows a query at most,
+and the k best of a query are kept before the shuffle as well as after it.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do null ids or vectors of another length than most
 queries' (inner products need equal lengths: only candidates of a query's own length count); a query's own id is no candidate, also where rows repeat
-it, and its smallest vector asks; other rows that repeat an id count once each; ties go to the smaller id; fewer candidates than k give fewer rows; other columns play no part.
+it, and its smallest vector asks; other rows that repeat an id count once each; ties go to the smaller id; fewer candidates than k give fewer rows; other columns play no part. Scaled components beyond the bound of their vector's
+length n, about 2^31 / sqrt(n), count as that bound, which keeps each inner product below 2^63.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.llm.common import written
@@ -27,9 +30,8 @@ from factgraph.llm.common import written
 SCALE = 1024
 K = 10
 LEAF = 64
-#: Rows of a shard, and queries of a block.
+#: Rows of a shard.
 SHARD_ROWS = 20_000
-BLOCK = 20_000
 LOWEST = -(2**63) + 1
 RESULT = "query_id long, vec_id long, score long"
 
@@ -89,51 +91,64 @@ class KdTree:
         return sorted(best, reverse=True)
 
 
-def stacked(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.int64)
+def bounded(vector: Column) -> Column:
+    """The scaled components, none beyond the bound of the vector's length."""
+    most = F.pow(F.lit(2.0), F.floor((62 - F.ceil(F.log2(F.size(vector)))) / 2))
+    return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, -most), most)))
+
+
+def matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(len(column), -1)
+
+
+def searched(rows: DataFrame, asking: DataFrame, k: int, only_floor: bool) -> DataFrame:
+    """Each shard's answers to the queries of (shard, id, v, dim, floor) that are dealt to it: hits, or only the k-th score of each."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, tree = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            keys = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "asks")], axis=1)
+            edges = [0, *(np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if at != tuple(keys[a, :2]):
+                    at, held, tree = tuple(keys[a, :2]), [], None
+                ids, v = batch.column("id")[a:b].to_numpy(), matrix(batch.column("v")[a:b])
+                if not keys[a, 2]:
+                    held.append((v, ids))
+                elif held:
+                    tree = tree or KdTree(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                    for q, x, floor in zip(ids.tolist(), v, batch.column("floor")[a:b].to_pylist(), strict=True):
+                        found = tree.search(x, q, k, floor)
+                        if not only_floor:
+                            out += [(q, -i, s) for s, i in found]
+                        elif len(found) == k:
+                            out.append((q, 0, found[-1][0]))
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
+
+    mine = rows.select("dim", "shard", F.lit(0).alias("asks"), "id", "v", F.lit(LOWEST).alias("floor"))
+    dealt = mine.unionByName(asking.select("dim", "shard", F.lit(1).alias("asks"), "id", "v", "floor"))
+    return dealt.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "asks").mapInArrow(search, RESULT)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by inner product of floor(SCALE * x)."""
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"),
-        F.when(usable(F.col(vector_col)), F.transform(vector_col, lambda x: F.floor(x.cast("double") * SCALE))).alias("v"),
+        F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.when(usable(F.col(vector_col)), bounded(F.col(vector_col))).alias("v"),
     ).filter("v is not null and size(v) > 0 and id is not null")
     rows = written(rows.withColumn("dim", F.size("v")), "topk-rows")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(17)), F.lit(shards)).cast("int"))
-
-    def own_shard(part: pd.DataFrame) -> pd.DataFrame:
-        """The k-th score of each query of a shard within it, or none."""
-        asks = part[part["asks"].astype(bool)]
-        tree = KdTree(stacked(part["v"]), part["id"].to_numpy()) if len(asks) else None
-        floors = []
-        for i, v in zip(asks["id"].tolist(), asks["v"], strict=True):
-            found = tree.search(np.asarray(v, np.int64), i, k, LOWEST)
-            floors.append(found[-1][0] if len(found) == k else LOWEST)
-        return asks[["id", "v"]].assign(floor=np.array(floors, dtype=np.int64))
-
-    queries = rows.groupBy("dim", "shard").applyInPandas(lambda key, part: own_shard(part).assign(dim=int(key[0])), "id long, v array<long>, floor long, dim int")
-    queries = queries.groupBy("id").agg(F.min(F.struct("dim", "v", "floor")).alias("q")).select("id", "q.*")
-    queries = written(queries, "topk-queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    asking = queries.select("dim", F.pmod(F.xxhash64("id", F.lit(23)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.col("id").alias("query_id"), F.col("v").alias("q"), "floor")
-    asked = rows.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", "id", "v")
-
-    def all_shards(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(left) and len(right):
-            tree = KdTree(stacked(left["v"]), left["id"].to_numpy())
-            for q, v, floor in zip(right["query_id"].tolist(), right["q"], right["floor"].tolist(), strict=True):
-                out += [(q, -i, s) for s, i in tree.search(np.asarray(v, np.int64), q, k, floor)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    hits = asked.groupBy("dim", "shard", "block").cogroup(asking.groupBy("dim", "shard", "block")).applyInPandas(all_shards, RESULT)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k)
-    return (
-        hits.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("pos", "hit"))
-        .select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("hit.vec_id").alias("vec_id"), (-F.col("hit.minus")).alias("score"))
-    )
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int"))
+    asks = rows.filter("asks").groupBy("id").agg(F.min(F.struct("dim", "v", "shard")).alias("q")).select("id", "q.*")
+    asks = written(asks, "topk-queries")
+    first = searched(rows, asks.withColumn("floor", F.lit(LOWEST)), k, only_floor=True).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
+    asks = asks.drop("shard").join(written(first, "topk-floors"), "id", "left").withColumn("floor", F.coalesce("floor", F.lit(LOWEST)))
+    asking = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    hits = written(searched(rows, asking, k, only_floor=False), "topk-hits")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: The same search by brute force in DuckDB's SQL, over the view embeddings.

@@ -22,7 +22,6 @@ def searched(spark, rows):
 
 def test_as_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 300)
-    monkeypatch.setattr(topk, "BLOCK", 4)
     rng = np.random.default_rng(3)
     rows = [(i, rng.normal(size=8).round(1).tolist(), "x") for i in range(1000)]
     rows += [(2000 + i, rows[500][1], None) for i in range(400)]  # copies: ties beyond k
@@ -34,3 +33,12 @@ def test_odd_rows(spark):
     assert searched(spark, rows) == brute([r[:2] for r in rows])
     assert searched(spark, []) == []
     assert searched(spark, [(0, [1.0], "a")]) == []
+
+
+def test_components_beyond_the_bound(spark):
+    """Two components: scaled values beyond 2^30 count as 2^30, and no product overflows."""
+    rows = [(0, [3e38, 1.0], "a"), (1, [3e38, 0.0], "b"), (2, [-3e38, 0.0], "c"), (3, [2e6, 5.0], "d"), (4, [1.0, 1.0], "e")]
+    most = 2**30
+    v = {i: [max(-most, min(most, math.floor(1024 * float(np.float32(x))))) for x in e] for i, e, _ in rows}
+    want = sorted(((-sum(a * b for a, b in zip(v[0], v[i], strict=True)), i) for i in v if i), key=lambda x: x)
+    assert searched(spark, rows) == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
