@@ -13,6 +13,7 @@ Defined results: null and empty texts have no spans; repeated rows have equal sp
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 
@@ -189,6 +190,7 @@ class Field:
     def __init__(self, names: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.names, self.weights, self.steps = names, weights, steps
         self.known: dict[str, int] = {}
+        self.held = 0  # characters
         self.scores = np.zeros((3, 0, len(LABELS)), np.float32)
 
     def look_up(self, words: list[str]) -> np.ndarray:
@@ -196,8 +198,10 @@ class Field:
         known = self.known
         new = [w for w in set(words) if w not in known]
         if new:
-            if len(known) + len(new) > 200_000:  # shapes are few; a table this large comes from junk
+            self.held += sum(map(len, new))
+            if len(known) + len(new) > 200_000 or self.held > 20_000_000:  # shapes are few; a table this large comes from junk
                 known.clear()
+                self.held = sum(map(len, set(words)))
                 self.scores = self.scores[:, :0]
                 new = list(set(words))
             made = np.zeros((3, len(new), len(LABELS)), np.float32)
@@ -296,6 +300,27 @@ def trained() -> Field:
 _OPENING, _CLOSING = "([{<\"'", ".,;:!?)]}>\"'"
 
 
+def free(added: list[tuple[int, int, int]], found: list[tuple[int, int, int, bool]]) -> list[tuple[int, int, int]]:
+    """The added spans (start, kind, end) that touch no match of a pattern: none that holds, and none of their own kind. Matches of a kind lie apart."""
+    if not added:
+        return []
+    sides = {}
+    for kind in range(len(KINDS)):
+        for only in (False, True):
+            mine = sorted((a, b) for a, b, k, holds in found if k == kind and (holds or not only))
+            sides[kind, only] = [a for a, _ in mine], [b for _, b in mine]
+
+    def touches(x: tuple[int, int, int]) -> bool:
+        for kind in range(len(KINDS)):
+            starts, ends = sides[kind, kind != x[1]]
+            i = bisect_right(ends, x[0])
+            if i < len(starts) and starts[i] < x[2]:
+                return True
+        return False
+
+    return [x for x in added if not touches(x)]
+
+
 def find(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """The spans (start, kind, end) of the patterns, and all spans, of each text."""
     lines: list[list[str]] = []
@@ -326,8 +351,7 @@ def find(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, in
     for d, text in enumerate(texts):
         found = candidates(text) if text else []
         base = sorted((a, kind, b) for a, b, kind, holds in found if holds)
-        more = [x for x in added.get(d, []) if not any(a < x[2] and x[0] < b for a, b, kind, holds in found if holds or kind == x[1])]
-        out.append((base, sorted(base + more)))
+        out.append((base, sorted(base + free(added.get(d, []), found))))
     return out
 
 
