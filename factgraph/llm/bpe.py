@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-#: Words kept in a worker's table of encoded words; the table is emptied when it is full.
-MAX_WORDS = 200_000
+#: Words kept in a worker's table of encoded words, and characters of the longest that is kept; the table is emptied when it is full.
+MAX_WORDS, LONG = 200_000, 200
 #: Characters that match \s in a tokenizer file's patterns.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Beyond these characters a text may hold ones that are newer than Python's character tables; the library's own tables then split it.
@@ -184,7 +184,11 @@ class PairIndexBpe:
             new = sorted({w for mine in pieces for words, _ in mine for w in words})
         known.update(zip(new, self.merge_all(new), strict=True))
         get = known.__getitem__
-        return [b"".join(x for words, special in mine for x in (*map(get, words), special)) for mine in pieces]
+        made = [b"".join(x for words, special in mine for x in (*map(get, words), special)) for mine in pieces]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return made
 
     def decode(self, ids: bytes) -> str:
         found = np.frombuffer(ids, dtype="<u4")

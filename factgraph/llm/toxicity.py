@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from factgraph.llm.common import labelled_sample
 
-#: The sample that the model is fitted on: rows of each class, and characters of its longest text.
+#: The sample that the model is fitted on: rows of each class, and characters of a longer text, from a place drawn by hash.
 PER_CLASS = 3000
 MAX_CHARS = 30_000
 SIZES = (3, 4, 5)

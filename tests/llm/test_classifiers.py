@@ -2,6 +2,9 @@ import zlib
 
 import pytest
 
+import numpy as np
+import zstandard
+
 from factgraph.llm import quality, queries, toxicity
 from factgraph.llm.common import labelled_sample
 
@@ -37,3 +40,55 @@ def test_sample_leaves_out_fold_zero_and_is_bounded(spark):
     got = labelled_sample(docs, labels, "quality", 30, 100)
     assert len(got) == 60 and sum(y for _, y in got) == 30
     assert all(zlib.crc32(t[1:].encode()) % 5 for t, _ in got)
+
+
+def test_long_texts_shrink_no_class(spark):
+    """A class of which every text is longer than the bound gives a piece of each, not from the start alone."""
+    docs = spark.createDataFrame([(i, "".join(chr(97 + (i + k // 50) % 26) for k in range(2000))) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = labelled_sample(docs, labels, "quality", 20, 100)
+    texts = {r.text for r in docs.collect()}
+    assert len(got) == 40 and sum(y for _, y in got) == 20 and all(len(t) == 100 and any(t in x for x in texts) for t, _ in got)
+    assert sum(any(x.startswith(t) for x in texts) for t, _ in got) < 20
+    assert quality.fit(docs, labels, max_chars=100).good
+
+
+def test_quality_scores_as_brute_force(spark):
+    """The fitted model's scores, recomputed block by block in plain Python."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    for r in quality.score(docs, model, keep=["doc_id", "text"]).limit(200).collect():
+        data, sizes = (r.text or "").encode(), [0, 0]
+        for side, d in enumerate((model.good, model.bad)):
+            for a in range(0, len(data), 4096):
+                params = zstandard.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+                sizes[side] += len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), compression_params=params).compress(data[a : a + 4096]))
+        x = (sizes[1] - sizes[0]) / (len(data) + 64)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * x + model.offset))))
+
+
+def test_quality_is_calibrated(spark):
+    """Of held-out documents with a score near p, a share near p is good."""
+    got = queries.op2_quality(spark, "/root/testdata/sf0.1").filter("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").toPandas()
+    assert abs(got.score.mean() - got.quality.mean()) < 0.05
+    assert ((got.score - got.quality) ** 2).mean() < 0.1
+
+
+def test_toxicity_scores_as_brute_force(spark):
+    """The fitted model's scores, from n-grams hashed one character at a time."""
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    weight = dict(zip(model.index.tolist(), model.weight.astype(np.float32).tolist(), strict=True))
+
+    def odds(text):
+        c, seen = [ord(x) for x in f" {text} ".lower()] if text else [], set()
+        for n in (3, 4, 5):
+            for a in range(len(c) - n + 1):
+                h = c[a]
+                for x in c[a + 1 : a + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ x
+                seen.add((h * 0x9E3779B1 + n * 0x0C6EF372 & 0xFFFFFFFF) >> 14)
+        return model.offset + sum(weight.get(h, 0.0) for h in seen)
+
+    for r in toxicity.score(docs, model, keep=["doc_id", "text"]).limit(100).collect():
+        assert r.score == pytest.approx(1 / (1 + np.exp(-odds(r.text))), abs=1e-6)
