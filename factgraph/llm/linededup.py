@@ -35,16 +35,18 @@ LONG_DOCS, LINE_DOCS, SHORT_DOCS = 2, 3, 20
 MASKED = 32
 #: Rows that are few enough to be broadcast: a row takes about 60 bytes.
 FEW = 100_000
-SOLID = r"[^\x09-\x0D\x20]"
 GAP = r"[\x09\x0B-\x0D\x20]+"
-VARIABLE = rf"(?<!{SOLID})(?={SOLID}{{1,{MASKED}}}(?!{SOLID}))[^\x09-\x0D\x200-9@]*+[0-9@]{SOLID}*+"
+VARIABLE = "[0-9@]"
 PLACE = ("id", "row", "pos")
 
 
 def tokens(text: Column) -> Column:
     """The tokens of each line, variable fields as <*>."""
-    masked = F.regexp_replace(F.regexp_replace(text, GAP, " "), VARIABLE, "<*>")
-    return F.transform(F.split(masked, "\n"), lambda line: F.split(F.trim(line), " "))
+
+    def masked(words: Column) -> Column:
+        return F.transform(words, lambda w: F.when((F.length(w) <= MASKED) & w.rlike(VARIABLE), "<*>").otherwise(w))
+
+    return F.transform(F.split(F.regexp_replace(text, GAP, " "), "\n"), lambda line: F.when(line.rlike(VARIABLE), masked(F.split(F.trim(line), " "))).otherwise(F.split(F.trim(line), " ")))
 
 
 def parsed(rows: DataFrame) -> DataFrame:
