@@ -172,21 +172,22 @@ class Ranges:
             self.file.close()
 
 
+def header_of(ranges: Ranges, r: dict) -> tuple:
+    """The metadata of a row's member, from its first bytes."""
+    head = ranges(r["shard"], r["offset"], HEADER)
+    info = tarfile.TarInfo.frombuf(head[:512], "utf-8", "surrogateescape")
+    if info.name != f"{r['digest']}.png" or info.size != r["length"]:
+        raise ValueError(f"{r['shard']} holds another member at {r['offset']}")
+    width, height, depth = struct.unpack(">IIB", head[512 + 16 : 512 + 25])
+    return "image/png", width, height, depth
+
+
 def headers(places: DataFrame) -> DataFrame:
     """places with metadata columns, from the first bytes of each member alone."""
 
     def step():
         ranges = Ranges()
-
-        def row(r: dict) -> tuple:
-            head = ranges(r["shard"], r["offset"], HEADER)
-            info = tarfile.TarInfo.frombuf(head[:512], "utf-8", "surrogateescape")
-            if info.name != f"{r['digest']}.png" or info.size != r["length"]:
-                raise ValueError(f"{r['shard']} holds another member at {r['offset']}")
-            width, height, depth = struct.unpack(">IIB", head[512 + 16 : 512 + 25])
-            return "image/png", width, height, depth
-
-        return row, ranges.close
+        return lambda r: header_of(ranges, r), ranges.close
 
     return extended(places, META, step)
 
@@ -203,7 +204,7 @@ def feature_of(payload: bytes) -> str:
 
 
 def load(places: DataFrame) -> DataFrame:
-    """places with digests and features of the payloads read back from their ranges."""
+    """places with metadata columns, and with digests and features of the payloads read back from their ranges."""
 
     def step():
         ranges = Ranges()
@@ -212,10 +213,11 @@ def load(places: DataFrame) -> DataFrame:
         def row(r: dict) -> tuple:
             key = r["shard"], r["offset"]
             if key not in known:
+                head = header_of(ranges, r)
                 media = ranges(r["shard"], r["offset"] + 512, r["length"])
                 payload = from_png(media)
-                known[key] = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload))
-                if known[key][1] != r["digest"]:
+                known[key] = (*head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature_of(payload))
+                if known[key][5] != r["digest"]:
                     raise ValueError(f"{r['shard']} holds another payload at {r['offset']}")
                 if len(known) > KEPT_MEMBERS:
                     known.popitem(last=False)
@@ -223,7 +225,7 @@ def load(places: DataFrame) -> DataFrame:
 
         return row, ranges.close
 
-    return extended(places, READ, step)
+    return extended(places, f"{META}, {READ}", step)
 
 
 def content_index(places: DataFrame) -> DataFrame:

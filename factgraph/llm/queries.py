@@ -47,7 +47,7 @@ def op3_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = media.store(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return media.load(media.headers(places)).select(
+    return media.load(places).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth"
     )
 

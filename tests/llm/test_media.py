@@ -28,7 +28,7 @@ def test_round_trip(spark, monkeypatch):
     rows = [(1, "same", "a"), (2, "same", None), (2, None, "b"), (3, "", "c"), (None, "long é " * 20_000, "d"), (4, "x" * 64, "e")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").repartition(4)
     places = media.store(docs)
-    got = sorted(media.load(media.headers(places)).collect(), key=lambda r: (r.doc_id or 0, r.n_bytes))
+    got = sorted(media.load(places).collect(), key=lambda r: (r.doc_id or 0, r.n_bytes))
     for r in got:
         data = (r.text or "").encode()
         padded = data + bytes(-len(data) % 64 if data else 64)
@@ -38,7 +38,9 @@ def test_round_trip(spark, monkeypatch):
             png = tar.extractfile(f"{r.digest}.png").read()
         assert (len(png), hashlib.sha256(png).hexdigest()) == (r.media_bytes, r.media_sha256)
     assert media.content_index(places).count() == len({r.digest for r in got})
-    assert media.load(media.headers(media.store(docs.limit(0)))).count() == 0
+    same = {(r.doc_id, r.digest): (r.media_type, r.width, r.height, r.bit_depth) for r in got}
+    assert same == {(r.doc_id, r.digest): (r.media_type, r.width, r.height, r.bit_depth) for r in media.headers(places).collect()}
+    assert media.load(media.store(docs.limit(0))).count() == 0
 
 
 def feature(payload):
@@ -52,7 +54,7 @@ def test_query_as_brute_force(spark):
     """Whole rows of the query, from plain Python; equal texts over several tasks have equal values."""
     rows = [(i, t) for i, t in enumerate([None, "", "one text", "café 日本 " * 50, "z" * 64, "\x00tail"] * 40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    got = media.load(media.headers(media.store(docs, keep=["doc_id"]))).collect()
+    got = media.load(media.store(docs, keep=["doc_id"])).collect()
     assert len(got) == len(rows)
     texts = dict(rows)
     for r in got:
