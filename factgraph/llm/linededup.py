@@ -1,6 +1,7 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
-A line's tokens are parsed to a fixed depth: their number, then the LEADING first of them, then a leaf that holds templates. Tokens with a digit or an @
+A line's tokens are parsed to a fixed depth: their number, then the first of them (2 in lines of up to SHALLOW tokens, 4 in longer ones, whose leaves
+would else hold all that begins alike by chance), then a leaf that holds templates. Tokens with a digit or an @
 are variable fields from the start and become <*>, at every level (but not longer ones than MASKED characters, such as a whole line of a script without
 spaces). Within a leaf the lines that differ are generalised by position: a token stays if at least CONSTANT different lines of the leaf have it at
 its place, and becomes a field otherwise. Where this gives a template of at least LEAST_FIXED constant tokens, FIXED of all, that is found in GENERAL_DOCS
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.common import written
 
-LEADING = 2
+SHALLOW, LEADING = 10, (2, 4)
 CONSTANT = 3
 LEAST_FIXED, FIXED, GENERAL_DOCS = 4, 0.8, 3
 LONG, LINE, SHORT = 100, 12, 4
@@ -60,7 +61,7 @@ def parsed(rows: DataFrame) -> DataFrame:
         t, chars = x["t"], x["chars"]
         need = F.when(chars >= LONG, LONG_DOCS).when((F.size(t) >= 3) & (x["fixed"] >= 2) | (chars >= LINE), LINE_DOCS).otherwise(SHORT_DOCS)
         parts = F.when(x["fixed"] >= LEAST_FIXED, F.transform(t, lambda w: F.when(w == "<*>", 0).otherwise(F.hash(w))))
-        key = F.struct(F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.xxhash64(F.lit("line"), t).alias("line"))
+        key = F.struct(F.xxhash64(F.size(t), F.slice(t, F.lit(1), F.when(F.size(t) <= SHALLOW, LEADING[0]).otherwise(LEADING[1]))).alias("leaf"), F.xxhash64(F.lit("line"), t).alias("line"))
         return F.struct(key.alias("key"), x["pos"].alias("pos"), need.cast("byte").alias("need"), parts.alias("parts"))
 
     lines = F.filter(F.transform(tokens(F.col("text")), judged), lambda x: x["chars"] >= SHORT)
@@ -136,7 +137,7 @@ l AS (SELECT n, doc_id, unnest(string_split(text, chr(10))) AS line, generate_su
 t AS (SELECT n, doc_id, pos, list_transform(string_split(trim(regexp_replace(line, '[\\x09-\\x0D\\x20]+', ' ', 'g')), ' '),
                                             lambda w: CASE WHEN regexp_matches(w, '[0-9@]') AND length(w) <= 32 THEN '<*>' ELSE w END) AS t FROM l),
 f AS (SELECT *, list_filter(t, lambda w: w <> '<*>') AS fixed FROM t),
-c AS (SELECT *, length(array_to_string(fixed, '')) AS chars, {'n': len(t), 'lead': t[1:2]} AS leaf FROM f),
+c AS (SELECT *, length(array_to_string(fixed, '')) AS chars, {'n': len(t), 'lead': t[1:CASE WHEN len(t) <= 10 THEN 2 ELSE 4 END]} AS leaf FROM f),
 k AS (SELECT *, CASE WHEN chars >= 100 THEN 2 WHEN len(t) >= 3 AND len(fixed) >= 2 OR chars >= 12 THEN 3 ELSE 20 END AS need FROM c WHERE chars >= 4),
 found AS (SELECT t, any_value(leaf) AS leaf, any_value(fixed) AS fixed, any_value(need) AS need, count(DISTINCT n) AS docs, min({'d': doc_id, 'p': pos}) AS lowest FROM k GROUP BY t),
 several AS (SELECT leaf FROM found GROUP BY leaf HAVING count(*) >= 3),

@@ -24,7 +24,7 @@ def brute(rows):
             t = tokens(line)
             if sum(map(len, fixed(t))) >= 4:
                 at[t].append((i is not None, i, n, p))
-                leaves[len(t), t[:2]].add(t)
+                leaves[len(t), t[: 2 if len(t) <= 10 else 4]].add(t)
     shapes = defaultdict(list)
     for leaf, kinds in leaves.items():
         if len(kinds) >= 3:
@@ -59,6 +59,8 @@ def test_as_brute_force(spark, monkeypatch):
     rows += [(70, "twice the same row\nand more of it")] * 3
     rows += [(80 + k, f"Posted by {name} in the daily news\nlist\n" + "long passage " * 9) for k, name in enumerate(["Alice", "Bob", "Carol"])]
     rows += [(90, "\n".join(f"An item called {x} in one list only" for x in ("ab", "cd", "ef"))), (91, "长" * 60), (92, "长" * 60), (93, "短句")]
+    rows += [(60 + k, f"This long line was sent on to {name} by the desk of the daily news") for k, name in enumerate(["Alice", "Bob", "Carol"])]
+    rows += [(63 + k, f"This long {name} was sent on to everyone by the desk of the daily news") for k, name in enumerate(["row", "text", "note"])]
     rows += [(100 + k, f"Log in\nonly {'pqrstuvwxyzabcdefghijklmnop'[k]} here") for k in range(25)]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, lines string, row string")
     for few in (100_000, 0):
