@@ -6,16 +6,20 @@ counts nearly as much as what sets each of them apart. df is counted over all do
 table has a fixed size and is broadcast. Each of 48 samples draws one shingle of a text so that two texts draw the same with probability of their
 weighted Jaccard similarity; 16 bands of 3 samples put texts into buckets.
 
-Exact copies are one text from the start. In each bucket one text is the hub: in even bands the one that shares most buckets, which
-in a group of copies is the one nearest to all, in odd bands one by a hash that differs from band to band. The others are compared with it alone, by true weighted Jaccard similarity. Those that are not similar to their hub meet again without it, in buckets narrowed by one more
-band, until no bucket holds two. Verified links join texts to classes. Then every bucket whose texts are not all of one class is finished: those outside
-its largest class are compared with all the others of other classes, except pairs that a bound excludes. Two bounds
-hold without exception: similarity is at most the ratio of the total weights, and 1 - similarity is a metric, so two texts whose similarities to the
-bucket's hub lie more than 1 - SIMILAR apart are not similar. So each pair that shares a bucket is in one class, compared, or excluded.
+Exact copies are one text from the start. In each bucket one text is the hub: in even bands the one that shares most buckets, which in a group of
+copies is the one nearest to all, in odd bands one by a hash that differs from band to band. The others are compared with it by true weighted Jaccard
+similarity, and verified links join texts to classes, which settles most of a group of copies at a cost in proportion to its size. Then every bucket
+whose texts are not all of one class is finished: those outside its largest class are compared with all the others of other classes, except pairs that a
+bound excludes. Two bounds hold without exception: similarity is at most the ratio of the total weights, and 1 - similarity is a metric, so two texts
+whose similarities to the bucket's hub lie more than 1 - SIMILAR apart are not similar. So each pair that shares a bucket is in one class, compared, or
+excluded; the only links that can be missed are those of pairs that share no bucket (a chance of 2e-5 at similarity 0.8).
+
+df comes from counters that other shingles share; what chance adds to a counter moves a weight by less than RARE and in all texts alike, so similarities
+stay exact for the weights in use.
 
 Texts of one to four words are one shingle of all their words. Defined results: a null or empty text (or one of spaces) is similar to no text but
-its equals, null counting as empty; rows that repeat an id are one document, and so in one class; rows without an id have no class; an empty table
-gives an empty result; other columns are kept.
+its equals, null counting as empty; ids are whole numbers, others fail the cast; rows that repeat an id are one document, and so in one class, and dedup
+keeps the least text of them; rows without an id have no class, and dedup keeps them all; an empty table gives an empty result; other columns are kept.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factgraph.llm.common import written
@@ -38,6 +42,8 @@ RARE = 0.1
 #: Counters of a row of partial counts, and shingles that are sampled together.
 BLOCK = 1 << 11
 TOGETHER = 200_000
+#: Shingles of hubs that a task keeps.
+HUBS_HELD = 200_000
 #: Texts of a bucket that are held while the bucket's others stream past.
 HELD = 256
 
@@ -188,13 +194,15 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         known: OrderedDict[int, tuple] = OrderedDict()  # hubs recur
+        held = 0
         for batch in batches:
             out = []
             for v, hub, mine, other in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if hub not in known:
                     known[hub] = shingles(other)
-                    if len(known) > 64:
-                        known.popitem(last=False)
+                    held += len(known[hub][0])
+                    while len(known) > 1 and held > HUBS_HELD:
+                        held -= len(known.popitem(last=False)[1][0])
                 score = similarity(shingles(mine), known[hub], table)
                 out.append((v, hub, score, score >= least))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["v", "hub", "score", "similar"])
@@ -328,34 +336,19 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lea
     shared = written(keys.join(sizes, ["band", "key"]), "near-shared")
     known = shared.groupBy("v").agg(F.sum("n").alias("known"))
     members = written(shared.drop("n").join(known, "v").join(signed, "v").select("v", "weight", "bands", "known", "band", "key"), "near-members")
+    first = F.struct(F.when(F.col("band") % 2 == 0, -F.col("known")).otherwise(0).alias("known"), F.xxhash64("v", "band").alias("order"), "v", "weight")
+    hubs = members.groupBy("band", "key").agg(F.min(first).alias("h")).select("band", "key", F.col("h.v").alias("hub"), F.col("h.weight").alias("hub_weight"))
+    beside = written(members.join(hubs, ["band", "key"]).filter("v <> hub").drop("known"), "near-beside")
     links = None
-    texts = None
-    narrowing = 0
-    while True:
-        first = F.struct(F.when(F.col("band") % 2 == 0, -F.col("known")).otherwise(0).alias("known"), F.xxhash64("v", "band").alias("order"), "v", "weight")
-        hubs = members.groupBy("band", "key").agg(F.min(first).alias("h"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("band", "key", F.col("h.v").alias("hub"), F.col("h.weight").alias("hub_weight"))
-        beside = written(members.join(hubs, ["band", "key"]).filter("v <> hub"), f"near-beside-{narrowing}")
-        if beside.isEmpty():
-            break
+    if not beside.isEmpty():
         # similarity is at most the ratio of the total weights
         close = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * (least - 1e-6)
-        pairs = written(beside.filter(close).select("v", "hub").distinct(), f"near-pairs-{narrowing}")
-        if texts is None:  # later rounds compare some of these texts again
-            wanted = beside.select("v").unionByName(beside.select(F.col("hub").alias("v"))).distinct()
-            texts = written(rows.join(wanted, "v", "left_semi").dropDuplicates(["v", "text"]), "near-texts")
-        judged = written(verified(pairs, texts, idf, least), f"near-judged-{narrowing}")
-        good = judged.filter("similar").select("v", "hub")
-        links = good if links is None else links.unionByName(good)
-        if narrowing == 0:
-            first_beside, first_judged = beside, judged
-        narrowing += 1
-        if narrowing == BANDS:
-            break
-        rest = beside.join(good, ["v", "hub"], "left_anti")
-        again = F.xxhash64("key", F.get("bands", (F.col("band") + narrowing) % BANDS))
-        members = written(rest.select("v", "weight", "bands", "known", "band", again.alias("key")), f"near-members-{narrowing}")
-    if links is not None:
-        links = links.unionByName(written(settled(first_beside, first_judged, components(links), texts, idf, least), "near-settled"))
+        pairs = written(beside.filter(close).select("v", "hub").distinct(), "near-pairs")
+        wanted = beside.select("v").unionByName(beside.select(F.col("hub").alias("v"))).distinct()
+        texts = written(rows.join(wanted, "v", "left_semi").dropDuplicates(["v", "text"]), "near-texts")
+        judged = written(verified(pairs, texts, idf, least), "near-judged")
+        links = judged.filter("similar").select("v", "hub")
+        links = links.unionByName(written(settled(beside, judged, components(links), texts, idf, least), "near-settled"))
     joined = ids.join(copies.select("digest", "rep"), "digest").filter("v <> rep").select("v", F.col("rep").alias("hub"))
     links = joined if links is None else links.unionByName(joined)
     found = components(links)
@@ -363,6 +356,10 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lea
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = SIMILAR) -> DataFrame:
-    """docs without all but one document of each class: that with the least id stays, and of its rows one; rows without an id stay."""
-    stay = classes(docs, text_col, id_col, least).filter(F.col(id_col) == F.col("class_id")).select(id_col)
-    return docs.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    """docs without all but one document of each class: that with the least id stays, and of its rows the one of the least text; rows without an id stay."""
+    stay = classes(docs, text_col, id_col, least).filter(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("stay"))
+    rows = docs.select(F.col(id_col).cast("long").alias("v"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(stay, F.col("v") == F.col("stay"), "left_semi")
+    rest = F.array(*(F.col(f"row.`{c}`").cast("string") for c in docs.columns))
+    one = rows.withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("text", rest))).filter("n = 1")
+    return one.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns)).unionByName(docs.filter(F.col(id_col).isNull()))

@@ -47,3 +47,27 @@ def test_stages_as_brute_force(spark):
     whole = corpus_pipeline.run(spark, DATA)
     assert sorted((r.doc_id, r.ids_sha256) for r in whole.select("doc_id", "ids_sha256").collect()) == sorted((r.doc_id, r.ids_sha256) for r in seen["encode"])
     assert whole.filter(F.col("n_tokens") == 0).count() == 0
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and clashing columns, stage by stage; then no rows at all."""
+    clash = {c: f"my {c}" for c in ("_score", "score", "_copy", "copy", "size", "source_size", "target", "taken", "upto", "lines", "dropped", "row", "v", "n", "key", "kept", "gone", "others", "class_id", "ids", "a.b")}
+    rows = [(1, None, "a"), (2, "", "a"), (3, "word " * 30_000, "b"), (4, "a plain text of its own that says enough", None), (4, "a plain text of its own that says enough", None), (4, "another text with the same id as those", "a"), (None, "a text that nobody gave an id to", "b"), (5, "\n\n", "b")]
+    docs = spark.createDataFrame([(i, t, s, len(t or ""), *clash.values()) for i, t, s in rows], ", ".join(["doc_id long", "text string", "source string", "n_chars long", *(f"`{c}` string" for c in clash)]))
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        frame = stage(spark, docs, DATA)
+        got = frame.collect()
+        seen[name] = got
+        if name == "encode":
+            assert frame.columns == ["doc_id", "source", "n_tokens", "ids_sha256", "ids"] and all(r.n_tokens for r in got)
+            break
+        assert frame.columns == docs.columns and frame.schema.simpleString() == docs.schema.simpleString()
+        assert all(r[c] == v for r in got for c, v in clash.items())
+        docs = spark.createDataFrame(docs.collect(), docs.schema) if name == "quality" else spark.createDataFrame(got, frame.schema)
+    key = lambda r: (r.doc_id or 0, r.text or "", r.source or "")
+    assert len(seen["line_dedup"]) == len(rows)
+    assert sorted(map(key, seen["near_dedup"])) == sorted([(1, "", "a"), (3, rows[2][1], "b"), (4, rows[3][1], ""), (5, "\n\n", "b"), (0, rows[6][1], "b")])
+    assert all(r.text for r in seen["mix"])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
