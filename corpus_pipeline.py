@@ -1,6 +1,12 @@
 """A training-corpus pipeline over the table documents: filter, dedup lines, dedup documents, mix sources, encode.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result and hands it to the next.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result and hands it to the next. A stage needs the columns
+doc_id, text and source; line_dedup counts n_chars anew where docs has it.
+
+Defined results: a null text scores as the empty one, has no lines to lose, is a near duplicate of the empty text, and takes no place in a mix, so it
+does not reach encoding; very long texts go through whole; rows that repeat an id stay apart in the quality filter and line dedup, and are one document
+from near dedup on, which keeps the least text of them; rows without an id stay, and rows without a source are one source; an empty table gives an
+empty result in every stage; all other columns come out as they went in, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,32 +22,44 @@ TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LEAST_QUALITY = 0.3
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, source and text, with all other columns in one, so that none can clash with an operator's."""
+    return docs.select("doc_id", "source", "text", F.struct(F.lit(0), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "source", "text"))).alias("others"))
+
+
+def unpacked(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """df with the columns of docs."""
+    return df.select(*(F.col(c) if c in ("doc_id", "source", "text") else F.col(f"others.`{c}`").alias(c) for c in docs.columns))
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the compression classifier scores at LEAST_QUALITY or more."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, score_col="_score").filter(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
+    return unpacked(quality.score(packed(docs), model).filter(F.col("score") >= LEAST_QUALITY), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without the repeats of recurring lines; those that have no line left go."""
-    clean = linededup.dedup(docs)
-    return clean.filter("dropped = 0 or dropped < lines").withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """The documents without the repeats of recurring lines, n_chars anew; those that have no line left go."""
+    clean = linededup.dedup(packed(docs)).filter("dropped = 0 or dropped < lines")
+    clean = unpacked(clean, docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates."""
-    return neardup.dedup(docs)
+    return unpacked(neardup.dedup(packed(docs)), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, each as often as it takes it."""
-    mixed = mixing.mix(docs).filter("taken > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))).select(docs.columns)
+    mixed = mixing.mix(packed(docs)).filter("taken > 0")
+    copies = F.explode(F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")))
+    return unpacked(mixed.withColumn("copy", copies), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's ids, packed as little-endian unsigned 32-bit integers, their number and their digest."""
-    done = bpe.encode_decode(docs, TOKENIZER, keep=["doc_id", "source"])
+    done = bpe.encode_decode(packed(docs), TOKENIZER, keep=["doc_id", "source"])
     return done.select("doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
 
 
