@@ -19,6 +19,11 @@ def stable_id(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.sha2(listed.cast("binary"), 256))
 
 
+def fingerprint(content: Column) -> Column:
+    """The SHA-256 of a source's bytes, in hexadecimal."""
+    return F.sha2(content.cast("binary"), 256)
+
+
 def stable_id_of(kind: str, *parts: str) -> str:
     """The same on the driver."""
     listed = json.dumps(parts, ensure_ascii=False, separators=(",", ":"))

@@ -32,10 +32,10 @@ def resolve(assets: DataFrame, selector: str, kinds: tuple[str, ...] = SELECTOR_
     return rows[0]
 
 
-def links(relationships: DataFrame, assets: DataFrame, asset_id: int) -> DataFrame:
+def links(ledger: Ledger, asset_id: int) -> DataFrame:
     """(direction, type, origin, from_*, to_*) of every relationship at an asset; a loop counts as incoming. Two equality filters, not a join on either end."""
-    ends = relationships.filter((F.col("from_id") == asset_id) | (F.col("to_id") == asset_id))
-    a = assets.select("id", "kind", "name")
+    ends = ledger.relationships_at([asset_id])
+    a = ledger.assets.select("id", "kind", "name")
     named = ends.join(a.toDF("from_id", "from_kind", "from_name"), "from_id").join(a.toDF("to_id", "to_kind", "to_name"), "to_id")
     return named.select(F.when(F.col("to_id") == asset_id, "incoming").otherwise("outgoing").alias("direction"), "type", "origin", "from_id", "from_kind", "from_name", "to_id", "to_kind", "to_name", F.col("id").alias("relationship_id"))
 
@@ -53,13 +53,13 @@ def evidence_lists(evidence: DataFrame, sources: DataFrame, target: str = "relat
 
 def explain(ledger: Ledger, asset_id: int) -> DataFrame:
     """An asset's links with their evidence."""
-    found = links(ledger.relationships, ledger.assets, asset_id)
-    of = ledger.evidence.join(found.select("relationship_id").distinct(), "relationship_id", "left_semi")
+    found = links(ledger, asset_id)
+    of = ledger.evidence_at([asset_id]).join(found.select("relationship_id").distinct(), "relationship_id", "left_semi")
     return ordered(found.join(evidence_lists(of, ledger.sources), "relationship_id", "left"))
 
 
 def impact(ledger: Ledger, asset_id: int) -> DataFrame:
     """What depends on an asset in one step, and what it depends on: distinct neighbours by direction and type."""
-    found = links(ledger.relationships, ledger.assets, asset_id)
+    found = links(ledger, asset_id)
     other = lambda c: F.when(F.col("direction") == "incoming", F.col(f"from_{c}")).otherwise(F.col(f"to_{c}"))
     return found.select("direction", "type", other("id").alias("asset_id"), other("kind").alias("kind"), other("name").alias("name")).distinct()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.functions.identity import stable_id
@@ -29,7 +29,7 @@ def symmetric(relationships: DataFrame) -> DataFrame:
 
 def neighbours(ledger: Ledger, ids: list[int], most: int) -> dict[int, list[int]]:
     """The first neighbours of each id by kind, canonical name and path."""
-    near = symmetric(ledger.relationships).filter(F.col("id").isin(ids)).distinct()
+    near = symmetric(ledger.relationships_at(ids)).filter(F.col("id").isin(ids)).distinct()
     a = ledger.assets.select(F.col("id").alias("next"), "kind", "canonical_name", "source_id").join(ledger.sources.select(F.col("id").alias("source_id"), "path"), "source_id")
     order = Window.partitionBy("id").orderBy("kind", "canonical_name", "path", "next")
     ranked = near.join(a, "next").withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
@@ -57,22 +57,34 @@ def admit(ledger: Ledger, asset_id: int, depth: int = PACK_DEPTH, most: int = PA
     return Admitted(admitted, boundary)
 
 
+def allowed_attributes(attributes: Column, names: tuple[str, ...] = PACK_ATTRIBUTES) -> Column:
+    """The attributes that may leave the ledger."""
+    return F.map_filter(attributes, lambda k, _: k.isin(*names))
+
+
 def pack_assets(ledger: Ledger, admitted: Admitted) -> DataFrame:
     """(asset_id, stable_id, kind, name, depth, attributes) of the admitted, only attributes that may leave the ledger."""
     ids = ledger.assets.sparkSession.createDataFrame([(i, d, n) for n, (i, d) in enumerate(admitted.depth.items())], "id long, depth int, place int")
     a = ledger.assets.join(F.broadcast(ids), "id").join(ledger.sources.select(F.col("id").alias("source_id"), "path"), "source_id")
-    allowed = F.map_filter("attributes", lambda k, _: k.isin(*PACK_ATTRIBUTES))
+    allowed = allowed_attributes(F.col("attributes"))
     return a.select(F.col("id").alias("asset_id"), stable_id("asset", F.col("kind"), F.col("path"), F.col("canonical_name")).alias("stable_id"), "kind", "name", "depth", "place", allowed.alias("attributes"))
 
 
 def pack_relationships(ledger: Ledger, assets: DataFrame) -> tuple[DataFrame, bool]:
     """The links between admitted assets, the first PACK_RELATIONSHIPS by stable id, and whether there are more."""
     ids = assets.select("asset_id", "stable_id")
-    r = ledger.relationships.filter(~F.col("type").isin(*STRUCTURAL))
+    admitted = [r.asset_id for r in ids.select("asset_id").collect()]  # PACK_ASSETS at most
+    r = ledger.relationships_at(admitted).filter(~F.col("type").isin(*STRUCTURAL))
     inside = r.join(F.broadcast(ids.toDF("from_id", "from_stable")), "from_id").join(F.broadcast(ids.toDF("to_id", "to_stable")), "to_id")
     inside = inside.select(stable_id("relation", *map(F.col, ("from_stable", "to_stable", "type", "origin"))).alias("stable_id"), "from_stable", "to_stable", "type", "origin", F.col("id").alias("relationship_id"))
-    first = inside.orderBy("stable_id").limit(PACK_RELATIONSHIPS + 1)
-    return first.limit(PACK_RELATIONSHIPS), first.count() > PACK_RELATIONSHIPS
+    first = inside.orderBy("stable_id").limit(PACK_RELATIONSHIPS + 1).collect()
+    return ids.sparkSession.createDataFrame(first[:PACK_RELATIONSHIPS], inside.schema), len(first) > PACK_RELATIONSHIPS
+
+
+def gaps_at(ledger: Ledger, paths: list[str]) -> tuple[DataFrame, bool]:
+    """The gaps in files, in their order, as many as a pack takes besides its own two, and whether there are more."""
+    first = ledger.diagnostics.filter(F.col("path").isin(paths)).orderBy("path", "locator", "code", "message").limit(PACK_GAPS - 1).collect()
+    return ledger.diagnostics.sparkSession.createDataFrame(first[: PACK_GAPS - 2], ledger.diagnostics.schema), len(first) > PACK_GAPS - 2
 
 
 def pack(ledger: Ledger, asset_id: int) -> dict:
@@ -89,12 +101,12 @@ def pack(ledger: Ledger, asset_id: int) -> dict:
     at = ledger.evidence.filter(F.col("asset_id").isin(asset_ids) | F.col("relationship_id").isin(edge_ids)) if edge_ids else ledger.evidence.filter(F.col("asset_id").isin(asset_ids))
     at = at.join(ledger.sources.select(F.col("id").alias("source_id"), "path", "sha256"), "source_id")
     at = at.select("asset_id", "relationship_id", stable_id("evidence", F.col("path"), F.col("sha256"), F.col("locator")).alias("id"), "path", "sha256", "locator")
+    if len(at.select("id").distinct().limit(PACK_EVIDENCE + 1).collect()) > PACK_EVIDENCE:
+        raise ValueError(f"evidence exceeds {PACK_EVIDENCE} locations; select a narrower asset")
     places, of = {}, {}
-    for e in at.limit(100 * PACK_EVIDENCE).collect():
+    for e in at.distinct().collect():  # each of a bounded number of targets with PACK_EVIDENCE places at most
         places[e.id] = {"id": e.id, "source": e.path, "sha256": e.sha256, "locator": e.locator}
         of.setdefault(("asset", e.asset_id) if e.asset_id is not None else ("relationship", e.relationship_id), set()).add(e.id)
-    if len(places) > PACK_EVIDENCE:
-        raise ValueError(f"evidence exceeds {PACK_EVIDENCE} locations; select a narrower asset")
     listed = []
     for r in rows:
         mine = set(of.get(("asset", r.asset_id), ()))
@@ -106,9 +118,9 @@ def pack(ledger: Ledger, asset_id: int) -> dict:
     related = [{"id": e.stable_id, "from_id": e.from_stable, "to_id": e.to_stable, "type": e.type, "origin": e.origin, "evidence_ids": sorted(of.get(("relationship", e.relationship_id), ()))} for e in edges]
     boundary = admitted.boundary or more
     paths = sorted({p["source"] for p in places.values()})
-    first = ledger.diagnostics.filter(F.col("path").isin(paths)).orderBy("path", "locator", "code", "message").limit(PACK_GAPS - 1).collect() if paths else []
-    boundary |= len(first) > PACK_GAPS - 2
-    gaps = [{"code": g.code, "message": g.message, "source": g.path, "locator": g.locator} for g in first[: PACK_GAPS - 2]]
+    first, more = gaps_at(ledger, paths)
+    boundary |= more
+    gaps = [{"code": g.code, "message": g.message, "source": g.path, "locator": g.locator} for g in first.collect()]
     if boundary:
         gaps.append({"code": "context_boundary", "message": "Context is limited to four hops, 32 assets, 64 relationships and 64 gaps; omitted neighbors are not evidence of absence."})
     if not ledger.metadata.get("last_build_at"):

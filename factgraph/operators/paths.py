@@ -1,7 +1,9 @@
 """The shortest directed path, by levels.
 
 A path's key is the list of its steps' orders (type, origin, kind and name of the end, id). Of equally long paths the one with the least key is found,
-which is what a first-in-first-out search over ordered neighbours finds; so each level keeps one path per new asset, by a plain minimum.
+which is what a first-in-first-out search over ordered neighbours finds. A level keeps one row per new asset: its rank among the level's, in the order of
+their paths, and the step that leads to it from an asset of the level before; so a row does not grow with the path. Ranks come from a distributed sort.
+Edges are written once, levels as they are found; the path is walked back from the goal, a row of each level.
 """
 
 from __future__ import annotations
@@ -11,8 +13,6 @@ from pyspark.sql import functions as F
 
 from factgraph.plans.materialize import written
 
-STEP = "struct<type:string,origin:string,kind:string,name:string,id:bigint,from_id:bigint,to_id:bigint>"
-
 
 def steps(relationships: DataFrame, assets: DataFrame) -> DataFrame:
     """(from_id, to_id, step): each relationship with its place among those of its start."""
@@ -26,21 +26,24 @@ def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal:
     schema = "step long, from_id long, to_id long, type string, origin string, kind string, name string, relationship_id long"
     if start == goal:
         return spark.createDataFrame([], schema)
-    edges = steps(relationships, assets)
-    reached = spark.createDataFrame([(start, [])], f"id long, path array<{STEP}>")
-    visited = reached.select("id")
-    level = 0
+    edges = written(steps(relationships, assets), "path-edges")
+    reached = spark.createDataFrame([(start, 0)], "id long, rank long")
+    visited, levels = reached.select("id"), []
     while True:
-        ahead = edges.join(reached.withColumnRenamed("id", "from_id"), "from_id").join(visited.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-        ahead = ahead.groupBy(F.col("to_id").alias("id")).agg(F.min(F.concat("path", F.array("step"))).alias("path"))
-        reached = written(ahead, f"path-{level}")
-        found = reached.filter(F.col("id") == goal)
-        if not found.isEmpty():
-            return found.select(F.posexplode("path").alias("n", "s")).select((F.col("n") + 1).cast("long").alias("step"), "s.from_id", "s.to_id", "s.type", "s.origin", "s.kind", "s.name", F.col("s.id").alias("relationship_id"))
-        if reached.isEmpty():
+        ahead = edges.join(reached.select(F.col("id").alias("from_id"), "rank"), "from_id").join(visited.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        ahead = ahead.groupBy(F.col("to_id").alias("id")).agg(F.min(F.struct("rank", "step")).alias("first"))
+        reached = written(ahead.orderBy("first").select("id", F.monotonically_increasing_id().alias("rank"), "first.step"), f"path-{len(levels)}")
+        levels.append(reached)
+        if not reached.filter(F.col("id") == goal).isEmpty():
             break
+        if reached.isEmpty():
+            raise LookupError(f"no directed path from {start} to {goal}")
         visited = visited.unionByName(reached.select("id"))
-        level += 1
-        if level % 16 == 0:  # a long search reads few folders
-            visited = written(visited, f"visited-{level}")
-    raise LookupError(f"no directed path from {start} to {goal}")
+        if len(levels) % 16 == 0:  # a long search reads few folders
+            visited = written(visited, f"visited-{len(levels)}")
+    at, found = goal, []
+    for n in range(len(levels), 0, -1):
+        s = levels[n - 1].filter(F.col("id") == at).select("step.*").first()
+        found.append((n, s.from_id, s.to_id, s.type, s.origin, s.kind, s.name, s.id))
+        at = s.from_id
+    return spark.createDataFrame(found[::-1], schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 3
 
@@ -36,6 +38,18 @@ class Ledger:
     diagnostics: DataFrame
     files: DataFrame
     metadata: dict[str, str] = field(default_factory=dict)
+    #: Relationships at given assets, and evidence of those, where the ledger can find them without reading all.
+    near: Callable[[list[int]], DataFrame] | None = None
+    near_evidence: Callable[[list[int]], DataFrame] | None = None
+
+    def relationships_at(self, ids: list[int]) -> DataFrame:
+        """The relationships that begin or end at one of ids."""
+        found = self.relationships if self.near is None else self.near(ids)
+        return found.filter(F.col("from_id").isin(ids) | F.col("to_id").isin(ids))
+
+    def evidence_at(self, ids: list[int]) -> DataFrame:
+        """Evidence that holds at least all of that of the relationships at ids."""
+        return self.evidence if self.near_evidence is None else self.near_evidence(ids)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Ledger:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factgraph.functions.identity import fingerprint
 from factgraph.operators.ownership import owned
 from factgraph.plans.model import DIAGNOSTICS, Ledger
 
@@ -33,7 +34,7 @@ class Star:
 
     def sources(self) -> DataFrame:
         def row(df: DataFrame, id_: Column, path: Column, content: Column) -> DataFrame:
-            return df.select(id_.alias("id"), path.alias("path"), F.sha2(content.cast("binary"), 256).alias("sha256"))
+            return df.select(id_.alias("id"), path.alias("path"), fingerprint(content).alias("sha256"))
 
         return (
             row(self.nation, key("n_nationkey", SERVICE), text("services/", F.col("n_nationkey")), F.col("n_name"))
@@ -56,39 +57,51 @@ class Star:
         )
 
     def configs(self) -> DataFrame:
-        joined = self.nation.join(F.broadcast(self.region), self.nation["n_regionkey"] == self.region["r_regionkey"])
+        joined = self.nation.join(self.region, self.nation["n_regionkey"] == self.region["r_regionkey"])
         return joined.select(F.col("n_name").alias("name"), F.col("r_name").alias("owner"), text("nation/", F.col("n_nationkey")).alias("source_root"), F.lit("").alias("domain"), F.array().cast("array<string>").alias("tags"))
 
-    def declared(self) -> DataFrame:
-        """Each declaring row: (from_id, to_id, type, source_id, locator), repeats included."""
+    def declared(self, ids: list[int] | None = None) -> DataFrame:
+        """Each declaring row: (from_id, to_id, type, source_id, locator), repeats included; of the rows at the given assets only, by filters on raw columns, which the scan can use."""
         line = text("L", F.col("l_linenumber"))
-        return (
-            self.orders.select(key("o_custkey", CUSTOMER).alias("from_id"), key("o_orderkey", ORDER).alias("to_id"), F.lit("places").alias("type"), key("o_custkey", CUSTOMER).alias("source_id"), text("orders.", F.col("o_orderkey")).alias("locator"))
-            .unionByName(self.lineitem.select(key("l_orderkey", ORDER).alias("from_id"), key("l_partkey", PART).alias("to_id"), F.lit("contains_part").alias("type"), key("l_partkey", PART).alias("source_id"), line.alias("locator")))
-            .unionByName(self.lineitem.select(key("l_partkey", PART).alias("from_id"), key("l_suppkey", SUPPLIER).alias("to_id"), F.lit("supplied_by").alias("type"), key("l_suppkey", SUPPLIER).alias("source_id"), line.alias("locator")))
-        )
+        if ids is None:
+            return _declared(self.orders, self.lineitem, self.lineitem, line)
+        keys = {kind: [i // 8 for i in ids if i % 8 == kind] for kind in (CUSTOMER, SUPPLIER, ORDER, PART)}
+        near = lambda df, a, a_kind, b, b_kind: df.filter(F.col(a).isin(keys[a_kind]) | F.col(b).isin(keys[b_kind]))
+        orders = near(self.orders, "o_custkey", CUSTOMER, "o_orderkey", ORDER)
+        return _declared(orders, near(self.lineitem, "l_orderkey", ORDER, "l_partkey", PART), near(self.lineitem, "l_partkey", PART, "l_suppkey", SUPPLIER), line)
 
     def ownership(self) -> DataFrame:
         """(name, asset_id) by path prefix."""
         return owned(self.assets().filter("kind <> 'service'"), self.sources(), self.configs())
 
-    def relationships(self) -> DataFrame:
+    def relationships(self, ids: list[int] | None = None) -> DataFrame:
         services = self.nation.select(F.col("n_name").alias("name"), key("n_nationkey", SERVICE).alias("from_id"))
-        owns = self.ownership().filter("kind in ('customer', 'supplier')").join(F.broadcast(services), "name").select("from_id", F.col("asset_id").alias("to_id"), F.lit("owns_asset").alias("type"), F.lit("source-derived").alias("origin"))
-        declared = self.declared().select("from_id", "to_id", "type", F.lit("declared").alias("origin"))
+        owns = self.ownership().filter("kind in ('customer', 'supplier')").join(services, "name").select("from_id", F.col("asset_id").alias("to_id"), F.lit("owns_asset").alias("type"), F.lit("source-derived").alias("origin"))
+        if ids is not None:
+            owns = owns.filter(F.col("from_id").isin(ids) | F.col("to_id").isin(ids))
+        declared = self.declared(ids).select("from_id", "to_id", "type", F.lit("declared").alias("origin"))
         return declared.unionByName(owns).dropDuplicates().select(relation_id().alias("id"), "from_id", "to_id", "type", "origin")
 
-    def evidence(self) -> DataFrame:
-        """Of assets, their source; of declared relationships, each distinct place."""
+    def evidence(self, ids: list[int] | None = None, type_: str | None = None) -> DataFrame:
+        """Of assets, their source; of declared relationships, each distinct place. Only relationships at the given assets or of a type, if either is given."""
         null = F.lit(None).cast("long")
         assets = self.assets().select("source_id", F.col("id").alias("asset_id"), null.alias("relationship_id"), F.lit("row").alias("locator"))
-        edges = self.declared().withColumn("origin", F.lit("declared")).select("source_id", null.alias("asset_id"), relation_id().alias("relationship_id"), "locator").dropDuplicates()
+        declared = self.declared(ids) if type_ is None else self.declared(ids).filter(F.col("type") == type_)
+        edges = declared.withColumn("origin", F.lit("declared")).select("source_id", null.alias("asset_id"), relation_id().alias("relationship_id"), "locator").dropDuplicates()
         both = assets.unionByName(edges)
         return both.select(F.xxhash64("source_id", "asset_id", "relationship_id", "locator").alias("id"), *both.columns)
 
     def ledger(self) -> Ledger:
         sources = self.sources()
-        return Ledger(sources, self.assets(), self.relationships(), self.evidence(), self.configs(), self.spark.createDataFrame([], DIAGNOSTICS), sources.select("path", "sha256"), {"last_build_at": "star"})
+        return Ledger(sources, self.assets(), self.relationships(), self.evidence(), self.configs(), self.spark.createDataFrame([], DIAGNOSTICS), sources.select("path", "sha256"), {"last_build_at": "star"}, self.relationships, self.evidence)
+
+
+def _declared(orders: DataFrame, contained: DataFrame, supplied: DataFrame, line: Column) -> DataFrame:
+    return (
+        orders.select(key("o_custkey", CUSTOMER).alias("from_id"), key("o_orderkey", ORDER).alias("to_id"), F.lit("places").alias("type"), key("o_custkey", CUSTOMER).alias("source_id"), text("orders.", F.col("o_orderkey")).alias("locator"))
+        .unionByName(contained.select(key("l_orderkey", ORDER).alias("from_id"), key("l_partkey", PART).alias("to_id"), F.lit("contains_part").alias("type"), key("l_partkey", PART).alias("source_id"), line.alias("locator")))
+        .unionByName(supplied.select(key("l_partkey", PART).alias("from_id"), key("l_suppkey", SUPPLIER).alias("to_id"), F.lit("supplied_by").alias("type"), key("l_suppkey", SUPPLIER).alias("source_id"), line.alias("locator")))
+    )
 
 
 def relation_id() -> Column:

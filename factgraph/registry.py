@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.functions.identity import stable_id
+from factgraph.functions.identity import fingerprint, stable_id
 from factgraph.functions.names import normalize_name
 from factgraph.operators import derive, integrity, links, neighborhood, ownership, paths, summary
 from factgraph.plans.model import Ledger
@@ -99,7 +99,7 @@ def impact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def link_evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
     edges = star.relationships().filter("type = 'supplied_by'")
-    of = links.evidence_lists(star.evidence().join(edges.select(F.col("id").alias("relationship_id")), "relationship_id", "left_semi"), star.sources())
+    of = links.evidence_lists(star.evidence(type_="supplied_by"), star.sources())
     shown = F.array_join(F.transform("evidence", lambda e: F.concat_ws("@", e["path"], e["locator"])), ";")
     return edges.join(of, edges["id"] == of["relationship_id"]).select("from_id", "to_id", "type", shown.alias("evidence"))
 
@@ -224,7 +224,8 @@ def path_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = paths.shortest_path(ids, star.assets(), CUSTOMER_ASSET, SUPPLIER_ASSET)
     except LookupError:
         return spark.createDataFrame([], schema)
-    near = star.declared().join(F.broadcast(found.select("from_id", "to_id", "type")), ["from_id", "to_id", "type"], "left_semi").dropDuplicates()
+    ends = sorted({x for r in found.select("from_id", "to_id").collect() for x in r})  # one row a step
+    near = star.declared(ends).join(found.select("from_id", "to_id", "type"), ["from_id", "to_id", "type"], "left_semi").dropDuplicates()
     at = near.join(star.sources().select(F.col("id").alias("source_id"), "path"), "source_id")
     lists = at.groupBy("from_id", "to_id", "type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "locator"))), lambda e: F.concat_ws("@", e["path"], e["locator"])), ";").alias("evidence"))
     return found.join(lists, ["from_id", "to_id", "type"]).select("step", "from_id", "to_id", "type", "kind", "name", "evidence")
@@ -266,6 +267,22 @@ def neighborhood_pack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighborhood.pack_relationships(ledger, assets)[0].drop("relationship_id")
 
 
+@query(
+    f"""WITH {_levels()}, st AS (SELECT DISTINCT s.path FROM admitted JOIN assets a USING (id) JOIN sources s ON s.id = a.source_id),
+    d AS (SELECT path, 'L' || n AS locator, 'seeded' AS code, 'gap ' || n AS message FROM sources, (VALUES (1), (2), (3)) v(n)),
+    o AS (SELECT * FROM d JOIN st USING (path) ORDER BY path, locator, code, message LIMIT 62)
+    SELECT path AS source, locator, code, message FROM o"""
+)
+def neighborhood_pack_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps of a pack, without the closing ones: three are seeded in every source, and 62 at most stay, by path."""
+    ledger = Star(spark, sf_dir).ledger()
+    ledger.diagnostics = ledger.sources.select(F.lit("seeded").alias("code"), F.explode(F.array(*(F.lit(f"gap {n}") for n in (1, 2, 3)))).alias("message"), "path")
+    ledger.diagnostics = ledger.diagnostics.withColumn("locator", F.concat(F.lit("L"), F.substring("message", -1, 1)))
+    assets = neighborhood.pack_assets(ledger, neighborhood.admit(ledger, CUSTOMER_ASSET))
+    places = assets.select(F.col("asset_id").alias("id")).join(ledger.assets.select("id", "source_id"), "id").join(ledger.sources.select(F.col("id").alias("source_id"), "path"), "source_id")
+    return neighborhood.gaps_at(ledger, [r.path for r in places.select("path").distinct().collect()])[0].select(F.col("path").alias("source"), "locator", "code", "message")
+
+
 # -- integrity --------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -287,27 +304,58 @@ def verify_edges_without_evidence(spark: SparkSession, sf_dir: str) -> DataFrame
     return integrity.relationships_without_evidence(ledger).select("from_id", "to_id", "type")
 
 
-@query("SELECT 'assets' AS \"table\", 'source_id' AS \"column\", source_id AS \"value\" FROM assets WHERE source_id % 97 = 1 UNION ALL SELECT 'evidence', 'source_id', id FROM (SELECT source_id AS id FROM assets WHERE source_id % 97 = 1)")
+@query(
+    """WITH a AS (SELECT * FROM assets WHERE id % 89 <> 4), s AS (SELECT * FROM sources WHERE id % 97 <> 1), r AS (SELECT * FROM relationships WHERE (from_id + to_id) % 83 <> 2),
+    de AS (SELECT DISTINCT source_id, from_id, to_id, type, locator FROM declared)
+    SELECT 'assets' AS "table", 'source_id' AS "column", source_id AS "value" FROM a WHERE source_id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'relationships', 'from_id', from_id FROM r WHERE from_id NOT IN (SELECT id FROM a)
+    UNION ALL SELECT 'relationships', 'to_id', to_id FROM r WHERE to_id NOT IN (SELECT id FROM a)
+    UNION ALL SELECT 'evidence', 'source_id', source_id FROM assets WHERE source_id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'evidence', 'source_id', source_id FROM de WHERE source_id NOT IN (SELECT id FROM s)
+    UNION ALL SELECT 'evidence', 'asset_id', id FROM assets WHERE id NOT IN (SELECT id FROM a)
+    UNION ALL SELECT 'evidence', 'relationship_id', from_id * 1000003 + to_id FROM de WHERE (from_id + to_id) % 83 = 2"""
+)
 def fk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six checks, with seeded losses of sources, assets and relationships; a lost relationship is shown by its ends, since its id is a hash."""
     star = Star(spark, sf_dir)
     ledger = Ledger.empty(spark)
-    ledger.assets, ledger.sources = star.assets(), star.sources().filter("id % 97 <> 1")  # seeded: these sources are gone
-    ledger.evidence = star.evidence().filter("asset_id is not null")
-    return integrity.foreign_key_violations(ledger)
+    ledger.sources, ledger.assets = star.sources().filter("id % 97 <> 1"), star.assets().filter("id % 89 <> 4")
+    ledger.evidence = star.evidence()
+    ledger.relationships = star.relationships().filter("(from_id + to_id) % 83 <> 2")
+    ends = star.relationships().select(F.col("id").alias("value"), F.lit("relationship_id").alias("column"), (F.col("from_id") * 1000003 + F.col("to_id")).alias("ends"))
+    found = integrity.foreign_key_violations(ledger).join(ends, ["value", "column"], "left")
+    return found.select("table", "column", F.coalesce("ends", "value").alias("value"))
+
+
+@query("SELECT source_id, count(*) AS n FROM (SELECT source_id FROM assets UNION ALL SELECT source_id FROM (SELECT DISTINCT source_id, from_id, to_id, type, locator FROM declared)) WHERE source_id % 97 = 1 GROUP BY source_id")
+def verify_orphaned_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    star = Star(spark, sf_dir)
+    ledger = Ledger.empty(spark)
+    ledger.evidence, ledger.sources = star.evidence(), star.sources().filter("id % 97 <> 1")  # seeded: these sources are gone
+    return integrity.orphaned_evidence(ledger).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id AS asset_id, source_id FROM assets WHERE id % 101 = 3 UNION ALL SELECT NULL, source_id FROM assets WHERE id % 103 = 5 AND id % 101 <> 3")
+def verify_evidence_of_one_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded: evidence that stands for an asset and a relationship, or for neither."""
+    ledger = Ledger.empty(spark)
+    e = Star(spark, sf_dir).evidence().filter("asset_id is not null")
+    ledger.evidence = e.withColumn("relationship_id", F.when(F.col("asset_id") % 101 == 3, 1)).withColumn("asset_id", F.when((F.col("asset_id") % 103 != 5) | (F.col("asset_id") % 101 == 3), F.col("asset_id")))
+    return integrity.one_target(ledger).select("asset_id", "source_id")
 
 
-@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 13 = 0 THEN 'removed' ELSE 'changed' END AS change FROM documents WHERE doc_id % 13 = 0 OR doc_id % 10 = 0", star=False)
+@query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 13 = 0 THEN 'removed' WHEN doc_id % 17 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 13 = 0 OR doc_id % 10 = 0 OR doc_id % 17 = 0", star=False)
 def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    path, digest = F.col("doc_id").cast("string").alias("path"), F.sha2(F.col("text").cast("binary"), 256)
-    then = docs.select(path, digest.alias("sha256"))
+    path, digest = F.col("doc_id").cast("string").alias("path"), fingerprint(F.col("text"))
+    then = docs.filter("doc_id % 17 <> 0 or doc_id % 13 = 0").select(path, digest.alias("sha256"))
     now = docs.filter("doc_id % 13 <> 0").select(path, F.when(F.col("doc_id") % 10 == 0, F.concat(digest, F.lit("x"))).otherwise(digest).alias("sha256"))
     return integrity.inventory_diff(then, now)
 
 
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents", star=False)
 def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("sha256"))
 
 
 @query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1", star=False)
@@ -335,8 +383,8 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", stable_id("asset", F.lit("service"), F.lit("a<b&c"), F.col("n_name")).alias("stable_id"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events", star=False)
+@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k, array_to_string(list_filter(json_keys(props), lambda n: n IN ('k', 'domain')), ',') AS names FROM events", star=False)
 def attribute_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     attributes = F.from_json("props", "map<string,string>", {"mode": "FAILFAST"})
-    kept = F.map_filter(attributes, lambda name, _: name.isin("k"))
-    return table(spark, sf_dir, "events").select("event_id", kept["k"].cast("long").alias("k"))
+    kept = neighborhood.allowed_attributes(F.map_concat(attributes, F.create_map(F.lit("hidden"), F.lit("x"))), ("k", "domain"))
+    return table(spark, sf_dir, "events").select("event_id", kept["k"].cast("long").alias("k"), F.array_join(F.map_keys(kept), ",").alias("names"))

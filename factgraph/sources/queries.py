@@ -36,7 +36,8 @@ def sql_references(texts: DataFrame) -> DataFrame:
                     rows.append((k, "", "", "", "", "go_unsupported_sql"))
             yield pd.DataFrame(rows, columns=["key", "schema", "table", "access", "operation", "error"])
 
-    return texts.select("key", "sql").mapInPandas(run, f"key long, {REFERENCE}")
+    spread = texts.select("key", "sql").repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)  # a statement costs more than its move
+    return spread.mapInPandas(run, f"key long, {REFERENCE}")
 
 
 def ddl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,15 +104,17 @@ def sqlref_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = (
         F.when(n % 4 == 0, text("SELECT id, COUNT(*) AS n FROM Shop.T", n, " WHERE id = ? AND NOT gone IS NULL ORDER BY id LIMIT 5"))
         .when(n % 4 == 1, text("INSERT INTO \"T", n, "\" (id) VALUES ($1), (2) RETURNING id"))
-        .when(n % 4 == 2, text("DELETE FROM t", n, " WHERE id IN (1, :two);"))
-        .otherwise(text("SELECT a.id FROM t", n, " a JOIN b ON a.id = b.id"))
+        .when((n % 4 == 2) & (n % 8 < 4), text("DELETE FROM t", n, " WHERE id IN (1, :two);"))
+        .when(n % 4 == 2, text("update Shop.\"T", n, "\" SET a = a + 1, b = COALESCE(?, 'x') WHERE NOT (a <> 2 OR b IS NULL) RETURNING *"))
+        .when(n % 8 < 4, text("SELECT a.id FROM t", n, " a JOIN b ON a.id = b.id"))
+        .otherwise(text("UPDATE t", n, " SET a = (SELECT 1)"))
     )
     return sql_references(o.select(n.alias("key"), sql.alias("sql")))
 
 
-SQLREF_SQL = """SELECT o_orderkey AS key, CASE o_orderkey % 4 WHEN 0 THEN 'shop' ELSE '' END AS schema,
-CASE o_orderkey % 4 WHEN 0 THEN 't' || o_orderkey WHEN 1 THEN 'T' || o_orderkey WHEN 2 THEN 't' || o_orderkey ELSE '' END AS "table",
-CASE o_orderkey % 4 WHEN 0 THEN 'read' WHEN 3 THEN '' ELSE 'write' END AS access, CASE o_orderkey % 4 WHEN 0 THEN 'SELECT' WHEN 1 THEN 'INSERT' WHEN 2 THEN 'DELETE' ELSE '' END AS operation,
+SQLREF_SQL = """SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'shop' WHEN o_orderkey % 8 = 6 THEN 'shop' ELSE '' END AS schema,
+CASE WHEN o_orderkey % 4 = 3 THEN '' WHEN o_orderkey % 4 = 1 OR o_orderkey % 8 = 6 THEN 'T' || o_orderkey ELSE 't' || o_orderkey END AS "table",
+CASE o_orderkey % 4 WHEN 0 THEN 'read' WHEN 3 THEN '' ELSE 'write' END AS access, CASE WHEN o_orderkey % 4 = 0 THEN 'SELECT' WHEN o_orderkey % 4 = 1 THEN 'INSERT' WHEN o_orderkey % 8 = 2 THEN 'DELETE' WHEN o_orderkey % 8 = 6 THEN 'UPDATE' ELSE '' END AS operation,
 CASE o_orderkey % 4 WHEN 3 THEN 'go_unsupported_sql' ELSE '' END AS error FROM orders"""
 
 QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL))}
