@@ -1,4 +1,5 @@
-"""What Go source declares at its top level: packages, imports, functions and methods with their lines. Bodies are not looked into yet, and a gap says so.
+"""What Go source says, file by file: packages, imports, functions and methods with their lines, types with their fields, globals, and in bodies the names
+and the calls. Nothing is resolved here: what a name or a call means takes all files of a package, and is found by joins (operators/gocalls).
 
 The text is cut into tokens by one pattern, semicolons are put in where a line ends a statement, and declarations are cut at semicolons outside brackets.
 """
@@ -67,6 +68,7 @@ class Function:
     receiver: str
     line: int
     last_line: int
+    run: list[Token]
 
 
 @dataclass
@@ -77,6 +79,7 @@ class GoFile:
     functions: list[Function]
     constraints: list[Token]
     generated: bool
+    declared: list[list[Token]]  # types, variables and constants
 
 
 def declarations(listed: list[Token]) -> list[list[Token]]:
@@ -118,7 +121,7 @@ def _function(run: list[Token]) -> Function:
         at = end + 1
     if len(run) <= at or run[at].kind != "name" or run[at].text in _KEYWORDS:
         raise DocumentError(f"a function without a name at line {run[0].line}")
-    return Function(run[at].text, receiver, run[0].line, run[-1].last_line)
+    return Function(run[at].text, receiver, run[0].line, run[-1].last_line, run)
 
 
 def _imports(run: list[Token]) -> list[tuple[str, str, int]]:
@@ -138,7 +141,7 @@ def parse(text: str) -> GoFile:
     runs = declarations(listed)
     if not runs or runs[0][0].text != "package" or len(runs[0]) != 2 or runs[0][1].kind != "name":
         raise DocumentError("a Go file begins with its package")
-    found = GoFile(runs[0][1].text, runs[0][1].line, [], [], [c for c in comments if c.text.startswith(("//go:build ", "// +build "))], False)
+    found = GoFile(runs[0][1].text, runs[0][1].line, [], [], [c for c in comments if c.text.startswith(("//go:build ", "// +build "))], False, [])
     found.generated = any(c.kind == "line" and c.line < runs[0][0].line and _GENERATED.fullmatch(c.text.rstrip("\r")) for c in comments)
     for run in runs[1:]:
         head = run[0].text
@@ -146,7 +149,9 @@ def parse(text: str) -> GoFile:
             found.imports += _imports(run)
         elif head == "func":
             found.functions.append(_function(run))
-        elif head not in ("type", "var", "const"):
+        elif head in ("type", "var", "const"):
+            found.declared.append(run)
+        else:
             raise DocumentError(f"no Go declaration at line {run[0].line}")
     return found
 

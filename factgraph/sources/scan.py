@@ -6,6 +6,7 @@ Listing sees names only, and is bounded; contents are read where they are extrac
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import posixpath
 import re
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from factgraph.sources import ddl, documents, golang
+from factgraph.sources import ddl, documents, gobody, golang
 
 # What is listed and what is not, and the bounds of a scan.
 EXTENSIONS = (".json", ".yaml", ".yml", ".sql", ".go")
@@ -25,7 +26,7 @@ MOST_BYTES = 4 << 20
 
 FACTS = (
     "path string, ordinal int, fact string, kind string, name string, canonical string, attributes map<string,string>, locator string, "
-    "from_kind string, from_canonical string, to_kind string, to_canonical string, type string, origin string"
+    "from_kind string, from_canonical string, to_kind string, to_canonical string, type string, origin string, detail string"
 )
 COLUMNS = [c.split()[0] for c in re.sub(r"<[^>]*>", "", FACTS).split(", ")]
 
@@ -128,8 +129,23 @@ def _extract_go(path: str, content: bytes, add) -> None:
             add("gap", kind="go_dot_import", name="Dot imports cannot be resolved conservatively.", locator=span(line, line))
     for c in file.constraints:
         add("gap", kind="go_build_constraints", name="Build constraints are not evaluated; this is a static source inventory, not a deployed build.", locator=span(c.line, c.last_line))
-    if file.functions:
-        add("gap", kind="go_bodies", name="Calls, routes and queries inside functions are not extracted yet.", locator="file")
+    say = lambda kind, name, owner, at, **detail: add("go", kind=kind, name=name, canonical=owner, from_canonical=package, locator=at, detail=json.dumps(detail))
+    for name, imported, line in file.imports:
+        if name not in (".", "_"):
+            say("import", name or imported.rsplit("/", 1)[-1], imported, span(line, line))
+    for kind, name, detail in gobody.globals_of(file):
+        say(kind, name, "", "file", **{k: v for k, v in detail.items() if k != "fields"})
+        for field, type_ in detail.get("fields", {}).items():
+            say("field", field, name, "file", type=type_)
+    for key, _, f in golang.function_keys(path, file):
+        own, results, body, _ = gobody.signature(f)
+        given = own[1:] if f.receiver and len(own) and own[0][1] == f.receiver else own
+        symbol = ".".join(x for x in (f.receiver.lstrip("*"), f.name) if x)
+        say("function", symbol, key, span(f.line, f.last_line), pointer=f.receiver.startswith("*"), params=[t for _, t in given], results=results)
+        for name, type_ in gobody.names(own, body).items():
+            say("name", name, key, "file", type=type_)
+        for call in gobody.calls(body):
+            say("call", call["tail"], key, span(call["line"], call["last"]), chain=call["chain"], tail=call["tail"], args=call["args"])
 
 
 def facts_of(contents: DataFrame) -> DataFrame:
