@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df written once under spark.checkpoint.dir (set here only where it is unset) and read again."""
+    """df written once under spark.checkpoint.dir and read again. Only a local session may leave that unset: elsewhere a folder of the driver's is no shared one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
+        if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
     path = re.sub(r"^(file:)?/+", "file:///", sc.getCheckpointDir()).rstrip("/") + f"/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)

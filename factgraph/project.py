@@ -59,7 +59,7 @@ class Project:
         """Replaces the ledger by what the sources say now; the old one stays if anything fails."""
         services, content = self.manifest() if with_manifest else (None, b"")
         listed = [p for p in scan.listed(self.root) if p != manifest.FILENAME or not with_manifest]
-        facts = scan.facts(self.spark, self.root, listed).persist()
+        facts = scan.facts(self.spark, self.root, scan.bounded(self.root, listed)).persist()
         try:
             extra = self.spark.createDataFrame([(manifest.FILENAME, 0, "file", hashlib.sha256(content).hexdigest())], "path string, ordinal int, fact string, name string")
             whole = facts.unionByName(extra, allowMissingColumns=True) if with_manifest else facts
@@ -81,13 +81,7 @@ class Project:
         return store.load(self.spark, self.folder)
 
     def inventory(self) -> DataFrame:
-        rows = []
-        for path in scan.listed(self.root):
-            try:
-                rows.append((path, hashlib.sha256(scan.read(self.root, path)).hexdigest()))
-            except (scan.ScanError, OSError):
-                rows.append((path, ""))
-        return self.spark.createDataFrame(rows, "path string, sha256 string")
+        return scan.hashes(self.spark, self.root, scan.listed(self.root))
 
     def issues(self, ledger: Ledger) -> list[str]:
         found = integrity.structural_issues(ledger)

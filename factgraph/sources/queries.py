@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.plans.star import table
+from factgraph.operators import gocalls
 from factgraph.sources import scan, sqlref
 
 REFERENCE = "schema string, table string, access string, operation string, error string"
@@ -97,6 +98,37 @@ UNION ALL SELECT path, 'edge', 'contains_message', 'c.' || k, 'c.' || k || ' pub
 UNION ALL SELECT path, 'edge', 'references_schema', 'c.' || k || ' publish', 'P', loc || '.publish.message' FROM c"""
 
 
+def go_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package per supplier: a route with its handler, a query of a constant made of two, a call, and a receiver that nothing proves."""
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    content = text(
+        'package p\n\nimport (\n\t"database/sql"\n\tweb "net/http"\n)\n\nconst head = "SELECT id "\nconst all = head + "FROM t', key,
+        '"\n\nfunc Serve(w web.ResponseWriter, r *web.Request) {}\n\nfunc Run(db *sql.DB, m *web.ServeMux) {\n\tm.HandleFunc("GET /s/', key,
+        '", Serve)\n\tdb.Query(all)\n\tServe(nil, nil)\n\tlost.Exec("x")\n}\n',
+    )
+    facts, tables = gocalls.resolved(scan.facts_of(contents(s, text("svc/", key, "/a.go"), content)))
+    shown = lambda c: F.regexp_replace(F.col(c), "#[0-9]+$", "")
+    a = facts.filter("fact = 'asset' and kind in ('route', 'query')").select("path", "fact", "kind", shown("canonical").alias("subject"), "name", "locator")
+    e = facts.filter("fact = 'edge' and type <> 'contains'").select("path", "fact", F.col("type").alias("kind"), shown("from_canonical").alias("subject"), shown("to_canonical").alias("name"), "locator")
+    g = facts.filter("fact in ('gap', 'support')").select("path", "fact", "kind", F.coalesce(shown("canonical"), F.lit("")).alias("subject"), F.lit("").alias("name"), "locator")
+    t = tables.select("path", F.lit("table").alias("fact"), F.col("access").alias("kind"), shown("query").alias("subject"), F.col("table").alias("name"), "locator")
+    return a.unionByName(e).unionByName(g).unionByName(t)
+
+
+GO_SQL = """WITH s AS (SELECT s_suppkey AS k, 'svc/' || s_suppkey || '/a.go' AS path, 'svc%2F' || s_suppkey || '%2Fa.go:p.' AS f FROM supplier)
+SELECT path, 'asset' AS fact, 'route' AS kind, 'go_route:' || f || 'Run' AS subject, 'GET /s/' || k AS name, 'L14-L14' AS locator FROM s
+UNION ALL SELECT path, 'asset', 'query', 'go_query:' || f || 'Run', 'Query', 'L15-L15' FROM s
+UNION ALL SELECT path, 'edge', 'calls', 'go_function:' || f || 'Run', 'go_function:' || f || 'Serve', 'L16-L16' FROM s
+UNION ALL SELECT path, 'edge', 'registers', 'go_function:' || f || 'Run', 'go_route:' || f || 'Run', 'L14-L14' FROM s
+UNION ALL SELECT path, 'edge', 'handles', 'go_route:' || f || 'Run', 'go_function:' || f || 'Serve', 'L14-L14' FROM s
+UNION ALL SELECT path, 'edge', 'queries', 'go_function:' || f || 'Run', 'go_query:' || f || 'Run', 'L15-L15' FROM s
+UNION ALL SELECT path, 'gap', 'go_unresolved_sql_receiver', '', '', 'L17-L17' FROM s
+UNION ALL SELECT path, 'support', 'route', 'go_route:' || f || 'Run', '', 'L14-L14' FROM s
+UNION ALL SELECT path, 'support', 'query', 'go_query:' || f || 'Run', '', unnest(['L8-L8', 'L9-L9']) FROM s
+UNION ALL SELECT path, 'table', 'read', 'go_query:' || f || 'Run', 't' || k, 'L15-L15' FROM s"""
+
+
 def sqlref_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement per order: reads, writes and one that is out of the grammar, by turns."""
     o = table(spark, sf_dir, "orders")
@@ -117,4 +149,4 @@ CASE WHEN o_orderkey % 4 = 3 THEN '' WHEN o_orderkey % 4 = 1 OR o_orderkey % 8 =
 CASE o_orderkey % 4 WHEN 0 THEN 'read' WHEN 3 THEN '' ELSE 'write' END AS access, CASE WHEN o_orderkey % 4 = 0 THEN 'SELECT' WHEN o_orderkey % 4 = 1 THEN 'INSERT' WHEN o_orderkey % 8 = 2 THEN 'DELETE' WHEN o_orderkey % 8 = 6 THEN 'UPDATE' ELSE '' END AS operation,
 CASE o_orderkey % 4 WHEN 3 THEN 'go_unsupported_sql' ELSE '' END AS error FROM orders"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL), (go_facts, GO_SQL))}

@@ -23,6 +23,7 @@ SKIPPED_FOLDERS = ("node_modules", "vendor")
 CREDENTIALS = re.compile(r"^(\.|credentials\.|secrets\.|service-account\.|service_account\.)", re.IGNORECASE)
 MOST_FILES = 10_000
 MOST_BYTES = 4 << 20
+MOST_GO_BYTES = 64 << 20
 
 FACTS = (
     "path string, ordinal int, fact string, kind string, name string, canonical string, attributes map<string,string>, locator string, "
@@ -63,6 +64,13 @@ def listed(root: str) -> list[str]:
     return sorted(found, key=lambda p: p.encode("utf-8", "surrogateescape"))
 
 
+def bounded(root: str, paths: list[str]) -> list[str]:
+    """paths, whose Go sources together must not exceed a scan's bound."""
+    if sum(os.path.getsize(os.path.join(root, *p.split("/"))) for p in paths if p.lower().endswith(".go")) > MOST_GO_BYTES:
+        raise ScanError(f"the project's Go sources exceed {MOST_GO_BYTES} bytes; select a narrower folder")
+    return paths
+
+
 def read(root: str, path: str) -> bytes:
     whole = os.path.join(root, *path.split("/"))
     if not inside(root, whole) or not os.path.isfile(whole):
@@ -159,6 +167,26 @@ def facts_of(contents: DataFrame) -> DataFrame:
     return contents.select("path", "content").mapInPandas(run, FACTS)
 
 
+def hashes(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """(path, sha256) of files under root, hashed by the tasks that read them; '' for what can't be read."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path in batch["path"]:
+                try:
+                    found.append(hashlib.sha256(read(root, path)).hexdigest())
+                except (ScanError, OSError):
+                    found.append("")
+            yield batch.assign(sha256=found)
+
+    return spread(spark, paths).mapInPandas(run, "path string, sha256 string")
+
+
+def spread(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(64, len(paths) // 16)))
+
+
 def facts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
     """The facts of files under root, read by the tasks that extract them."""
 
@@ -172,5 +200,4 @@ def facts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
                     rows.append(dict.fromkeys(COLUMNS) | {"path": path, "ordinal": 0, "fact": "error", "name": str(e)})
             yield pd.DataFrame(rows, columns=COLUMNS)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, min(64, len(paths) // 16)))
-    return files.mapInPandas(run, FACTS)
+    return spread(spark, paths).mapInPandas(run, FACTS)
