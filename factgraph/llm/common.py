@@ -14,10 +14,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders that this process has made in the shared folder and not yet released.
+made: list[str] = []
+
+
+def released(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Deletes the folders that were made after the first since ones, but for those that keep reads. Only for results that are written: others are still to be read."""
+    kept = set() if keep is None else {f[: f.rfind("/")] for f in keep.inputFiles()}
+    jvm = spark._jvm.org.apache.hadoop.fs
+    for path in made[since:]:
+        at = jvm.Path(path)
+        if not any(k.rstrip("/").endswith(at.toUri().getPath()) for k in kept):
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            made.remove(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Only a local session may leave that unset: elsewhere a folder of the driver's is no shared one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if spark.conf.get("spark.checkpoint.dir", None) is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
@@ -26,7 +43,8 @@ def new_shared_path(spark: SparkSession, name: str) -> str:
     """A fresh folder for one run's files, with its scheme."""
     base = shared_dir(spark)
     base = re.sub(r"^(file:)?/+", "file:///", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made.append(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return made[-1]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

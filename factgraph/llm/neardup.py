@@ -1,8 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its five-word shingles: a shingle weighs 1 + log(its count in the text), times 1 + RARE * log(N / df) / log(N), df being
-the documents that hold it. Either factor is damped: a word said over and over does not outweigh a text, and what thousands of copies share still
-counts nearly as much as what sets each of them apart. df is counted over all documents in a table of 2^20 counters, whose median, the load that chance puts on any counter, is taken off; the
+the documents that hold it. Two texts are similar if their weighted Jaccard similarity is SIMILAR or more. Since what sets two copies apart is rarer than
+what thousands of copies share, the weights alone would part large groups at the threshold; so pairs from floor(SIMILAR) on, which no pair of single
+shingles falls below whose plain Jaccard similarity is SIMILAR, are also similar if that plain similarity is SIMILAR or more. df is counted over all documents in a table of 2^20 counters, whose median, the load that chance puts on any counter, is taken off; the
 table has a fixed size and is broadcast. Each of 48 samples draws one shingle of a text so that two texts draw the same with probability of their
 weighted Jaccard similarity; 16 bands of 3 samples put texts into buckets.
 
@@ -11,8 +12,8 @@ copies is the one nearest to all, in odd bands one by a hash that differs from b
 similarity, and verified links join texts to classes, which settles most of a group of copies at a cost in proportion to its size. Then every bucket
 whose texts are not all of one class is finished: those outside its largest class are compared with all the others of other classes, except pairs that a
 bound excludes. Two bounds hold without exception: similarity is at most the ratio of the total weights, and 1 - similarity is a metric, so two texts
-whose similarities to the bucket's hub lie more than 1 - SIMILAR apart are not similar. So each pair that shares a bucket is in one class, compared, or
-excluded; the only links that can be missed are those of pairs that share no bucket (a chance of 2e-5 at similarity 0.8).
+whose weighted similarities to the bucket's hub lie more than 1 - floor(SIMILAR) apart are not similar. So each pair that shares a bucket is in one class, compared, or
+excluded; the only links that can be missed are those of pairs that share no bucket (a chance of 2e-5 at weighted similarity 0.8, 4e-4 at the floor).
 
 df comes from counters that other shingles share; what chance adds to a counter moves a weight by less than RARE and in all texts alike, so similarities
 stay exact for the weights in use.
@@ -38,7 +39,7 @@ WORDS = 5
 SIMILAR = 0.8
 BANDS, ROWS = 16, 3
 COUNTERS = 20  # bits
-RARE = 0.1
+RARE = 0.5
 #: Counters of a row of partial counts, and shingles that are sampled together.
 BLOCK = 1 << 11
 TOGETHER = 200_000
@@ -186,6 +187,19 @@ def similarity(a: tuple, b: tuple, idf: np.ndarray) -> float:
     return float(both / whole) if whole else 0.0
 
 
+def floor(least: float) -> float:
+    """The least weighted similarity of two sets of single shingles whose plain similarity is least: all that differs is as rare as can be, all that is shared as common."""
+    return least / (least + (1 - least) * (1 + RARE))
+
+
+def alike(a: tuple, b: tuple, score: float, least: float) -> bool:
+    """Whether two sets of that weighted similarity are similar."""
+    if score >= least or score < floor(least):
+        return score >= least
+    both = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    return both >= least * (len(a[0]) + len(b[0]) - both)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """(v, hub, score, similar) of pairs (v, hub), the score being their similarity."""
     own = texts.select("v", F.col("text").alias("own"))
@@ -203,8 +217,9 @@ def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame
                     held += len(known[hub][0])
                     while len(known) > 1 and held > HUBS_HELD:
                         held -= len(known.popitem(last=False)[1][0])
-                score = similarity(shingles(mine), known[hub], table)
-                out.append((v, hub, score, score >= least))
+                own = shingles(mine)
+                score = similarity(own, known[hub], table)
+                out.append((v, hub, score, alike(own, known[hub], score, least)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.bool_()))], ["v", "hub", "score", "similar"])
 
     return pairs.join(own, "v").join(hubs, "hub").select("v", "hub", "own", "other").mapInArrow(compare, "v long, hub long, score double, similar boolean")
@@ -245,7 +260,7 @@ def settled(beside: DataFrame, judged: DataFrame, found: DataFrame, texts: DataF
     columns = ["band", "key", "block", "past", "v", "weight", "bands", "c", "low", "high", "main", "text"]
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, at, block, stack = idf.value, None, [], None
+        table, at, block, stack, low_score = idf.value, None, [], None, floor(least)
         root: dict[int, int] = {}
 
         def top(c: int) -> int:
@@ -270,16 +285,16 @@ def settled(beside: DataFrame, judged: DataFrame, found: DataFrame, texts: DataF
                     tops = np.array([top(x[3]) for x in block])
                 mine = top(c)
                 open_ = (tops != mine) & ((c == main) | (stack.v < v))
-                open_ &= np.minimum(stack.weight, weight) >= np.maximum(stack.weight, weight) * (least - 1e-6)
-                open_ &= np.maximum(stack.low - high, low - stack.high) <= 1 - least + 1e-6
+                open_ &= np.minimum(stack.weight, weight) >= np.maximum(stack.weight, weight) * (low_score - 1e-6)
+                open_ &= np.maximum(stack.low - high, low - stack.high) <= 1 - low_score + 1e-6
                 if band and open_.any():
                     open_ &= ~(stack.keys == np.array(keys[:band])).any(axis=1)
                 if not open_.any():
                     continue
                 s = shingles(text.as_py())
                 scores = stack.scores(s, weights(s, table))
-                for i in np.nonzero(open_ & (scores >= least - 1e-9))[0]:
-                    if tops[i] != mine and similarity(s, block[i][6], table) >= least:
+                for i in np.nonzero(open_ & (scores >= low_score - 1e-9))[0]:
+                    if tops[i] != mine and alike(s, block[i][6], similarity(s, block[i][6], table), least):
                         out.append((v, block[i][0]))
                         root[int(tops[i])] = mine
                         tops[tops == tops[i]] = mine
@@ -342,7 +357,7 @@ def classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lea
     links = None
     if not beside.isEmpty():
         # similarity is at most the ratio of the total weights
-        close = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * (least - 1e-6)
+        close = F.least("weight", "hub_weight") >= F.greatest("weight", "hub_weight") * (floor(least) - 1e-6)
         pairs = written(beside.filter(close).select("v", "hub").distinct(), "near-pairs")
         wanted = beside.select("v").unionByName(beside.select(F.col("hub").alias("v"))).distinct()
         texts = written(rows.join(wanted, "v", "left_semi").dropDuplicates(["v", "text"]), "near-texts")

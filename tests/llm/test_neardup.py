@@ -6,6 +6,12 @@ import pytest
 from factgraph.llm import neardup
 
 
+def close(a, b, weighted, least):
+    """By weighted similarity, or by plain similarity where the weighted one is not far below."""
+    x, y = set(a[0].tolist()), set(b[0].tolist())
+    return weighted >= least or bool(x) and weighted >= least / (least + (1 - least) * 1.5) and len(x & y) / len(x | y) >= least
+
+
 def brute(rows, least=0.8):
     """Classes by comparing all pairs of texts, with the same weights."""
     texts = [(i, t or "") for i, t in rows if i is not None]
@@ -22,7 +28,7 @@ def brute(rows, least=0.8):
         return i
 
     for a, b in combinations(range(len(texts)), 2):
-        if texts[a][1] == texts[b][1] or neardup.similarity(sets[a], sets[b], idf) >= least:
+        if texts[a][1] == texts[b][1] or close(sets[a], sets[b], neardup.similarity(sets[a], sets[b], idf), least):
             x, y = sorted((root(texts[a][0]), root(texts[b][0])))
             parent[y] = x
     return {i: root(i) for i in parent}
@@ -83,3 +89,22 @@ def test_sampling_estimates_similarity():
     b = neardup.shingles(" ".join(f"w{i}" if i % 57 else f"x{i}" for i in range(400)))
     x, y = neardup.samples([a, b], idf)
     assert (x == y).mean() == pytest.approx(neardup.similarity(a, b, idf), abs=0.15)
+
+
+def test_copies_at_the_threshold_in_a_large_group(spark):
+    """Ten words changed far apart in copies of 454: of 500 shingles 400 are shared with the original, just 0.8."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    base = [word() for _ in range(454)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 30):
+        text = list(base)
+        for at in range(20, 420, 40):
+            text[at] = word()
+        rows.append((i, " ".join(text)))
+    far = list(base)
+    for at in range(20, 440, 10):
+        far[at] = word()
+    rows.append((99, " ".join(far)))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 0 for i in range(30)} | {99: 99}

@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factgraph.llm import bpe, mixing, quality
+from factgraph.llm import bpe, common, mixing, quality
 
 from .test_linededup import brute as brute_lines
 from .test_mixing import brute as brute_mix
@@ -71,3 +71,10 @@ def test_odd_rows(spark):
     assert all(r.text for r in seen["mix"])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_folders_are_released(spark):
+    """After a run only the last written stage's folder is left of those that it made."""
+    before = len(common.made)
+    whole = corpus_pipeline.run(spark, DATA)
+    assert [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in common.made[before:]] == ["pipeline-mix"] and whole.count()
