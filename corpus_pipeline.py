@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.llm import bpe, linededup, mixing, neardup, quality
-from factgraph.llm.common import table, written
+from factgraph.llm.common import made, released, table, written
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LEAST_QUALITY = 0.3
@@ -69,9 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another. What a stage has put into the shared folder goes when its result is written, so one stage's folders are there at a time."""
     docs = table(spark, sf_dir, "documents")
+    since = len(made)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{name}")
+            released(spark, since, keep=docs)
     return docs
