@@ -67,11 +67,13 @@ class Project:
             os.makedirs(self.folder, mode=0o700, exist_ok=True)
             store.save(ledger, self.folder)
             counts = {r.fact: r.n for r in facts.groupBy("fact").agg(F.count(F.lit(1)).alias("n")).collect()}
-            kinds = {r.kind: r.n for r in facts.filter("fact = 'asset'").groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+            kept = self.ledger()
+            kinds = {r.kind: r.n for r in summary.by_kind(kept.assets).collect()}
             files = counts.get("file", 0) + (1 if with_manifest else 0)
             return {
-                "candidates": files, "sources": counts.get("source", 0), "skipped": files - counts.get("source", 0), "gaps": counts.get("gap", 0),
+                "candidates": files, "sources": counts.get("source", 0), "skipped": files - counts.get("source", 0), "gaps": kept.diagnostics.count(),
                 "apis": kinds.get("api", 0) + kinds.get("asyncapi", 0), "operations": kinds.get("operation", 0), "schemas": kinds.get("schema", 0), "tables": kinds.get("table", 0),
+                "packages": kinds.get("package", 0), "functions": kinds.get("function", 0), "routes": kinds.get("route", 0), "queries": kinds.get("query", 0),
                 "services": len(services.services) if services else 0,
             }
         finally:

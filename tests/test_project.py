@@ -103,8 +103,45 @@ def test_go_packages_span_files(spark, tmp_path):
     (tmp_path / "a_test.go").write_text("package shop\nfunc Hidden() {}\n")
     project = Project(spark, str(tmp_path))
     project.init()
-    assert project.scan()["gaps"] == 2
+    assert project.scan()["gaps"] == 0
     got = project.summary()["assets"]
     assert (got["package"], got["function"]) == (1, 2)
     assert {r["name"] for r in project.impact("package:shop")} == {"shop.A", "shop.B"}
     assert project.verify()["valid"]
+
+
+GO = """package shop
+
+import "database/sql"
+
+const items = "items"
+
+func List(db *sql.DB) {
+	db.Query("SELECT * FROM " + items)
+	db.Exec("DELETE FROM gone")
+	helper()
+}
+"""
+
+
+def test_go_queries_reach_tables(spark, tmp_path):
+    """A query's edge to the table of its service, with the lines of text, constant and declaration; other tables leave a gap."""
+    (tmp_path / "svc").mkdir()
+    (tmp_path / "svc" / "a.go").write_text(GO)
+    (tmp_path / "svc" / "b.go").write_text("package shop\n\nfunc helper() {}\n")
+    (tmp_path / "svc" / "t.sql").write_text("CREATE TABLE items (id int);\n")
+    (tmp_path / "factgraph.yaml").write_text("version: 1\nservices:\n  - name: shop\n    owner: team\n    source: svc\n")
+    project = Project(spark, str(tmp_path))
+    stats = project.scan()
+    assert [stats[k] for k in ("packages", "functions", "routes", "queries", "tables", "gaps")] == [1, 2, 0, 2, 1, 1]
+    ledger = project.ledger()
+    assert [(r.code, r.path, r.locator) for r in ledger.diagnostics.collect()] == [("go_unresolved_table", "svc/a.go", "L9-L9")]
+    names = {r.id: r.name for r in ledger.assets.collect()}
+    edges = {r.id: (names[r.from_id], names[r.to_id], r.type) for r in ledger.relationships.filter("type not in ('owns_asset', 'contains')").collect()}
+    assert sorted(edges.values()) == [("Query", "items", "reads_table"), ("shop.List", "Exec", "queries"), ("shop.List", "Query", "queries"), ("shop.List", "shop.helper", "calls")]
+    paths = {r.id: r.path for r in ledger.sources.collect()}
+    evidence = ledger.evidence.collect()
+    assert sorted((paths[e.source_id], e.locator) for e in evidence if edges.get(e.relationship_id, ("", "", ""))[2] == "reads_table") == [("svc/a.go", "L5-L5"), ("svc/a.go", "L8-L8"), ("svc/t.sql", "CREATE TABLE items")]
+    package = next(i for i, n in names.items() if n == "shop" and i in {e.asset_id for e in evidence if paths[e.source_id] == "svc/b.go"})
+    assert sorted(paths[e.source_id] for e in evidence if e.asset_id == package) == ["svc/a.go", "svc/b.go"]
+    assert project.verify() == {"valid": True, "issues": []}
