@@ -121,7 +121,55 @@ def strict_json(text: str) -> object:
     return value
 
 
-def parse_proposal(text: str, pack: dict, provider: str, model: str) -> dict:
+# What a finished reply of each provider says of itself, what it must not hold, and where its text is.
+REPLY_BYTES = 1 << 20
+FINISHED = {"openai": {"status": "completed"}, "anthropic": {"type": "message", "role": "assistant", "stop_reason": "end_turn"}}
+ABSENT = {"openai": ("error", "incomplete_details"), "anthropic": ("error", "stop_sequence")}
+MESSAGE = {"type": "message", "role": "assistant", "status": "completed"}
+REASONING = {"id", "type", "summary", "status", "content", "encrypted_content"}
+TEXT_TYPE = {"openai": "output_text", "anthropic": "text"}
+
+
+def read_reply(data: bytes, provider: str) -> tuple[str, dict | None]:
+    """The text of a provider's whole reply, and the tokens that it counts; AssistError unless it is finished, and holds text only besides its reasoning."""
+    wrong = AssistError("the reply is not a finished answer of the provider")
+    says = lambda x, expected: isinstance(x, dict) and all(x.get(k) == v for k, v in expected.items())
+    some = lambda x: isinstance(x, list) and 0 < len(x) <= LISTED
+
+    def pieces(x: object, kind: str) -> bool:
+        return isinstance(x, list) and len(x) <= LISTED and all(isinstance(p, dict) and p.keys() == {"type", "text"} and p["type"] == kind and isinstance(p["text"], str) for p in x)
+
+    def reasons(x: dict) -> bool:
+        whole = x.keys() <= REASONING and valid(x.get("id"), ID_BYTES) and pieces(x.get("summary"), "summary_text") and x.get("status", "completed") == "completed"
+        return whole and ("content" not in x or pieces(x["content"], "reasoning_text")) and isinstance(x.get("encrypted_content") or "", str)
+
+    try:
+        reply = strict_json(data.decode()) if len(data) <= REPLY_BYTES else None
+    except UnicodeDecodeError:
+        raise wrong from None
+    if provider not in FINISHED or not says(reply, FINISHED[provider]) or any(reply.get(k) is not None for k in ABSENT[provider]):
+        raise wrong
+    parts = reply.get("output" if provider == "openai" else "content")
+    if not some(parts):
+        raise wrong
+    if provider == "openai":
+        thought = [isinstance(x, dict) and x.get("type") == "reasoning" for x in parts]
+        messages = [x for x, t in zip(parts, thought, strict=True) if not t]
+        if not all(reasons(x) for x, t in zip(parts, thought, strict=True) if t):
+            raise wrong
+        if not messages or not all(says(x, MESSAGE) and x.get("tool_calls") is None and x.get("refusal") is None and some(x.get("content")) for x in messages):
+            raise wrong
+        parts = [p for x in messages for p in x["content"]]
+    if not all(says(p, {"type": TEXT_TYPE[provider]}) and p.get("refusal") is None and isinstance(p.get("text"), str) and p["text"] for p in parts):
+        raise wrong
+    text, usage = "".join(p["text"] for p in parts), reply.get("usage")
+    counts = {} if usage is None else {k: usage[k] for k in ("input_tokens", "output_tokens") if usage.get(k) is not None} if isinstance(usage, dict) else None
+    if len(text.encode("utf-8", "surrogatepass")) > OUTPUT_BYTES or counts is None or not all(type(n) is int and 0 <= n < 1 << 63 for n in counts.values()):
+        raise wrong
+    return text, counts or None
+
+
+def parse_proposal(text: str, pack: dict, provider: str, model: str, usage: dict | None = None) -> dict:
     """A reply as an unverified proposal, with the owners of the assets that it touches; AssistError unless every part is as asked for."""
     wrong = AssistError("the reply is not a proposal about this pack")
     if len(text.encode("utf-8", "surrogatepass")) > OUTPUT_BYTES:
@@ -139,7 +187,7 @@ def parse_proposal(text: str, pack: dict, provider: str, model: str) -> dict:
             raise wrong
     touched = {i for s in suggestions for i in s["asset_ids"]}
     owners = sorted({(o["name"], o["team"]) for i in touched for o in assets[i]["owners"]})
-    return {"label": LABEL, "provider": provider, "model": model, **found, "affected_owners": [{"name": n, "team": t} for n, t in owners]}
+    return {"label": LABEL, "provider": provider, "model": model, **found, "affected_owners": [{"name": n, "team": t} for n, t in owners]} | ({"usage": usage} if usage else {})
 
 
 def render(proposal: dict, pack: dict) -> str:
@@ -151,4 +199,5 @@ def render(proposal: dict, pack: dict) -> str:
     for title, key in (("Assumptions", "assumptions"), ("Unanswered questions", "unanswered_questions")):
         lines += [f"{title}:", *(f"- {x}" for x in proposal[key])] if proposal[key] else []
     lines += ["Affected owners:", *(f"- {o['name']} (team: {o['team']})" for o in proposal["affected_owners"])] if proposal["affected_owners"] else []
+    lines += ["Tokens: " + ", ".join(f"{k.removesuffix('_tokens')} {n}" for k, n in proposal["usage"].items())] if proposal.get("usage") else []
     return "\n".join(lines)

@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from factgraph import __version__
 from factgraph.project import Project
+from factgraph.report import RENDERERS
 
 VERBS = {"init": 0, "scan": 0, "ingest": 0, "build": 0, "summary": 0, "verify": 0, "doctor": 0, "explain": 1, "impact": 1, "pack": 1, "path": 2, "ask": 1, "version": 0}
 
@@ -33,6 +34,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--asset", help="what ask is about")
     parser.add_argument("--provider", default="")
     parser.add_argument("--model", default="")
+    parser.add_argument("--reply", help="a file with a provider's reply, which ask reads and renders")
     parser.add_argument("--dry-run", action="store_true", help="ask shows its request; it never sends one")
     args = parser.parse_args(argv)
     if args.verb == "ask" and not args.asset:
@@ -43,15 +45,21 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(__version__)
         return 0
     project = Project(spark or SparkSession.builder.appName("factgraph").getOrCreate(), args.project, args.db)
+    text = ""
     try:
         if args.verb == "ask":
-            result = project.ask(args.arguments[0], args.asset, args.provider, args.model, args.dry_run)
+            if args.reply:
+                with open(args.reply, "rb") as f:
+                    result, text = project.answered(f.read(), args.asset, args.provider, args.model)
+            else:
+                result = project.ask(args.arguments[0], args.asset, args.provider, args.model, args.dry_run)
         else:
             result = project.scan(False) if args.verb == "ingest" else getattr(project, args.verb)(*args.arguments)
     except (ValueError, LookupError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    print(json.dumps(result, ensure_ascii=False, separators=(",", ":")) if args.format == "json" else "\n".join(lines(result)))
+    shown = RENDERERS.get(args.verb, lines)
+    print(json.dumps(result, ensure_ascii=False, separators=(",", ":")) if args.format == "json" else text or "\n".join(shown(result)))
     return int(isinstance(result, dict) and (result.get("valid") is False or result.get("healthy") is False))
 
 

@@ -189,6 +189,14 @@ class Project:
             raise VerifyError("; ".join(issues))
         return neighborhood.pack(ledger, links.resolve(ledger.assets, selector).id)
 
+    def answered(self, reply: bytes, selector: str, provider: str = "", model: str = "") -> tuple[dict, str]:
+        """A provider's reply about an asset's pack, read strictly: the proposal, and its rendering."""
+        chosen, pack = self.manifest()[0].assistance, self.pack(selector)
+        provider, model = provider or chosen.get("provider", ""), model or chosen.get("model", "")
+        text, usage = assist.read_reply(reply, provider)
+        proposal = assist.parse_proposal(text, pack, provider, model, usage)
+        return proposal, assist.render(proposal, pack)
+
     def ask(self, question: str, selector: str, provider: str = "", model: str = "", dry_run: bool = True) -> dict:
         """The request that would ask about an asset's pack; provider and model are the manifest's unless given."""
         chosen = self.manifest()[0].assistance

@@ -73,3 +73,29 @@ def test_proposal():
 def test_replies_that_are_not_taken(text):
     with pytest.raises(assist.AssistError):
         assist.parse_proposal(text, PACK, "openai", "m")
+
+
+OPENAI = {"status": "completed", "output": [{"type": "reasoning", "id": "r", "summary": [{"type": "summary_text", "text": "thought"}]}, {"type": "message", "role": "assistant", "status": "completed", "content": [{"type": "output_text", "text": "a"}, {"type": "output_text", "text": "b"}]}], "usage": {"input_tokens": 3, "output_tokens": 4}}
+ANTHROPIC = {"type": "message", "role": "assistant", "stop_reason": "end_turn", "content": [{"type": "text", "text": "ab"}]}
+
+
+def test_replies():
+    assert assist.read_reply(json.dumps(OPENAI).encode(), "openai") == ("ab", {"input_tokens": 3, "output_tokens": 4})
+    assert assist.read_reply(json.dumps(ANTHROPIC).encode(), "anthropic") == ("ab", None)
+    got = assist.parse_proposal(json.dumps(REPLY), PACK, "openai", "m", {"input_tokens": 3})
+    assert assist.render(got, PACK).endswith("Tokens: input 3")
+
+
+@pytest.mark.parametrize(
+    ("provider", "reply"),
+    [
+        ("openai", ANTHROPIC), ("anthropic", OPENAI), ("other", OPENAI), ("openai", changed(OPENAI, "status", "incomplete")), ("openai", changed(OPENAI, "error", {})), ("openai", changed(OPENAI, "output", [])),
+        ("openai", changed(OPENAI, "output", OPENAI["output"][:1])), ("openai", changed(OPENAI, "output", 0, "summary", "x")), ("openai", changed(OPENAI, "output", 0, "more", 1)), ("openai", changed(OPENAI, "output", 0, "status", "in_progress")),
+        ("openai", changed(OPENAI, "output", 1, "tool_calls", [])), ("openai", changed(OPENAI, "output", 1, "content", 0, "refusal", "no")), ("openai", changed(OPENAI, "output", 1, "content", 0, "type", "text")),
+        ("openai", changed(OPENAI, "usage", {"input_tokens": -1})), ("openai", changed(OPENAI, "usage", {"input_tokens": True})), ("openai", changed(OPENAI, "usage", 3)), ("openai", changed(OPENAI, "output", 1, "content", 0, "text", "x" * 70_000)),
+        ("anthropic", changed(ANTHROPIC, "stop_reason", "max_tokens")), ("anthropic", changed(ANTHROPIC, "stop_sequence", "x")), ("anthropic", changed(ANTHROPIC, "content", 0, "text", "")), ("anthropic", changed(ANTHROPIC, "content", [{"type": "text", "text": "x"}] * 33)),
+    ],
+)
+def test_replies_that_are_unfinished(provider, reply):
+    with pytest.raises(assist.AssistError):
+        assist.read_reply(json.dumps(reply).encode(), provider)
