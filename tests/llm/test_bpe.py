@@ -1,4 +1,5 @@
 import functools
+import hashlib
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factgraph.llm import bpe
+from factgraph.llm import bpe, queries
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
 ODD = ["", "ΣΑΣ ΟΔΟΣ", "a<|endoftext|>b <|startoftext|>", "İstanbul ǅ ﬁ x²½ ⅷ", "é  x\x85y\x1cz", "日本語 🎉🎉", "don't we'll 'S", "x" * 5000, "ab" * 3000, " \t\n\n  z  ", "​﻿᠎"]
@@ -53,3 +54,19 @@ def test_frame(spark):
     assert by[0] == (None, "") and by[1] == by[2] == (1, "hello</w> world</w>") and by[3] == (2, "")
     assert bpe.encode_decode(docs.limit(0), public_tokenizers.path(FILES[0])).count() == 0
     assert got.filter(F.octet_length("ids") == 0).count() == 2
+
+
+def test_query_as_the_library(spark):
+    """The query's digests over the whole table, from the library's ids and text."""
+    data = "/root/testdata/sf0.001"
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    ids, decoded = as_library(FILES[0], [t for _, t in rows])
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = sorted((i, len(x), sha(np.array(x, "<u4").tobytes()), sha(d.encode())) for (i, _), x, d in zip(rows, ids, decoded, strict=True))
+    assert sorted(tuple(r) for r in queries.op1_bpe_encode_decode(spark, data).collect()) == want
+
+
+def test_long_words_are_not_kept():
+    mine = bpe.PairIndexBpe(public_tokenizers.path(FILES[0]))
+    mine.encode_batch(["x" * 5000 + " short " + "y" * 300])
+    assert [w for w in mine.known if len(w) > bpe.LONG] == [] and "short" in mine.known

@@ -44,6 +44,7 @@ CASES = {
     "uneven": [(i, "w " * (1 + i * 7 % 50), f"s{i % 3 if i % 5 else 0}") for i in range(200)],
     "null source, null and empty texts": [(1, "a b c", None), (2, None, "x"), (3, "", "y"), (4, "a b c\td", "x"), (5, "q " * 30, "z")],
     "one source": [(i, "w " * i, "s") for i in range(20)],
+    "a very long text": [(1, "w " * 400_000, "a"), *((i, "w " * (i * 3), "ab"[i % 2]) for i in range(2, 60))],
     "capped": [(i, "w " * (500 if i > 5 else 2), "a" if i < 3 else "b" if i < 6 else "c") for i in range(40)],
 }
 
