@@ -229,10 +229,8 @@ class Resolved:
         calls = written(self.keyed(valued(source, calls), "route"), "go-routes")
         at = span(F.col("pattern_arg.line"), F.col("pattern_arg.last"))
         self.gap(calls.filter("value is null"), "go_dynamic_route", at)
-        cut = F.regexp_extract_all("value", F.lit(r"^(?:([^ \t]*)[ \t]+)?([^ \t].*|)$"), F.lit(0))
         method = F.when(F.col("value").rlike(r"[ \t]"), F.regexp_extract("value", r"(?s)^([^ \t]*)[ \t]", 1)).otherwise("")
         path = F.when(F.col("value").rlike(r"[ \t]"), F.regexp_replace("value", r"(?s)^[^ \t]*[ \t]+", "")).otherwise(F.col("value"))
-        del cut
         calls = calls.filter("value is not null").withColumn("http_method", method).withColumn("route_path", path)
         good = F.col("route_path").contains("/") & F.col("http_method").rlike(r"^[A-Za-z0-9!#$%&'*+.^_`|~-]*$") & ~F.col("route_path").rlike(r"[ \t\r\n]")
         self.gap(calls.filter(~good), "go_route_pattern", at)
