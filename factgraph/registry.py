@@ -341,13 +341,13 @@ def verify_orphaned_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.orphaned_evidence(ledger).groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT id AS asset_id, source_id FROM assets WHERE id % 101 = 3 UNION ALL SELECT NULL, source_id FROM assets WHERE id % 103 = 5 AND id % 101 <> 3")
+@query("SELECT id AS asset_id, source_id FROM assets WHERE id % 101 = 3 UNION ALL SELECT -1, source_id FROM assets WHERE id % 103 = 5 AND id % 101 <> 3")
 def verify_evidence_of_one_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeded: evidence that stands for an asset and a relationship, or for neither."""
     ledger = Ledger.empty(spark)
     e = Star(spark, sf_dir).evidence().filter("asset_id is not null")
     ledger.evidence = e.withColumn("relationship_id", F.when(F.col("asset_id") % 101 == 3, 1)).withColumn("asset_id", F.when((F.col("asset_id") % 103 != 5) | (F.col("asset_id") % 101 == 3), F.col("asset_id")))
-    return integrity.one_target(ledger).select("asset_id", "source_id")
+    return integrity.one_target(ledger).select(F.coalesce("asset_id", F.lit(-1).cast("long")).alias("asset_id"), "source_id")
 
 
 @query("SELECT doc_id::VARCHAR AS path, CASE WHEN doc_id % 13 = 0 THEN 'removed' WHEN doc_id % 17 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id % 13 = 0 OR doc_id % 10 = 0 OR doc_id % 17 = 0", star=False)
