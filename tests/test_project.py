@@ -38,7 +38,7 @@ def root(tmp_path):
 def test_scan_build_path(spark, root, capsys):
     project = Project(spark, str(root))
     stats = project.scan()
-    assert stats == {"candidates": 6, "sources": 4, "skipped": 2, "gaps": 0, "apis": 2, "operations": 2, "schemas": 2, "tables": 2, "services": 2}
+    assert stats == {"candidates": 6, "sources": 4, "skipped": 2, "gaps": 0, "apis": 2, "operations": 2, "schemas": 2, "tables": 2, "services": 2, "packages": 0, "functions": 0, "routes": 0, "queries": 0}
     assert project.verify() == {"valid": True, "issues": []}
     assert project.build() == 2
     got = project.summary()
