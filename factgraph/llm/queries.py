@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import bpe, idfiles, linededup, media, mixing, neardup, pii, quality, topk, toxicity
+from factgraph.llm import balltree, bpe, idfiles, infill, linededup, media, mixing, neardup, pii, quality, topk, toxicity
 from factgraph.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,9 +74,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.clusters(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = infill.transform(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    restored = infill.restored(F.col("output"), F.col("form"))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op3_id_files, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op3_id_files, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources, op11_ball_tree_clusters, op12_fill_in_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": linededup.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL, "op10_mix_sources": mixing.ORACLE_SQL}
+    return {"op5_line_dedup": linededup.ORACLE_SQL, "op9_exact_top_k": topk.ORACLE_SQL, "op10_mix_sources": mixing.ORACLE_SQL, "op11_ball_tree_clusters": balltree.oracle_sql()}
