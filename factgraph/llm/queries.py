@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.llm import balltree, bpe, idfiles, infill, linededup, media, mixing, neardup, pii, quality, topk, toxicity
+from factgraph.llm import balltree, bpe, idfiles, infill, langid, linededup, media, mixing, neardup, pii, quality, topk, toxicity
 from factgraph.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,8 +85,15 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(restored).alias("restored_sha256"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    languages = langid.fit(docs, F.col("doc_id").isNotNull() & ~held_out)
+    return langid.identify(docs, languages, keep=["doc_id"]).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op3_id_files, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources, op11_ball_tree_clusters, op12_fill_in_middle)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_quality, op3_id_files, op4_media_columns, op5_line_dedup, op6_near_duplicates, op7_personal_data, op8_toxicity, op9_exact_top_k, op10_mix_sources, op11_ball_tree_clusters, op12_fill_in_middle, op13_language)}
 
 
 def oracle_sql() -> dict[str, str]:
