@@ -36,6 +36,8 @@ from factgraph.llm.common import written
 #: The sample of a language.
 ROWS, CHARS = 200, 40_000
 PIECE, BLOCK, LANES = 1 << 18, 1024, 4096
+#: The first texts of a language are found in so many shares, and then among theirs; how many rows may be broadcast.
+SHARES, BROADCAST_ROWS = 128, 20_000
 #: Bytes of the segments that are held against other languages.
 SEGMENT = 128
 #: How fast another language's share of the score falls with its bits a byte.
@@ -201,10 +203,14 @@ def fit(docs: DataFrame, learnable: Column, text_col: str = "text", lang_col: st
     usable = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     different = usable.groupBy("lang", "h").agg(F.max(F.length("text")).alias("n"))
     order = (F.col("n") > chars, F.xxhash64("h", F.lit(13)), "h")
-    drawn = different.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= rows)
+    first = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    drawn = different.withColumn("share", F.pmod("h", F.lit(SHARES))).withColumn("rank", first("lang", "share")).filter(F.col("rank") <= rows)
+    drawn = drawn.withColumn("rank", first("lang")).filter(F.col("rank") <= rows)
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
     drawn = drawn.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < chars).select("lang", "h", "rank")
-    texts = written(usable.join(drawn, ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")), "langid-sample")
+    drawn = written(drawn, "langid-drawn")
+    few = drawn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS  # at most ROWS a language, but languages are as many as the table has
+    texts = written(usable.join(F.broadcast(drawn) if few else drawn, ["lang", "h"]).groupBy("lang", "h", "rank").agg(F.min("text").alias("text")), "langid-sample")
     halves = automata(texts.withColumn("part", F.col("rank") % 2), lambda text, lang, rank: pieces(text))
     return [x for _, x in automata(texts.withColumn("part", F.lit(0)), lambda text, lang, rank: own_segments(text, lang, 1 - rank % 2, halves))]
 
