@@ -9,15 +9,16 @@ A shard's vectors come first and are made a tree once; all queries of their leng
 number of queries. This is the stated search of a query set against all rows, not a join of rows with rows; each shard returns k rows a query at most,
 and the k best of a query are kept before the shuffle as well as after it.
 
-Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do null ids or vectors of another length than most
-queries' (inner products need equal lengths: only candidates of a query's own length count); a query's own id is no candidate, also where rows repeat
-it, and its smallest vector asks; other rows that repeat an id count once each; ties go to the smaller id; fewer candidates than k give fewer rows; other columns play no part. Scaled components beyond the bound of their vector's
-length n, about 2^31 / sqrt(n), count as that bound, which keeps each inner product below 2^63.
+Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do null ids; inner products need equal lengths, so only
+candidates of a query's own length count; a query's own id is no candidate, also where rows repeat it, and its smallest vector asks, the shortest first;
+other rows that repeat an id count once each; ties go to the smaller id; fewer candidates than k give fewer rows; other columns play no part. Where products
+may leave 64 bits they are made of Python's integers, so that every order is exact; a score to be returned that leaves 64 bits itself is an error.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +34,8 @@ LEAF = 64
 #: Rows of a shard.
 SHARD_ROWS = 20_000
 LOWEST = -(2**63) + 1
+#: What stands for all scores that leave 64 bits.
+LEAST, MOST = -(2**63), 2**63 - 1
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -61,14 +64,17 @@ class KdTree:
             width = high[-1] - low[-1]
             if b - a > leaf and width.any():
                 m = (b - a) // 2
-                order[a:b] = order[a:b][np.argpartition(part[:, int(width.argmax())], m)]
+                widest = part[:, int(width.argmax())]
+                order[a:b] = order[a:b][np.argsort(widest) if widest.dtype == object else np.argpartition(widest, m)]
                 todo += [(a, a + m, node, 0), (a + m, b, node, 1)]
         self.low, self.high, self.spans, self.children = np.array(low), np.array(high), spans, children
         self.vectors, self.ids = vectors[order], ids[order]
+        self.largest = max(abs(int(self.low[0].min())), abs(int(self.high[0].max())))
 
     def search(self, query: np.ndarray, own: int, k: int, floor: int) -> list[tuple[int, int]]:
-        """At most k (score, -id) that are no worse than floor, best first."""
-        bounds = (np.maximum(query, 0) * self.high + np.minimum(query, 0) * self.low).sum(axis=1)
+        """At most k (score, -id) that are no worse than floor, best first; LOWEST is no floor."""
+        floor = -math.inf if floor == LOWEST else floor
+        bounds = inner(self.high, np.maximum(query, 0), self.largest) + inner(self.low, np.minimum(query, 0), self.largest)
         boxes = [(-int(bounds[0]), 0)]
         best: list[tuple[int, int]] = []
         while boxes and -boxes[0][0] >= floor:
@@ -79,7 +85,7 @@ class KdTree:
                         heapq.heappush(boxes, (-int(bounds[child]), child))
                 continue
             a, b = self.spans[node]
-            scores = self.vectors[a:b] @ query
+            scores = inner(self.vectors[a:b], query, self.largest)
             near = np.nonzero((scores >= floor) & (self.ids[a:b] != own))[0]
             for s, i in zip(scores[near].tolist(), self.ids[a:b][near].tolist(), strict=True):
                 if len(best) < k:
@@ -91,14 +97,19 @@ class KdTree:
         return sorted(best, reverse=True)
 
 
-def bounded(vector: Column) -> Column:
-    """The scaled components, none beyond the bound of the vector's length."""
-    most = F.pow(F.lit(2.0), F.floor((62 - F.ceil(F.log2(F.size(vector)))) / 2))
-    return F.transform(vector, lambda x: F.floor(F.least(F.greatest(x.cast("double") * SCALE, -most), most)))
+def scaled(column: pa.ListArray) -> np.ndarray:
+    """The rows' components times SCALE, rounded down: 64-bit integers, or Python's where those are too small."""
+    x = column.flatten().to_numpy().reshape(len(column), -1)
+    if not x.size or np.abs(x).max() < 2.0**42:
+        return np.floor(x * SCALE).astype(np.int64)
+    whole = [int(c) * SCALE if abs(c) >= 2.0**42 else math.floor(c * SCALE) for c in x.ravel().tolist()]
+    return np.array(whole, dtype=object).reshape(x.shape)
 
 
-def matrix(column: pa.ListArray) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1)
+def inner(vectors: np.ndarray, query: np.ndarray, largest: int) -> np.ndarray:
+    """Inner products of rows whose components are no larger than that."""
+    fits = vectors.dtype != object and query.dtype != object and largest * int(np.abs(query).max()) * len(query) < 1 << 62
+    return vectors @ query if fits else vectors.astype(object) @ query.astype(object)
 
 
 def searched(rows: DataFrame, asking: DataFrame, k: int, only_floor: bool) -> DataFrame:
@@ -115,7 +126,7 @@ def searched(rows: DataFrame, asking: DataFrame, k: int, only_floor: bool) -> Da
                     continue
                 if at != tuple(keys[a, :2]):
                     at, held, tree = tuple(keys[a, :2]), [], None
-                ids, v = batch.column("id")[a:b].to_numpy(), matrix(batch.column("v")[a:b])
+                ids, v = batch.column("id")[a:b].to_numpy(), scaled(batch.column("v")[a:b])
                 if not keys[a, 2]:
                     held.append((v, ids))
                 elif held:
@@ -123,9 +134,9 @@ def searched(rows: DataFrame, asking: DataFrame, k: int, only_floor: bool) -> Da
                     for q, x, floor in zip(ids.tolist(), v, batch.column("floor")[a:b].to_pylist(), strict=True):
                         found = tree.search(x, q, k, floor)
                         if not only_floor:
-                            out += [(q, -i, s) for s, i in found]
-                        elif len(found) == k:
-                            out.append((q, 0, found[-1][0]))
+                            out += [(q, -i, max(LEAST, min(s, MOST))) for s, i in found]
+                        elif len(found) == k and found[-1][0] > LOWEST:
+                            out.append((q, 0, min(found[-1][0], MOST)))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
     mine = rows.select("dim", "shard", F.lit(0).alias("asks"), "id", "v", F.lit(LOWEST).alias("floor"))
@@ -136,7 +147,7 @@ def searched(rows: DataFrame, asking: DataFrame, k: int, only_floor: bool) -> Da
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows by inner product of floor(SCALE * x)."""
     rows = vectors.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.when(usable(F.col(vector_col)), bounded(F.col(vector_col))).alias("v"),
+        F.col(id_col).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.when(usable(F.col(vector_col)), F.col(vector_col).cast("array<double>")).alias("v"),
     ).filter("v is not null and size(v) > 0 and id is not null")
     rows = written(rows.withColumn("dim", F.size("v")), "topk-rows")
     shards = max(1, -(-rows.count() // SHARD_ROWS))
@@ -148,7 +159,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_i
     asking = asks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     hits = written(searched(rows, asking, k, only_floor=False), "topk-hits")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.col("score").isin(LEAST, MOST), F.raise_error(F.lit("a score among the best leaves 64 bits"))).otherwise(F.col("score"))
+    return hits.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", fits.cast("long").alias("score"))
 
 
 #: The same search by brute force in DuckDB's SQL, over the view embeddings.

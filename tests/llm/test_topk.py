@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from factgraph.llm import topk
@@ -35,10 +36,16 @@ def test_odd_rows(spark):
     assert searched(spark, [(0, [1.0], "a")]) == []
 
 
-def test_components_beyond_the_bound(spark):
-    """Two components: scaled values beyond 2^30 count as 2^30, and no product overflows."""
-    rows = [(0, [3e38, 1.0], "a"), (1, [3e38, 0.0], "b"), (2, [-3e38, 0.0], "c"), (3, [2e6, 5.0], "d"), (4, [1.0, 1.0], "e")]
-    most = 2**30
-    v = {i: [max(-most, min(most, math.floor(1024 * float(np.float32(x))))) for x in e] for i, e, _ in rows}
-    want = sorted(((-sum(a * b for a, b in zip(v[0], v[i], strict=True)), i) for i in v if i), key=lambda x: x)
-    assert searched(spark, rows) == [(0, n + 1, i, -s) for n, (s, i) in enumerate(want)]
+def test_products_beyond_64_bits_are_ordered(spark, monkeypatch):
+    """Against Python's integers: products near the end of 64 bits, and ones far beyond 64 bits that cancel or lie outside the k best."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4) * 2.0**19.3], "a") for i in range(150)]
+    assert searched(spark, rows) == brute([r[:2] for r in rows])
+    rows = [(0, [3e38, 1.0, 0.0], "a")] + [(i, [0.0, i / 7, 1e30], "b") for i in range(1, 30)] + [(100, [0.0, 1.0, 0.0], "c"), (50, [-3e38, 5.0, 0.0], "d"), (51, [-1e38, 5.0, 0.0], "d")]
+    assert searched(spark, rows) == brute([r[:2] for r in rows])
+
+
+def test_a_score_beyond_64_bits_is_an_error(spark):
+    with pytest.raises(Exception, match="leaves 64 bits"):
+        searched(spark, [(0, [3e38, 1.0], "a"), (1, [3e38, 0.0], "b")])
