@@ -1,8 +1,7 @@
 """What calls in Go source mean: functions called, HTTP routes and their handlers, SQL statements and their tables. All by joins.
 
-Every file has said what stands in it (sources/gobody): imports, functions, types, fields, globals, names of functions, calls. A chain of names is typed
-a name at a time: the first is a name of the function, an import or a global, each further one a field of the type so far. Constants are sums of
-literals and names; they are put in for one another in rounds, with the lines of all literals that they are made of. What is not exact leaves a gap.
+Every file has said what stands in it (sources/gobody): imports, functions, types, fields, globals, events, uses and calls. What a name stands for where it
+is used, its type or its text with the lines of all literals that it is made of, is found in operators/govalues. What is not exact leaves a gap.
 """
 
 from __future__ import annotations
@@ -13,17 +12,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.operators.govalues import DB, MUX, TX, Source, span
 from factgraph.plans.materialize import written
 from factgraph.sources import sqlref
 
-PART = "struct<text:string,name:string,line:int,last:int>"
-DETAIL = f"type string, alias boolean, pointer boolean, params array<string>, results array<string>, parts array<{PART}>, chain array<string>, tail string, args array<struct<parts:array<{PART}>,chain:array<string>,line:int,last:int>>"
-ORIGINS = "array<struct<path:string,locator:string>>"
-
-# What is known of two packages, and the bounds of an evaluation.
-MUX, DB, TX = "*net/http.ServeMux", "*database/sql.DB", "*database/sql.Tx"
+# The methods that take a statement, and at which place.
 SQL_METHODS = {"Query": 0, "QueryContext": 1, "QueryRow": 0, "QueryRowContext": 1, "Exec": 0, "ExecContext": 1}
-MOST_ROUNDS, MOST_TEXT, MOST_ORIGINS = 128, 64 << 10, 128
 
 GAPS = {
     "go_ambiguous_call": "The name called is declared more than once.",
@@ -42,111 +36,6 @@ GAPS = {
 }
 
 
-def span(line: Column, last: Column) -> Column:
-    return F.format_string("L%d-L%d", line, last)
-
-
-class Source:
-    """All that the files of a scan say, as tables that lookups join with."""
-
-    def __init__(self, facts: DataFrame):
-        rows = facts.filter("fact = 'go'").select("path", F.col("from_canonical").alias("pkg"), "kind", "name", F.col("canonical").alias("owner"), "locator", "ordinal", F.from_json("detail", DETAIL).alias("d"))
-        self.rows = written(rows, "go-rows")
-        of = lambda kind: self.rows.filter(F.col("kind") == kind)
-        once = lambda df, *key: df.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), *(F.min_by(c, "ordinal").alias(c) for c in df.columns if c not in (*key, "ordinal")))
-        self.imports = once(of("import").select("path", "name", F.col("owner").alias("imported"), "ordinal"), "path", "name").withColumn("imported", F.when(F.col("times") == 1, F.col("imported"))).drop("times")
-        self.types = once(of("type").select("pkg", "name", "path", "d", "ordinal"), "pkg", "name").filter("times = 1").select("pkg", "name", "path", F.when(F.col("d.alias"), F.col("d.type")).alias("same"))
-        self.functions = once(of("function").select("pkg", "name", F.col("owner").alias("key"), "path", "d", "ordinal"), "pkg", "name")
-        self.globals = once(of("var").unionByName(of("const")).select("pkg", "name", "path", "kind", "d", "ordinal"), "pkg", "name")
-        self.fields = self.typed(of("field").select("pkg", "path", F.col("owner").alias("base"), "name", F.col("d.type").alias("text"))).select("pkg", "base", F.col("name").alias("field"), F.col("t").alias("field_type"))
-        self.fields = written(self.fields, "go-fields")
-        self.vars = written(self.typed(self.globals.filter("kind = 'var' and times = 1").select("pkg", "name", "path", F.col("d.type").alias("text"))).select("pkg", F.col("name").alias("first"), F.col("t").alias("var_type")), "go-vars")
-        own = of("name").select("pkg", "path", F.col("owner").alias("fn"), "name", F.col("d.type").alias("text"))
-        names = written(self.typed(own).select("pkg", "path", "fn", "name", "text", "t"), "go-names")
-        for _ in range(2):  # a transaction is made by a database that is itself made by a call
-            made = names.filter("text like 'call %' and t is null").withColumn("chain", F.split(F.substring("text", 6, 1 << 20), r"\."))
-            made = self.chained(made.withColumn("whole", F.col("chain")).withColumn("chain", F.slice("chain", 1, F.size("chain") - 1)), names)
-            last = F.element_at("whole", -1)
-            by_call = F.when((F.col("t_chain") == "pkg:net/http") & (last == "NewServeMux"), MUX).when((F.col("t_chain") == "pkg:database/sql") & last.isin("Open", "OpenDB"), DB).when((F.col("t_chain") == DB) & last.isin("Begin", "BeginTx"), TX)
-            results = self.typed(self.functions.filter("times = 1 and size(d.results) > 0").select("pkg", "name", "path", F.get("d.results", F.lit(0)).alias("text"))).select("pkg", F.col("name").alias("called"), F.col("t").alias("result_type"))
-            made = made.withColumn("called", F.when(F.size("whole") == 1, F.get("whole", F.lit(0)))).join(results, ["pkg", "called"], "left")
-            made = made.select("pkg", "path", "fn", "name", F.coalesce(by_call, "result_type").alias("made_type"))
-            names = written(names.join(made, ["pkg", "path", "fn", "name"], "left").select("pkg", "path", "fn", "name", "text", F.coalesce("t", "made_type").alias("t")), "go-names")
-        self.names = names
-        self.constants, self.limited = self.evaluated()
-
-    def typed(self, df: DataFrame) -> DataFrame:
-        """df with t, the type that text names in its file: an imported one by its package's path, one of the package after $; an alias stands for its type."""
-        stars, bare = F.regexp_extract("text", r"^(\*?)", 1), F.regexp_replace("text", r"^\*", "")
-        parts = df.withColumn("stars", stars).withColumn("qualifier", F.when(bare.contains("."), F.split(bare, r"\.")[0])).withColumn("base_name", F.element_at(F.split(bare, r"\."), -1))
-        parts = parts.join(self.imports.select("path", F.col("name").alias("qualifier"), "imported"), ["path", "qualifier"], "left")
-        local = self.types.select("pkg", F.col("name").alias("base_name"), F.lit(True).alias("local"), "same", F.col("path").alias("type_path"))
-        parts = parts.join(local, ["pkg", "base_name"], "left")
-        same_bare = F.col("same")
-        beyond = self.imports.select(F.col("path").alias("type_path"), F.col("name").alias("same_qualifier"), F.col("imported").alias("same_imported"))
-        parts = parts.withColumn("same_qualifier", F.when(same_bare.contains("."), F.split(same_bare, r"\.")[0])).join(beyond, ["type_path", "same_qualifier"], "left")
-        alias = F.when(F.col("same_imported").isNotNull(), F.concat("same_imported", F.lit("."), F.element_at(F.split(same_bare, r"\."), -1))).when(same_bare.rlike(r"^\w+$"), F.concat(F.lit("$"), same_bare))
-        t = (
-            F.when(F.col("text") == "func", "func")
-            .when(F.col("imported").isNotNull(), F.concat("stars", "imported", F.lit("."), "base_name"))
-            .when(F.col("qualifier").isNull() & F.col("local"), F.concat("stars", F.coalesce(alias, F.concat(F.lit("$"), "base_name"))))
-        )
-        return parts.withColumn("t", F.when(~F.col("text").startswith("call "), t)).drop("stars", "qualifier", "base_name", "imported", "local", "same", "type_path", "same_qualifier", "same_imported")
-
-    def chained(self, df: DataFrame, names: DataFrame) -> DataFrame:
-        """df with t_chain, the type of its chain of names, or pkg: and the path of an import; and known, whether its first name is one of the function."""
-        first = F.get("chain", F.lit(0))
-        own = names.select("fn", F.col("name").alias("first"), F.coalesce("t", F.lit("")).alias("own_type"))
-        df = df.withColumn("first", first).join(own, ["fn", "first"], "left").join(self.imports.select("path", F.col("name").alias("first"), "imported"), ["path", "first"], "left").join(self.vars, ["pkg", "first"], "left")
-        start = F.when(F.col("own_type").isNotNull(), F.col("own_type")).when(F.col("imported").isNotNull(), F.concat(F.lit("pkg:"), "imported")).otherwise(F.col("var_type"))
-        df = df.withColumn("t_chain", start).withColumn("known", F.col("own_type").isNotNull()).drop("first", "own_type", "imported", "var_type")
-        longest = df.agg(F.max(F.size("chain")).alias("n")).first().n or 0
-        for i in range(1, longest):
-            df = df.withColumn("base", F.regexp_extract("t_chain", r"^\*?\$(\w+)$", 1)).withColumn("field", F.get("chain", F.lit(i))).join(self.fields, ["pkg", "base", "field"], "left")
-            default = (F.col("t_chain") == "pkg:net/http") & (F.col("field") == "DefaultServeMux")
-            df = df.withColumn("t_chain", F.when(F.col("field").isNull(), F.col("t_chain")).when(default, MUX).otherwise(F.col("field_type"))).drop("base", "field", "field_type")
-        return df
-
-    def evaluated(self) -> tuple[DataFrame, DataFrame]:
-        """(pkg, name, text, origins) of the constants that are known, and (path, locator) of those that exceed a bound."""
-        c = self.globals.filter("kind = 'const' and times = 1 and d.parts is not null").select("pkg", "name", "path", F.col("d.parts").alias("parts"))
-        terms = written(c.select("pkg", "name", "path", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part")), "go-terms")
-        literal = terms.filter("part.text is not null").select("pkg", "name", "n", "at", F.col("part.text").alias("text"), F.array(F.struct("path", span(F.col("part.line"), F.col("part.last")).alias("locator"))).alias("origins"))
-        asked = terms.filter("part.text is null").select("pkg", "name", "n", "at", F.col("part.name").alias("asked"))
-        known = done = written(self.summed(literal).filter("whole"), "go-constants")
-        limited = self.rows.limit(0).select("path", "locator")
-        for _ in range(MOST_ROUNDS):
-            ready = literal.unionByName(asked.join(done.select("pkg", F.col("name").alias("asked"), "text", "origins"), ["pkg", "asked"]).drop("asked"))
-            new = self.summed(ready).filter("whole").join(done, ["pkg", "name"], "left_anti")
-            known = written(new, "go-constants")
-            if known.isEmpty():
-                break
-            done = written(done.unionByName(known), "go-constants-known")
-        too_much = (F.octet_length("text") > MOST_TEXT) | (F.size("origins") > MOST_ORIGINS)
-        at = terms.groupBy("pkg", "name").agg(F.min("path").alias("path"), F.min("part.line").alias("line"), F.max("part.last").alias("last"))
-        limited = done.filter(too_much).join(at, ["pkg", "name"]).select("path", span(F.col("line"), F.col("last")).alias("locator"))
-        return done.filter(~too_much).select("pkg", "name", "text", "origins"), limited
-
-    @staticmethod
-    def summed(terms: DataFrame) -> DataFrame:
-        """(pkg, name, text, origins, whole) of the terms that are there; more than the bounds need not be kept, so texts are cut just beyond them."""
-        found = terms.groupBy("pkg", "name").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "text", "origins"))).alias("all"))
-        origins = F.slice(F.array_distinct(F.flatten(F.transform("all", lambda x: x["origins"]))), 1, MOST_ORIGINS + 1)
-        return found.select("pkg", "name", F.substring(F.array_join(F.transform("all", lambda x: x["text"]), ""), 1, MOST_TEXT + 1).alias("text"), origins.alias("origins"), (F.size("all") == F.col("n")).alias("whole"))
-
-
-def valued(source: Source, args: DataFrame) -> DataFrame:
-    """args (id, pkg, path, fn, parts) with value and origins, where every name among the parts is a known constant that no name of the function hides."""
-    terms = args.filter("parts is not null").select("id", "pkg", "path", "fn", F.size("parts").alias("n"), F.posexplode("parts").alias("at", "part"))
-    terms = terms.withColumn("name", F.col("part.name")).join(source.names.select("fn", "name", F.lit(True).alias("hidden")), ["fn", "name"], "left")
-    terms = terms.join(source.constants.withColumnRenamed("text", "constant"), ["pkg", "name"], "left")
-    own = F.array(F.struct("path", span(F.col("part.line"), F.col("part.last")).alias("locator")))
-    text = F.when(F.col("part.text").isNotNull(), F.col("part.text")).when(F.col("hidden").isNull(), F.col("constant"))
-    terms = terms.select("id", "n", F.struct("at", text.alias("text"), F.when(F.col("part.text").isNotNull(), own).otherwise(F.col("origins")).alias("origins")).alias("x")).filter("x.text is not null")
-    found = terms.groupBy("id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("x")).alias("all")).filter("size(all) = n")
-    return args.join(found.select("id", F.array_join(F.transform("all", lambda x: x["text"]), "").alias("value"), F.array_distinct(F.flatten(F.transform("all", lambda x: x["origins"]))).alias("origins")), "id", "left")
-
-
 def references(texts: DataFrame) -> DataFrame:
     """(value, schema, table, access, operation, error) of distinct statements."""
 
@@ -167,10 +56,10 @@ def references(texts: DataFrame) -> DataFrame:
 class Resolved:
     """assets, edges, gaps, supports and table references, each a DataFrame."""
 
-    def __init__(self, facts: DataFrame):
+    def __init__(self, facts: DataFrame, budget: tuple[int, int] | None = None):
         source = Source(facts)
-        calls = source.rows.filter("kind = 'call'").select("pkg", "path", F.col("owner").alias("fn"), "locator", F.concat_ws("#", "path", F.col("ordinal").cast("string")).alias("id"), "d.chain", "d.tail", "d.args")
-        calls = source.chained(calls.withColumn("whole", F.col("chain")).withColumn("chain", F.when(F.size("chain") > 1, F.slice("chain", 1, F.size("chain") - 1)).otherwise(F.col("chain"))), source.names)
+        calls = source.rows.filter("kind = 'call'").select("pkg", "path", F.col("owner").alias("fn"), "locator", "ordinal", F.concat_ws("#", "path", F.col("ordinal").cast("string")).alias("id"), F.col("d.chain").alias("whole"), "d.tail", "d.args", F.when(F.col("d.chain").isNotNull(), F.col("d.first")).alias("first"))
+        calls = source.chained(calls.withColumn("chain", F.when(F.size("whole") > 1, F.slice("whole", 1, F.size("whole") - 1)).otherwise(F.col("whole"))))
         calls = calls.withColumn("simple", F.size("whole") == 1).withColumn("method", F.coalesce(F.element_at("whole", -1), "tail")).withColumn("r", F.when(~F.col("simple") & F.col("whole").isNotNull(), F.col("t_chain")))
         calls = self.targets(source, calls, F.when(F.col("simple") & ~F.col("known"), F.col("method")).otherwise(self.method_of(F.col("r"), F.col("method"))))
         vars_ = source.globals.select("pkg", F.col("name").alias("method"), F.lit(True).alias("global"))
@@ -190,7 +79,11 @@ class Resolved:
             .when(sql, F.when(~proven_sql & ~imported, "go_unresolved_sql_receiver"))
             .when(~imported & ~proven_sql & ~F.coalesce(F.col("r") == MUX, F.lit(False)), "go_unresolved_method")
         )
-        self.gaps = [calls.select("path", "locator", code.alias("code")).filter("code is not null"), source.limited.select("path", "locator", F.lit("go_evaluation_limit").alias("code"))]
+        index = F.when(route, F.lit(0)).otherwise(F.element_at(F.create_map(*(F.lit(x) for m, i in SQL_METHODS.items() for x in (m, i))), F.col("method")))
+        stated = calls.filter((route & proven_mux & (F.size("args") == 2)) | (sql & proven_sql)).withColumn("arg", F.get("args", index)).filter("arg is not null")
+        self.values, limited = source.texts(stated.select("id", "pkg", "path", "fn", "ordinal", "arg.parts", "arg.line", "arg.last"), budget)
+        limited = limited.unionByName(source.limited_types)
+        self.gaps = [calls.select("path", "locator", code.alias("code")).filter("code is not null"), limited.select("path", "locator", F.lit("go_evaluation_limit").alias("code"))]
         self.assets, self.supports = [], []
         self.routes(source, calls.filter(route & proven_mux))
         self.queries(source, calls.filter(sql & proven_sql))
@@ -225,10 +118,10 @@ class Resolved:
 
     def routes(self, source: Source, calls: DataFrame) -> None:
         self.gap(calls.filter("size(args) <> 2"), "go_route_arguments")
-        calls = calls.filter("size(args) = 2").withColumn("pattern_arg", F.get("args", F.lit(0))).withColumn("handler_arg", F.get("args", F.lit(1))).withColumn("parts", F.col("pattern_arg.parts"))
-        calls = written(self.keyed(valued(source, calls), "route"), "go-routes")
+        calls = calls.filter("size(args) = 2").withColumn("pattern_arg", F.get("args", F.lit(0))).withColumn("handler_arg", F.get("args", F.lit(1)))
+        calls = written(self.keyed(calls.join(self.values, "id", "left"), "route"), "go-routes")
         at = span(F.col("pattern_arg.line"), F.col("pattern_arg.last"))
-        self.gap(calls.filter("value is null"), "go_dynamic_route", at)
+        self.gap(calls.filter("value is null and not coalesce(limited, false)"), "go_dynamic_route", at)
         method = F.when(F.col("value").rlike(r"[ \t]"), F.regexp_extract("value", r"(?s)^([^ \t]*)[ \t]", 1)).otherwise("")
         path = F.when(F.col("value").rlike(r"[ \t]"), F.regexp_replace("value", r"(?s)^[^ \t]*[ \t]+", "")).otherwise(F.col("value"))
         calls = calls.filter("value is not null").withColumn("http_method", method).withColumn("route_path", path)
@@ -240,9 +133,9 @@ class Resolved:
         form = F.get("handler_arg.chain", F.lit(0))
         wrapped, literal = F.coalesce(form == "()", F.lit(False)), F.coalesce(form == "{}", F.lit(False))
         chain = F.when(wrapped, F.slice("handler_arg.chain", 4, 1 << 10)).when(~literal, F.col("handler_arg.chain"))
-        h = calls.select("pkg", "path", "fn", "key", F.col("method").alias("registration"), F.col("handler_arg"), wrapped.alias("wrapped"), F.when(literal, F.get("handler_arg.chain", F.lit(1))).alias("text"), chain.alias("passed"))
+        h = calls.select("pkg", "path", "fn", "key", "id", F.col("handler_arg.first").alias("first"), F.col("method").alias("registration"), F.col("handler_arg"), wrapped.alias("wrapped"), F.when(literal, F.get("handler_arg.chain", F.lit(1))).alias("text"), chain.alias("passed"))
         h = source.typed(h).withColumnRenamed("t", "literal_type")
-        h = source.chained(h.withColumn("chain", F.when(F.size("passed") > 1, F.slice("passed", 1, F.size("passed") - 1)).otherwise(F.col("passed"))), source.names)
+        h = source.chained(h.withColumn("whole", F.col("passed")).withColumn("chain", F.when(F.size("passed") > 1, F.slice("passed", 1, F.size("passed") - 1)).otherwise(F.col("passed"))))
         direct = F.when((F.size("passed") == 1) & ~F.col("known"), F.get("passed", F.lit(0))).otherwise(F.when(F.size("passed") > 1, self.method_of(F.col("t_chain"), F.element_at("passed", -1))))
         h = self.targets(source, h, direct).withColumnRenamed("target", "direct").drop("times")
         t = F.coalesce("literal_type", F.when(F.size("passed") == 1, F.col("t_chain")))
@@ -259,10 +152,10 @@ class Resolved:
     def queries(self, source: Source, calls: DataFrame) -> None:
         index = F.element_at(F.create_map(*(F.lit(x) for m, i in SQL_METHODS.items() for x in (m, i))), F.col("method"))
         self.gap(calls.filter(F.size("args") <= index), "go_sql_arguments")
-        calls = calls.filter(F.size("args") > index).withColumn("arg", F.get("args", index)).withColumn("parts", F.col("arg.parts"))
-        calls = self.keyed(valued(source, calls), "query").withColumn("arg_locator", span(F.col("arg.line"), F.col("arg.last")))
+        calls = calls.filter(F.size("args") > index).withColumn("arg", F.get("args", index))
+        calls = self.keyed(calls.join(self.values, "id", "left"), "query").withColumn("arg_locator", span(F.col("arg.line"), F.col("arg.last")))
         calls = written(calls, "go-queries")
-        self.gap(calls.filter("value is null"), "go_dynamic_sql", F.col("arg_locator"))
+        self.gap(calls.filter("value is null and not coalesce(limited, false)"), "go_dynamic_sql", F.col("arg_locator"))
         calls = calls.filter("value is not null")
         read = written(calls.join(references(calls), "value"), "go-statements")
         attributes = F.when(F.col("error") == "", F.create_map(*(x for c in ("method", "operation", "schema", "table", "access") for x in (F.lit(c), F.col(c))))).otherwise(F.create_map(F.lit("method"), F.col("method")))
@@ -272,9 +165,11 @@ class Resolved:
         self.tables = read.filter("error = ''").select("path", F.col("arg_locator").alias("locator"), F.col("key").alias("query"), "schema", "table", "access", "origins")
 
 
-def resolved(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The facts with those that the Go files' calls mean, and their references to tables (path, locator, query, schema, table, access, origins)."""
-    found = Resolved(facts)
+def resolved(facts: DataFrame, budget: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The facts with those that the Go files' calls mean, and their references to tables (path, locator, query, schema, table, access, origins).
+
+    budget: the steps and bytes that all evaluations may take together, as in the scan of a project."""
+    found = Resolved(facts, budget)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     ordinal = lambda df, *order: df.withColumn("ordinal", (F.xxhash64(*order) % (1 << 30) + (1 << 30)).cast("int"))
     assets = ordinal(union(found.assets), "canonical").withColumn("fact", F.lit("asset"))

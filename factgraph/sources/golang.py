@@ -30,6 +30,7 @@ class Token:
     text: str
     line: int
     last_line: int
+    at: int | None = None  # its number in a body
 
 
 def tokens(text: str) -> tuple[list[Token], list[Token]]:

@@ -129,6 +129,55 @@ UNION ALL SELECT path, 'support', 'query', 'go_query:' || f || 'Run', '', unnest
 UNION ALL SELECT path, 'table', 'read', 'go_query:' || f || 'Run', 't' || k, 'L15-L15' FROM s"""
 
 
+#: What stands in a body by the supplier's number modulo 10; # is that number. Fields and constants of a kind stand in HEADS.
+BODIES = [
+    ("\ttext := \"SELECT id FROM t#\"\n\tdb.Query(text)\n"),
+    ("\ttext := \"SELECT id FROM u#\"\n\ttext = \"SELECT id FROM t#\"\n\tdb.Query(text)\n"),
+    ("\ttext := \"SELECT id FROM t#\"\n\tif cond {\n\t\ttext = given\n\t}\n\tdb.Query(text)\n"),
+    ("\ttext := \"SELECT id FROM t#\"\n\tif cond {\n\t\ttext = \"SELECT id FROM \" + \"t#\"\n\t}\n\tdb.Query(text)\n"),
+    ("\ta, err := open()\n\tb := a\n\tc, err := b.Begin()\n\td := c\n\te := d\n\te.Exec(\"DELETE FROM t#\")\n"),
+    ("\tvar x *E\n\tx.Query(\"SELECT id FROM t#\")\n"),
+    ("\t{\n\t\tdb := 1\n\t\tdb++\n\t}\n\tdb.Query(\"SELECT id FROM t#\")\n\t{\n\t\tdb := given\n\t\tdb.Query(\"SELECT id FROM u#\")\n\t}\n"),
+    ("\ts.a.b.c.d.Query(\"SELECT id FROM t#\")\n"),
+    ("\tdb.Query(A200)\n\tdb.Query(A100)\n"),
+    ("\tdb.Query(\"LARGE\")\n"),
+]
+HEADS = {
+    4: "func open() (*sql.DB, error) { return nil, nil }\n", 5: "type E = D; type D = sql.DB\n", 7: "type S struct { a *T }; type T struct { b U }; type U struct { c *V }; type V struct { d *sql.DB }\n",
+    8: "const A0 = \"SELECT id FROM t#\"; " + "; ".join(f"const A{i} = A{i - 1}" for i in range(1, 201)) + "\n",
+}
+
+
+def go_value_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package per supplier: statements in local names, by lines, branches, scopes, results, aliases, fields and constants, and what exceeds a bound."""
+    s = table(spark, sf_dir, "supplier")
+    key = F.col("s_suppkey").cast("string")
+    content = None
+    for k, body in enumerate(BODIES):
+        given = "package p\n\nimport \"database/sql\"\n\n" + HEADS.get(k, "\n") + "func Run(db *sql.DB, s *S, given string, cond bool) {\n" + body.replace("LARGE", "x" * 65_537) + "}\n"
+        text_of = F.replace(F.lit(given), F.lit("#"), key)
+        content = F.when(F.col("s_suppkey") % 10 == k, text_of) if content is None else content.when(F.col("s_suppkey") % 10 == k, text_of)
+    facts, tables = gocalls.resolved(scan.facts_of(contents(s, text("svc/", key, "/a.go"), content)))
+    a = facts.filter("fact in ('asset', 'support') and kind = 'query'").select("path", "fact", F.coalesce("name", F.lit("")).alias("name"), "locator")
+    g = facts.filter("fact = 'gap'").select("path", "fact", F.col("kind").alias("name"), "locator")
+    return a.unionByName(g).unionByName(tables.select("path", F.col("access").alias("fact"), F.col("table").alias("name"), "locator"))
+
+
+GO_VALUES_SQL = """WITH rows(kind, fact, name, line) AS (VALUES
+(0, 'asset', 'Query', 8), (0, 'support', '', 7), (0, 'read', 't', 8),
+(1, 'asset', 'Query', 9), (1, 'support', '', 8), (1, 'read', 't', 9),
+(2, 'gap', 'go_dynamic_sql', 11),
+(3, 'asset', 'Query', 11), (3, 'support', '', 7), (3, 'support', '', 9), (3, 'read', 't', 11),
+(4, 'asset', 'Exec', 12), (4, 'support', '', 12), (4, 'write', 't', 12),
+(5, 'asset', 'Query', 8), (5, 'support', '', 8), (5, 'read', 't', 8),
+(6, 'asset', 'Query', 11), (6, 'support', '', 11), (6, 'read', 't', 11), (6, 'gap', 'go_unresolved_sql_receiver', 14),
+(7, 'asset', 'Query', 7), (7, 'support', '', 7), (7, 'read', 't', 7),
+(8, 'gap', 'go_evaluation_limit', 5), (8, 'gap', 'go_evaluation_limit', 7), (8, 'asset', 'Query', 8), (8, 'support', '', 5), (8, 'read', 't', 8),
+(9, 'gap', 'go_evaluation_limit', 7))
+SELECT 'svc/' || s_suppkey || '/a.go' AS path, fact, CASE WHEN name = 't' THEN 't' || s_suppkey ELSE name END AS name, 'L' || line || '-L' || line AS locator
+FROM supplier JOIN rows ON s_suppkey % 10 = kind"""
+
+
 def sqlref_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement per order: reads, writes and one that is out of the grammar, by turns."""
     o = table(spark, sf_dir, "orders")
@@ -149,4 +198,4 @@ CASE WHEN o_orderkey % 4 = 3 THEN '' WHEN o_orderkey % 4 = 1 OR o_orderkey % 8 =
 CASE o_orderkey % 4 WHEN 0 THEN 'read' WHEN 3 THEN '' ELSE 'write' END AS access, CASE WHEN o_orderkey % 4 = 0 THEN 'SELECT' WHEN o_orderkey % 4 = 1 THEN 'INSERT' WHEN o_orderkey % 8 = 2 THEN 'DELETE' WHEN o_orderkey % 8 = 6 THEN 'UPDATE' ELSE '' END AS operation,
 CASE o_orderkey % 4 WHEN 3 THEN 'go_unsupported_sql' ELSE '' END AS error FROM orders"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL), (go_facts, GO_SQL))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL), (go_facts, GO_SQL), (go_value_facts, GO_VALUES_SQL))}

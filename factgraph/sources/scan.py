@@ -137,7 +137,7 @@ def _extract_go(path: str, content: bytes, add) -> None:
             add("gap", kind="go_dot_import", name="Dot imports cannot be resolved conservatively.", locator=span(line, line))
     for c in file.constraints:
         add("gap", kind="go_build_constraints", name="Build constraints are not evaluated; this is a static source inventory, not a deployed build.", locator=span(c.line, c.last_line))
-    say = lambda kind, name, owner, at, **detail: add("go", kind=kind, name=name, canonical=owner, from_canonical=package, locator=at, detail=json.dumps(detail))
+    say = lambda kind, name, owner, where, /, **detail: add("go", kind=kind, name=name, canonical=owner, from_canonical=package, locator=where, detail=json.dumps(detail))
     for name, imported, line in file.imports:
         if name not in (".", "_"):
             say("import", name or imported.rsplit("/", 1)[-1], imported, span(line, line))
@@ -147,13 +147,17 @@ def _extract_go(path: str, content: bytes, add) -> None:
             say("field", field, name, "file", type=type_)
     for key, _, f in golang.function_keys(path, file):
         own, results, body, _ = gobody.signature(f)
-        given = own[1:] if f.receiver and len(own) and own[0][1] == f.receiver else own
+        given = gobody.signature_params(f)
         symbol = ".".join(x for x in (f.receiver.lstrip("*"), f.name) if x)
-        say("function", symbol, key, span(f.line, f.last_line), pointer=f.receiver.startswith("*"), params=[t for _, t in given], results=results)
-        for name, type_ in gobody.names(own, body).items():
-            say("name", name, key, "file", type=type_)
-        for call in gobody.calls(body):
-            say("call", call["tail"], key, span(call["line"], call["last"]), chain=call["chain"], tail=call["tail"], args=call["args"])
+        say("function", symbol, key, span(f.line, f.last_line), pointer=f.receiver.startswith("*"), params=given, results=results)
+        flow = gobody.flow(own, body)
+        always = [(gobody.ALWAYS, -1, gobody.ALWAYS)] if flow.jumps else []
+        for event in flow.events:
+            say("event", event["name"], key, "file", **{k: v for k, v in event.items() if k != "name"})
+        for t, place in flow.uses:
+            say("use", t.text, key, "file", at=t.at, later=[dict(zip(("since", "first", "last"), x, strict=True)) for x in (*place.later, *always)])
+        for call in gobody.calls(flow.body):
+            say("call", call["tail"], key, span(call["line"], call["last"]), chain=call["chain"], tail=call["tail"], first=call["at"], args=call["args"])
 
 
 def facts_of(contents: DataFrame) -> DataFrame:
