@@ -41,6 +41,8 @@ class Ledger:
     #: Relationships at given assets, and evidence of those, where the ledger can find them without reading all.
     near: Callable[[list[int]], DataFrame] | None = None
     near_evidence: Callable[[list[int]], DataFrame] | None = None
+    #: The commit that it was read from.
+    commit: int = 0
 
     def relationships_at(self, ids: list[int]) -> DataFrame:
         """The relationships that begin or end at one of ids."""

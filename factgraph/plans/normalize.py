@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factgraph.operators import gocalls
+from factgraph.operators import gocalls, govalues
 from factgraph.operators.ownership import owned, resolve_tables
 from factgraph.plans.materialize import written
 from factgraph.plans.model import CONFIGS, Ledger
@@ -51,7 +51,7 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
         raise ScanError(f"{twice.path}: {twice.kind} {twice.canonical!r} is declared twice")
     tables = None
     if not facts.filter("fact = 'go' and kind = 'call'").isEmpty():
-        facts, tables = gocalls.resolved(facts)
+        facts, tables = gocalls.resolved(facts, (govalues.MOST_STEPS, govalues.MOST_BYTES))
         facts = written(facts, "facts-resolved")
     services = [(n, s.name, s.owner, s.source, s.domain, s.tags) for n, s in enumerate(manifest.services)] if manifest else []
     configs = spark.createDataFrame([s[1:] for s in services], CONFIGS)

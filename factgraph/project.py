@@ -57,6 +57,7 @@ class Project:
 
     def scan(self, with_manifest: bool = True) -> dict:
         """Replaces the ledger by what the sources say now; the old one stays if anything fails."""
+        parent = store.current(self.spark, self.folder)
         services, content = self.manifest() if with_manifest else (None, b"")
         listed = [p for p in scan.listed(self.root) if p != manifest.FILENAME or not with_manifest]
         facts = scan.facts(self.spark, self.root, scan.bounded(self.root, listed)).persist()
@@ -65,7 +66,7 @@ class Project:
             whole = facts.unionByName(extra, allowMissingColumns=True) if with_manifest else facts
             ledger = ledger_of(self.spark, whole, services, hashlib.sha256(content).hexdigest(), {"project_root": self.root, "last_scan_at": now()})
             os.makedirs(self.folder, mode=0o700, exist_ok=True)
-            store.save(ledger, self.folder)
+            store.save(ledger, self.folder, parent)
             counts = {r.fact: r.n for r in facts.groupBy("fact").agg(F.count(F.lit(1)).alias("n")).collect()}
             kept = self.ledger()
             kinds = {r.kind: r.n for r in summary.by_kind(kept.assets).collect()}
@@ -112,7 +113,7 @@ class Project:
         if issues := self.issues(ledger):
             raise VerifyError("; ".join(issues))
         built = derive.build(ledger, now())
-        store.save(built, self.folder)
+        store.save(built, self.folder, ledger.commit)
         return derive.name_links(ledger.assets).count()
 
     def doctor(self) -> dict:
