@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factgraph.operators.govalues import DB, MUX, TX, Source, span
@@ -171,8 +171,8 @@ def resolved(facts: DataFrame, budget: tuple[int, int] | None = None) -> tuple[D
     budget: the steps and bytes that all evaluations may take together, as in the scan of a project."""
     found = Resolved(facts, budget)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
-    ordinal = lambda df, *order: df.withColumn("ordinal", (F.xxhash64(*order) % (1 << 30) + (1 << 30)).cast("int"))
-    assets = ordinal(union(found.assets), "canonical").withColumn("fact", F.lit("asset"))
+    ordinal = lambda df, *order: df.withColumn("ordinal", F.row_number().over(Window.partitionBy("path").orderBy(*order)) + (1 << 30))  # noqa: E731  after what the files say themselves
+    assets = ordinal(union(found.assets), "canonical", "locator").withColumn("fact", F.lit("asset"))
     edges = union(found.edges).select("path", "locator", "from_kind", F.col("from_key").alias("from_canonical"), "to_kind", F.col("to_key").alias("to_canonical"), "type", F.lit("source-derived").alias("origin"), F.lit("edge").alias("fact"))
     messages = F.element_at(F.create_map(*(F.lit(x) for pair in GAPS.items() for x in pair)), F.col("code"))
     gaps = union(found.gaps).select("path", "locator", F.lit("gap").alias("fact"), F.col("code").alias("kind"), messages.alias("name"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factgraph.plans.model import Ledger
@@ -42,9 +42,28 @@ def one_target(ledger: Ledger) -> DataFrame:
     return ledger.evidence.filter(F.col("asset_id").isNull() == F.col("relationship_id").isNull())
 
 
+def folder_digests(inventory: DataFrame) -> DataFrame:
+    """(folder, files, digest): for each folder of files (path, sha256), their number and a sum of digests of each with its name, which does not depend on their order and is summed where the files are."""
+    one = F.sha2(F.concat_ws("\n", "path", F.coalesce("sha256", F.lit("?"))), 256)
+    parts = [F.sum(F.conv(F.substring(one, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
+    return inventory.groupBy(folder_of(F.col("path")).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.concat_ws(":", *parts).alias("digest"))
+
+
+def folder_of(path: Column) -> Column:
+    return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
+
+
+def changed_folders(then: DataFrame, now: DataFrame) -> DataFrame:
+    a, b = folder_digests(then), folder_digests(now).select("folder", F.col("files").alias("files_now"), F.col("digest").alias("digest_now"))
+    same = F.coalesce((F.col("files") == F.col("files_now")) & (F.col("digest") == F.col("digest_now")), F.lit(False))
+    return a.join(b, "folder", "full_outer").filter(~same).select("folder")
+
+
 def inventory_diff(then: DataFrame, now: DataFrame) -> DataFrame:
-    """(path, change) of inventories (path, sha256): added, changed or removed since then."""
-    a, b = then.select("path", F.col("sha256").alias("old")), now.select("path", F.col("sha256").alias("new"))
+    """(path, change) of inventories (path, sha256): added, changed or removed since then. Only files of folders that differ meet each other."""
+    changed = changed_folders(then, now)
+    within = lambda df, name: df.select("path", F.col("sha256").alias(name), folder_of(F.col("path")).alias("folder")).join(changed, "folder", "left_semi").drop("folder")
+    a, b = within(then, "old"), within(now, "new")
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed")
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 

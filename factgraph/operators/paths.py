@@ -3,7 +3,8 @@
 A path's key is the list of its steps' orders (type, origin, kind and name of the end, id). Of equally long paths the one with the least key is found,
 which is what a first-in-first-out search over ordered neighbours finds. A level keeps one row per new asset: its rank among the level's, in the order of
 their paths, and the step that leads to it from an asset of the level before; so a row does not grow with the path. Ranks come from a distributed sort.
-Edges are written once, levels as they are found; the path is walked back from the goal, a row of each level.
+Edges are written once in buckets of their start, so that a level moves what it has reached and not the edges, and only edges that lead on meet the assets
+that they end at. Levels are written as they are found; the path is walked back from the goal, a row of each level.
 """
 
 from __future__ import annotations
@@ -11,13 +12,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factgraph.plans.materialize import written
+from factgraph.plans.materialize import bucketed, written
 
 
-def steps(relationships: DataFrame, assets: DataFrame) -> DataFrame:
-    """(from_id, to_id, step): each relationship with its place among those of its start."""
-    ends = assets.select(F.col("id").alias("to_id"), "kind", "name")
-    return relationships.join(ends, "to_id").select("from_id", "to_id", F.struct("type", "origin", "kind", "name", "id", "from_id", "to_id").alias("step"))
+def ahead_of(edges: DataFrame, reached: DataFrame, visited: DataFrame) -> DataFrame:
+    """The edges from what is reached to what is not yet visited."""
+    return edges.join(reached.select(F.col("id").alias("from_id"), "rank"), "from_id").join(visited.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
 
 
 def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal: int) -> DataFrame:
@@ -26,11 +26,12 @@ def shortest_path(relationships: DataFrame, assets: DataFrame, start: int, goal:
     schema = "step long, from_id long, to_id long, type string, origin string, kind string, name string, relationship_id long"
     if start == goal:
         return spark.createDataFrame([], schema)
-    edges = written(steps(relationships, assets), "path-edges")
+    edges = bucketed(relationships.select("id", "from_id", "to_id", "type", "origin"), "path-edges", "from_id")
+    ends = assets.select(F.col("id").alias("to_id"), "kind", "name")
     reached = spark.createDataFrame([(start, 0)], "id long, rank long")
     visited, levels = reached.select("id"), []
     while True:
-        ahead = edges.join(reached.select(F.col("id").alias("from_id"), "rank"), "from_id").join(visited.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        ahead = ahead_of(edges, reached, visited).join(ends, "to_id").withColumn("step", F.struct("type", "origin", "kind", "name", "id", "from_id", "to_id"))
         ahead = ahead.groupBy(F.col("to_id").alias("id")).agg(F.min(F.struct("rank", "step")).alias("first"))
         reached = written(ahead.orderBy("first").select("id", F.monotonically_increasing_id().alias("rank"), "first.step"), f"path-{len(levels)}")
         levels.append(reached)

@@ -45,3 +45,12 @@ class Grown:
 
     def all(self) -> DataFrame:
         return self.session.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+
+
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df written once, dealt and sorted by key, and read again: joins on the key move the other side only."""
+    path = folder(df, name)
+    table = "_".join(path.rsplit("/", 1)[-1].split("-"))
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return df.sparkSession.table(table)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factgraph.operators import gocalls, govalues
 from factgraph.operators.ownership import owned, resolve_tables
 from factgraph.plans.materialize import written
 from factgraph.plans.model import CONFIGS, Ledger
+from factgraph.plans.prefix import numbered
 from factgraph.sources.manifest import FILENAME, Manifest
 from factgraph.sources.scan import ScanError
 
@@ -41,7 +42,7 @@ def table_links(tables: DataFrame, placed: DataFrame, sources: DataFrame, config
 def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None, manifest_sha256: str, metadata: dict[str, str]) -> Ledger:
     """The ledger of a scan's facts; ScanError for a file's error or for an asset declared twice in a file.
 
-    Ids follow phase, path and order of emission. Numbering them is one ordered pass over at most the files that a scan may list.
+    Ids follow phase, path and order of emission, without a gap; they are numbered by ranges (plans/prefix), so no task sees all rows and reruns agree.
     """
     bad = facts.filter("fact = 'error'").orderBy("path").select("path", "name").first()
     if bad is not None:
@@ -60,8 +61,7 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
     at = paths.join(hashes, "path")
     if manifest:
         at = at.unionByName(spark.createDataFrame([(FILENAME, 1, manifest_sha256)], "path string, phase int, sha256 string"))
-    number = lambda *order: F.row_number().over(Window.orderBy(*order)).cast("long")
-    sources = at.select(number("phase", "path").alias("id"), "path", "sha256")
+    sources = written(numbered(at, ["phase", "path"]).select("id", "path", "sha256"), "numbered-sources")
     declared = facts.filter("fact = 'asset'").select(F.lit(0).alias("phase"), "path", "ordinal", "kind", "name", "canonical", "attributes", "locator")
     # a package stands in each of its files: the first keeps it
     shared = declared.filter("kind = 'package'")
@@ -70,7 +70,7 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
     if services:
         rows = [(1, FILENAME, n, "service", name, name, {"owner": owner, "source": source} | ({"domain": domain} if domain else {}) | ({"tags": ",".join(tags)} if tags else {}), f"services.{name}") for n, name, owner, source, domain, tags in services]
         declared = declared.unionByName(spark.createDataFrame(rows, "phase int, path string, ordinal int, kind string, name string, canonical string, attributes map<string,string>, locator string"))
-    placed = declared.join(sources.select("path", F.col("id").alias("source_id")), "path").withColumn("id", number("phase", "path", "ordinal"))
+    placed = written(numbered(declared.join(sources.select("path", F.col("id").alias("source_id")), "path"), ["phase", "path", "ordinal"]), "numbered-assets")
     assets = placed.select("id", "source_id", "kind", "name", F.col("canonical").alias("canonical_name"), "attributes")
     ends = placed.select("path", "kind", "canonical", "id")
     edges = facts.filter("fact = 'edge'")
@@ -90,7 +90,8 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
         linked, more_gaps = table_links(tables, placed, sources, configs)
         edges = edges.unionByName(linked)
     key = ["from_id", "to_id", "type", "origin"]
-    relationships = edges.groupBy(*key).agg(F.min(F.struct("phase", "path", "ordinal")).alias("first")).withColumn("id", number("first")).select("id", *key)
+    edges = written(edges, "edges")
+    relationships = written(numbered(edges.groupBy(*key).agg(F.min(F.struct("phase", "path", "ordinal")).alias("first")), ["first"]).select("id", *key), "numbered-relationships")
     null = F.lit(None).cast("long")
     of_assets = placed.select("source_id", F.col("id").alias("asset_id"), null.alias("relationship_id"), "locator")
     of_edges = edges.join(relationships, key).select("source_id", null.alias("asset_id"), F.col("id").alias("relationship_id"), "locator").distinct()
@@ -99,7 +100,7 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
     beside = beside.join(placed.filter(F.col("kind").isin(*WIDE)).select("kind", "canonical", F.col("id").alias("asset_id")), ["kind", "canonical"])
     beside = beside.join(sources.select("path", F.col("id").alias("source_id")), "path").select("source_id", "asset_id", null.alias("relationship_id"), "locator")
     evidence = of_assets.unionByName(beside).distinct().unionByName(of_edges)
-    evidence = evidence.select(number("asset_id", "relationship_id", "source_id", "locator").alias("id"), *evidence.columns)
+    evidence = numbered(evidence, ["asset_id", "relationship_id", "source_id", "locator"]).select("id", *evidence.columns)
     gaps = facts.filter("fact = 'gap'").select(F.col("kind").alias("code"), F.col("name").alias("message"), "path", "locator")
     gaps = gaps if more_gaps is None else gaps.unionByName(more_gaps)
     return Ledger(sources, assets, relationships, evidence, configs, gaps, hashes, metadata)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from factgraph.functions.identity import fingerprint, stable_id
 from factgraph.functions.names import normalize_name
 from factgraph.operators import derive, integrity, links, neighborhood, ownership, paths, summary
+from factgraph.plans import prefix
 from factgraph.plans.model import Ledger
 from factgraph.plans.star import SQL, Star, table
 from factgraph.sources.queries import QUERIES as _EXTRACTION
@@ -359,6 +360,37 @@ def inventory_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.inventory_diff(then, now)
 
 
+@query(
+    """WITH d AS (SELECT source || '/' || lang || '/' || doc_id AS path, source, doc_id, text FROM documents)
+    SELECT path, CASE WHEN doc_id % 13 = 0 THEN 'removed' WHEN doc_id % 17 = 0 THEN 'added' ELSE 'changed' END AS change FROM d WHERE source = 'src3' AND (doc_id % 13 = 0 OR doc_id % 10 = 0 OR doc_id % 17 = 0)""", star=False
+)
+def inventory_diff_of_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files in folders by source and language, of which one source has changed; the other folders' files are not joined."""
+    docs = table(spark, sf_dir, "documents")
+    path, digest, here = F.concat_ws("/", "source", "lang", "doc_id").alias("path"), fingerprint(F.col("text")), F.col("source") == "src3"
+    then = docs.filter(~here | (F.col("doc_id") % 17 != 0) | (F.col("doc_id") % 13 == 0)).select(path, digest.alias("sha256"))
+    now = docs.filter(~here | (F.col("doc_id") % 13 != 0)).select(path, F.when(here & (F.col("doc_id") % 10 == 0), F.concat(digest, F.lit("x"))).otherwise(digest).alias("sha256"))
+    return integrity.inventory_diff(then, now)
+
+
+@query("SELECT id, row_number() OVER (ORDER BY kind, canonical_name, id) AS place FROM assets")
+def numbered_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All assets in one order, numbered without a gap and without a task that sees them all."""
+    return prefix.numbered(Star(spark, sf_dir).assets().select("kind", "canonical_name", "id"), ["kind", "canonical_name", "id"], "place").select("id", "place")
+
+
+@query(
+    """SELECT doc_id, (sum(steps) OVER w)::BIGINT AS all_steps, (sum(bytes) OVER w)::BIGINT AS all_bytes, (sum(steps) OVER w <= 20000 AND sum(bytes) OVER w <= 1000000) AS within
+    FROM (SELECT doc_id, source, 1 + len(text) - len(replace(text, chr(10), '')) AS steps, strlen(text) AS bytes FROM documents) WINDOW w AS (ORDER BY source, doc_id)""", star=False
+)
+def budget_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all documents up to each cost together, in steps and bytes, and whether a budget still holds for it."""
+    docs = table(spark, sf_dir, "documents")
+    costs = docs.select("doc_id", "source", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).alias("steps"), F.octet_length("text").alias("bytes"))
+    spent = prefix.running(costs, ["source", "doc_id"], {"steps": "all_steps", "bytes": "all_bytes"})
+    return spent.select("doc_id", "all_steps", "all_bytes", ((F.col("all_steps") <= 20_000) & (F.col("all_bytes") <= 1_000_000)).alias("within"))
+
+
 @query("SELECT doc_id, sha256(text) AS sha256 FROM documents", star=False)
 def source_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("sha256"))
