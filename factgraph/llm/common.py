@@ -59,12 +59,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, max_chars: int, text_col: str = "text", id_col: str = "doc_id") -> list[tuple[str, int]]:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, text_col: str = "text", id_col: str = "doc_id") -> list[tuple[str, int]]:
     """(text, label) of at most per_class rows of each class, none of them of fold 0; in the order of a hash of the id.
 
     The bound on rows holds before the texts are read: ids are drawn from the labels alone, and only their texts are looked up and brought to the driver.
-    Of a text longer than max_chars, that many characters come, from a place drawn by a hash of the id; so no class shrinks by its long texts. Where labels
-    of an id conflict, 1 holds; where an id has several texts, the least.
+    Every text comes whole. Where labels of an id conflict, 1 holds; where an id has several texts, the least.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label")).filter(F.col("id").isNotNull() & F.col("label").isin(0, 1) & (fold(F.col("id")) != 0))
     known = known.groupBy("id").agg(F.max("label").alias("label")).withColumn("at", F.xxhash64("id"))
@@ -73,8 +72,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
         some = known.filter(F.col("label") == value).orderBy("at", "id").limit(per_class)
         drawn = some if drawn is None else drawn.unionByName(some)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    room = F.greatest(F.length("text") - max_chars, F.lit(0)) + 1
-    texts = texts.select("id", F.substring("text", (F.pmod(F.xxhash64("id", F.lit(5)), room) + 1).cast("int"), F.lit(max_chars)).alias("text"))
     found = texts.join(F.broadcast(drawn), "id").groupBy("id", "at", "label").agg(F.min("text").alias("text")).toPandas()
     found = found.sort_values(["at", "id"])
     return list(zip(found["text"].tolist(), found["label"].tolist(), strict=True))

@@ -2,8 +2,8 @@
 
 A line's tokens are parsed to a fixed depth: their number, then the first of them (2 in lines of up to SHALLOW tokens, 4 in longer ones, whose leaves
 would else hold all that begins alike by chance), then a leaf that holds templates. Tokens with a digit or an @
-are variable fields from the start and become <*>, at every level (but not longer ones than MASKED characters, such as a whole line of a script without
-spaces). Within a leaf the lines that differ are generalised by position: a token stays if at least CONSTANT different lines of the leaf have it at
+are variable fields from the start and become <*>, at every level, whatever their length; but not those with a character of a script without spaces,
+where a token may be a whole line. Within a leaf the lines that differ are generalised by position: a token stays if at least CONSTANT different lines of the leaf have it at
 its place, and becomes a field otherwise. Where this gives a template of at least LEAST_FIXED constant tokens, FIXED of all, that is found in GENERAL_DOCS
 documents, it is the line's template; else the line as it is (with its masked tokens) is. So a field may be any word, and lines meet in a
 template only if all its constant tokens agree.
@@ -33,11 +33,13 @@ CONSTANT = 3
 LEAST_FIXED, FIXED, GENERAL_DOCS = 4, 0.8, 3
 LONG, LINE, SHORT = 100, 12, 4
 LONG_DOCS, LINE_DOCS, SHORT_DOCS = 2, 3, 20
-MASKED = 32
 #: Rows that are few enough to be broadcast: a row takes about 60 bytes.
 FEW = 100_000
 GAP = r"[\x09\x0B-\x0D\x20]+"
 VARIABLE = "[0-9@]"
+#: Scripts that set no spaces between words.
+SCRIPTS = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
+UNSPACED = "[" + "".join(rf"\p{{Is{s}}}" for s in SCRIPTS) + "]"
 PLACE = ("id", "row", "pos")
 
 
@@ -45,7 +47,7 @@ def tokens(text: Column) -> Column:
     """The tokens of each line, variable fields as <*>."""
 
     def masked(words: Column) -> Column:
-        return F.transform(words, lambda w: F.when((F.length(w) <= MASKED) & w.rlike(VARIABLE), "<*>").otherwise(w))
+        return F.transform(words, lambda w: F.when(w.rlike(VARIABLE) & ~w.rlike(UNSPACED), "<*>").otherwise(w))
 
     return F.transform(F.split(F.regexp_replace(text, GAP, " "), "\n"), lambda line: F.when(line.rlike(VARIABLE), masked(F.split(F.trim(line), " "))).otherwise(F.split(F.trim(line), " ")))
 
@@ -131,11 +133,11 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep:
 
 
 #: The same dedup in DuckDB's SQL, over the view documents; lines and tokens are compared as they are, not by hash.
-ORACLE_SQL = """
+ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, text FROM documents),
 l AS (SELECT n, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
-t AS (SELECT n, doc_id, pos, list_transform(string_split(trim(regexp_replace(line, '[\\x09-\\x0D\\x20]+', ' ', 'g')), ' '),
-                                            lambda w: CASE WHEN regexp_matches(w, '[0-9@]') AND length(w) <= 32 THEN '<*>' ELSE w END) AS t FROM l),
+t AS (SELECT n, doc_id, pos, list_transform(string_split(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')), ' '),
+                                            lambda w: CASE WHEN regexp_matches(w, '[0-9@]') AND NOT regexp_matches(w, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]') THEN '<*>' ELSE w END) AS t FROM l),
 f AS (SELECT *, list_filter(t, lambda w: w <> '<*>') AS fixed FROM t),
 c AS (SELECT *, length(array_to_string(fixed, '')) AS chars, {'n': len(t), 'lead': t[1:CASE WHEN len(t) <= 10 THEN 2 ELSE 4 END]} AS leaf FROM f),
 k AS (SELECT *, CASE WHEN chars >= 100 THEN 2 WHEN len(t) >= 3 AND len(fixed) >= 2 OR chars >= 12 THEN 3 ELSE 20 END AS need FROM c WHERE chars >= 4),

@@ -4,8 +4,8 @@ Two dictionaries are built from good and bad labelled texts. A text is cut into
 total sizes over the text's length, (bad - good) / (bytes + 64), becomes a probability by a logistic curve fitted on labelled texts that the
 dictionaries have not seen. Blocks keep the dictionaries at work through long texts, which would else become their own dictionary.
 
-The model is fitted on a bounded sample: PER_CLASS rows a class, MAX_CHARS characters of a longer text, from a place drawn by hash; of a class's first
-half, PIECES pieces of PIECE bytes, at even distances, go to the dictionary's trainer, and all of the other half to the curve.
+The model is fitted on a bounded sample: PER_CLASS rows a class, with their whole texts; a class's first half goes to the dictionary's trainer, in pieces
+of PIECE bytes, and the other half to the curve.
 
 Defined results: null and empty texts have a difference of 0 and get the curve's value there; with labels of one class only every score is that
 class; without labels every score is 0.5; repeated rows are scored alike; other columns are kept unless a result column has their name.
@@ -24,10 +24,9 @@ from pyspark.sql import types as T
 
 from factgraph.llm.common import labelled_sample
 
-#: The sample that the model is fitted on: rows of each class, characters of its longest text, and a dictionary's pieces with their bytes.
+#: The sample that the model is fitted on: rows of each class; and the bytes of a piece for a dictionary's trainer.
 PER_CLASS = 3000
-MAX_CHARS = 30_000
-PIECES, PIECE = 6400, 1024
+PIECE = 1024
 DICT_BYTES = 65_536
 BLOCK = 4096
 LEVEL = 3
@@ -44,7 +43,6 @@ class Model:
 def dictionary(texts: list[bytes]) -> zstd.ZstdCompressionDict:
     """A trained dictionary, or where too few samples are there to train one, their bytes as they are."""
     samples = [t[i : i + PIECE] for t in texts for i in range(0, len(t), PIECE)]
-    samples = samples[:: max(1, -(-len(samples) // PIECES))]
     try:
         return zstd.train_dictionary(DICT_BYTES, samples)
     except zstd.ZstdError:
@@ -77,8 +75,8 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    rows = labelled_sample(docs, labels, "quality", per_class, max_chars)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    rows = labelled_sample(docs, labels, "quality", per_class)
     sides = [[t.encode() for t, y in rows if y == side and t] for side in (0, 1)]
     if not all(sides):
         return Model(b"", b"", 0.0, 0.0 if not any(sides) else 40.0 if sides[1] else -40.0)

@@ -19,9 +19,8 @@ from pyspark.sql import types as T
 
 from factgraph.llm.common import labelled_sample
 
-#: The sample that the model is fitted on: rows of each class, and characters of a longer text, from a place drawn by hash.
+#: The sample that the model is fitted on: rows of each class, with their whole texts.
 PER_CLASS = 3000
-MAX_CHARS = 30_000
 SIZES = (3, 4, 5)
 BITS = 18
 FEATURES = 6000
@@ -80,8 +79,8 @@ def train(rows: list[tuple[str, int]]) -> Model:
     return Model(kept, w * scale, float(b))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Model:
-    return train(labelled_sample(docs, labels, "toxic", per_class, max_chars))
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    return train(labelled_sample(docs, labels, "toxic", per_class))
 
 
 def scorer(model: Model):

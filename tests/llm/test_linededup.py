@@ -3,13 +3,14 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+import regex
 
 from factgraph.llm import linededup
 
 
 def brute(rows):
     def tokens(line):
-        return tuple("<*>" if re.search("[0-9@]", w) and len(w) <= 32 else w for w in re.split(r"[\t-\r ]+", line.strip("\t\n\v\f\r ")))
+        return tuple("<*>" if re.search("[0-9@]", w) and not regex.search(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]", w) else w for w in re.split(r"[\t-\r ]+", line.strip("\t\n\v\f\r ")))
 
     def fixed(t):
         return [w for w in t if w != "<*>"]
@@ -61,6 +62,7 @@ def test_as_brute_force(spark, monkeypatch):
     rows += [(90, "\n".join(f"An item called {x} in one list only" for x in ("ab", "cd", "ef"))), (91, "长" * 60), (92, "长" * 60), (93, "短句")]
     rows += [(60 + k, f"This long line was sent on to {name} by the desk of the daily news") for k, name in enumerate(["Alice", "Bob", "Carol"])]
     rows += [(63 + k, f"This long {name} was sent on to everyone by the desk of the daily news") for k, name in enumerate(["row", "text", "note"])]
+    rows += [(130 + k, f"Commit {k}{'0123456789abcdef' * 4} was built here\n第{k}章长行没有空格的一整行文字内容\nที่ {k} บรรทัดนี้{k}ยาว") for k in range(4)]
     rows += [(100 + k, f"Log in\nonly {'pqrstuvwxyzabcdefghijklmnop'[k]} here") for k in range(25)]
     docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, lines string, row string")
     for few in (100_000, 0):

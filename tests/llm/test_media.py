@@ -70,3 +70,16 @@ def test_reruns_agree(spark):
     data = "/root/testdata/sf0.001"
     runs = [sorted(queries.op4_media_columns(spark, data).collect()) for _ in range(2)]
     assert runs[0] == runs[1] and not {"shard", "offset"} & set(runs[0][0].asDict())
+
+
+def test_registered_query_as_brute_force(spark):
+    data = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+    got = queries.op4_media_columns(spark, data).collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    for r in got:
+        data = texts[r.doc_id].encode()
+        padded = data + bytes(-len(data) % 64 if data else 64)
+        png = media.to_png(padded)
+        want = (len(data), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]), len(png), hashlib.sha256(png).hexdigest(), feature(padded), len(padded), 8)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.width * r.height, r.bit_depth) == want
