@@ -122,9 +122,9 @@ def pack(ledger: Ledger, asset_id: int) -> dict:
     boundary |= more
     gaps = [{"code": g.code, "message": g.message, "source": g.path, "locator": g.locator} for g in first.collect()]
     if boundary:
-        gaps.append({"code": "context_boundary", "message": "Context is limited to four hops, 32 assets, 64 relationships and 64 gaps; omitted neighbors are not evidence of absence."})
+        gaps.append({"code": "context_boundary", "message": "The pack ends at four hops, 32 assets, 64 relationships and 64 gaps; what it leaves out may still be there."})
     if not ledger.metadata.get("last_build_at"):
-        gaps.append({"code": "not_built", "message": "No build has run since this scan; inferred associations are absent."})
+        gaps.append({"code": "not_built", "message": "This scan has not been built, so the pack has no inferred links."})
     return {
         "selected_asset_id": next(r.stable_id for r in rows if r.asset_id == asset_id), "assets": sorted(listed, key=lambda a: a["id"]),
         "relationships": sorted(related, key=lambda e: e["id"]), "evidence": sorted(places.values(), key=lambda p: p["id"]), "gaps": gaps,

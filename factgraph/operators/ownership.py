@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The reasons that a gap of a table gives.
+NO_SERVICE = "SQL source needs exactly one configured service root."
+NO_TABLE = "No exact scanned DDL table matches inside the query's service."
+MANY_TABLES = "Multiple scanned DDL tables match inside the query's service; schema or DDL scope is ambiguous."
+
 
 def ancestors(path: Column) -> Column:
     """The path and every folder above it: a prefix join becomes an equi-join on one of these."""
@@ -52,9 +57,9 @@ def resolve_tables(references: DataFrame, assets: DataFrame, sources: DataFrame,
     found = tables.groupBy("service", "target").agg(F.count(F.lit(1)).alias("matches"), F.min("asset_id").alias("asset_id"))
     joined = refs.join(found, ["service", "target"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     reason = (
-        F.when(F.col("service") == "", "SQL source needs exactly one configured service root.")
-        .when(F.col("matches") == 0, "No exact scanned DDL table matches inside the query's service.")
-        .when(F.col("matches") > 1, "Multiple scanned DDL tables match inside the query's service; schema or DDL scope is ambiguous.")
+        F.when(F.col("service") == "", NO_SERVICE)
+        .when(F.col("matches") == 0, NO_TABLE)
+        .when(F.col("matches") > 1, MANY_TABLES)
         .otherwise("")
     )
     return joined.select("path", "target", "service", "matches", F.when(reason == "", F.col("asset_id")).alias("asset_id"), reason.alias("reason"))

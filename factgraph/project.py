@@ -86,6 +86,8 @@ class Project:
     def inventory(self) -> DataFrame:
         return scan.hashes(self.spark, self.root, scan.listed(self.root))
 
+    # The sentences of issues and checks, which scripts look for.
+
     def issues(self, ledger: Ledger) -> list[str]:
         found = integrity.structural_issues(ledger)
         root = ledger.metadata.get("project_root", "")

@@ -121,7 +121,7 @@ def _extract_go(path: str, content: bytes, add) -> None:
     file = golang.parse(content.decode("utf-8", "replace"))
     if file.generated:
         if path.endswith(".go"):
-            add("gap", kind="generated_file", name="Generated Go source is excluded from semantic analysis.", locator="file")
+            add("gap", kind="generated_file", name="Generated Go source is listed, but not read.", locator="file")
         return
     add("source")
     package = golang.package_key(path, file.package)
@@ -134,9 +134,9 @@ def _extract_go(path: str, content: bytes, add) -> None:
         add("edge", from_kind="package", from_canonical=package, to_kind="function", to_canonical=key, type="contains", origin="source-derived", locator=at)
     for name, _, line in file.imports:
         if name == ".":
-            add("gap", kind="go_dot_import", name="Dot imports cannot be resolved conservatively.", locator=span(line, line))
+            add("gap", kind="go_dot_import", name="Names of a dot import are not told from those of the package.", locator=span(line, line))
     for c in file.constraints:
-        add("gap", kind="go_build_constraints", name="Build constraints are not evaluated; this is a static source inventory, not a deployed build.", locator=span(c.line, c.last_line))
+        add("gap", kind="go_build_constraints", name="Build constraints are not evaluated: every variant of the source is read, whatever is built.", locator=span(c.line, c.last_line))
     say = lambda kind, name, owner, where, /, **detail: add("go", kind=kind, name=name, canonical=owner, from_canonical=package, locator=where, detail=json.dumps(detail))
     for name, imported, line in file.imports:
         if name not in (".", "_"):
