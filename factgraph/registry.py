@@ -96,6 +96,17 @@ def impact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.impact(Star(spark, sf_dir).ledger(), SERVICE_ASSET)
 
 
+@query(
+    f"""WITH l AS ({_LINKS.format(SERVICE_ASSET, '', '')}),
+    d AS (SELECT DISTINCT direction, type, if(direction = 'incoming', from_id, to_id) AS asset_id, if(direction = 'incoming', from_kind, to_kind) AS kind, if(direction = 'incoming', from_name, to_name) AS name FROM l)
+    SELECT asset_id, direction, row_number() OVER (ORDER BY direction = 'incoming', type, kind, name, asset_id) AS place FROM d"""
+)
+def impact_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links of an asset that has very many, each with its place in the report's order."""
+    found = links.impact(Star(spark, sf_dir).ledger(), SERVICE_ASSET).withColumn("incoming", F.col("direction") == "incoming")
+    return prefix.numbered(found, ["incoming", "type", "kind", "name", "asset_id"], "place").select("asset_id", "direction", "place")
+
+
 @query("SELECT from_id, to_id, type, string_agg(path || '@' || locator, ';' ORDER BY path, locator) AS evidence FROM link_evidence WHERE type = 'supplied_by' GROUP BY ALL")
 def link_evidence_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
