@@ -1,19 +1,20 @@
 """Line dedup by a log-template tree, with DataFrame functions only.
 
-A line's tokens are parsed to a fixed depth: their number, then the first of them (2 in lines of up to SHALLOW tokens, 4 in longer ones, whose leaves
-would else hold all that begins alike by chance), then a leaf that holds templates. Tokens with a digit or an @
+A line's tokens are parsed to a fixed depth: their number, then the LEADING first of them, then a leaf that holds templates. Tokens with a digit or an @
 are variable fields from the start and become <*>, at every level, whatever their length; but not those with a character of a script without spaces,
 where a token may be a whole line. Within a leaf the lines that differ are generalised by position: a token stays if at least CONSTANT different lines of the leaf have it at
 its place, and becomes a field otherwise. Where this gives a template of at least LEAST_FIXED constant tokens, FIXED of all, that is found in GENERAL_DOCS
 documents, it is the line's template; else the line as it is (with its masked tokens) is. So a field may be any word, and lines meet in a
-template only if all its constant tokens agree.
+template only if all its constant tokens agree. Only leaves that can hold such a template are generalised: two lines of one template differ in its fields
+alone, so if the tokens behind the leading ones are cut to one stretch more than it may have fields, the lines share a stretch; leaves in which no two lines
+do are left out, and nothing is lost by that, since a template that a single line has recurs as that line does.
 
 A template that is found in enough documents recurs: it stays where it is found first, in the lowest document, and all its other lines are dropped. How
 many are enough depends on what is constant in it: 2 documents from LONG characters on; 3 for lines of 3 tokens with 2 constant ones, or of LINE constant
 characters; SHORT_DOCS for shorter lines of at least SHORT constant characters. Lines with less in them stay.
 
 Lines travel as 64-bit hashes of their leaf and template, and with a 32-bit hash of each token. Counting combines before the shuffle, so a line that fills
-a third of the corpus is one row a task, and only one line of each kind, from leaves that hold CONSTANT different ones, is generalised. Recurring
+a third of the corpus is one row a task, and only one line of each kind is generalised. Recurring
 templates, leaves and constants are broadcast where they are counted and few, and joined by their hash otherwise, where large partitions can be split.
 
 Defined results: null and empty texts stay as they are; a text whose lines all go is empty (whole rows can be left out by the caller: dropped = lines);
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from factgraph.llm.common import written
 
-SHALLOW, LEADING = 10, (2, 4)
+LEADING = 2
 CONSTANT = 3
 LEAST_FIXED, FIXED, GENERAL_DOCS = 4, 0.8, 3
 LONG, LINE, SHORT = 100, 12, 4
@@ -63,7 +64,7 @@ def parsed(rows: DataFrame) -> DataFrame:
         t, chars = x["t"], x["chars"]
         need = F.when(chars >= LONG, LONG_DOCS).when((F.size(t) >= 3) & (x["fixed"] >= 2) | (chars >= LINE), LINE_DOCS).otherwise(SHORT_DOCS)
         parts = F.when(x["fixed"] >= LEAST_FIXED, F.transform(t, lambda w: F.when(w == "<*>", 0).otherwise(F.hash(w))))
-        key = F.struct(F.xxhash64(F.size(t), F.slice(t, F.lit(1), F.when(F.size(t) <= SHALLOW, LEADING[0]).otherwise(LEADING[1]))).alias("leaf"), F.xxhash64(F.lit("line"), t).alias("line"))
+        key = F.struct(F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.xxhash64(F.lit("line"), t).alias("line"))
         return F.struct(key.alias("key"), x["pos"].alias("pos"), need.cast("byte").alias("need"), parts.alias("parts"))
 
     lines = F.filter(F.transform(tokens(F.col("text")), judged), lambda x: x["chars"] >= SHORT)
@@ -77,19 +78,40 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW else df
 
 
+def least_fixed(size: Column) -> Column:
+    """How many constant tokens a template of size tokens has at least."""
+    return F.greatest(F.lit(LEAST_FIXED), F.ceil(size * FIXED))
+
+
+def alike(lines: DataFrame, leaves: DataFrame, found: DataFrame) -> DataFrame:
+    """Those of the leaves in which different lines share a stretch of tokens."""
+    size = F.size("parts")
+    fields = size - least_fixed(size)
+    at = lambda k: F.floor(k * (size - LEADING) / (fields + 1)).cast("int")
+    stretch = lambda k: F.xxhash64("leaf", k, F.slice("parts", at(k) + LEADING + 1, at(k + 1) - at(k)))
+    some = lines.filter(F.col("parts").isNotNull() & (fields >= 1)).join(few(leaves), "leaf", "left_semi")
+    cut = some.select("line", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), fields), stretch)).alias("stretch"))
+    shared = cut.groupBy("stretch").agg(F.min("line").alias("line"), F.max("line").alias("other")).filter("line < other").select("line").distinct()
+    shared = written(shared, "lines-shared")
+    return written(found.join(few(shared), "line", "left_semi").select("leaf").distinct(), "lines-alike")
+
+
 def generalised(lines: DataFrame, found: DataFrame) -> DataFrame | None:
     """(leaf, line, first) of the lines whose generalised template recurs, first being where that is found first."""
     leaves = written(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT).select("leaf"), "lines-leaves")
     if leaves.isEmpty():
         return None
-    kinds = lines.filter("parts is not null").join(few(leaves), "leaf").groupBy("leaf", "line").agg(F.any_value("parts").alias("parts"))
+    leaves = alike(lines, leaves, found)
+    if leaves.isEmpty():
+        return None
+    kinds = lines.filter("parts is not null").join(few(leaves), "leaf", "left_semi").groupBy("leaf", "line").agg(F.any_value("parts").alias("parts"))
     kinds = written(kinds, "lines-kinds")
     words = kinds.select("leaf", "line", F.posexplode("parts").alias("at", "word")).filter("word <> 0")
     constant = words.groupBy("leaf", "at", "word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT).select("leaf", "at", "word")
     constant = written(constant, "lines-constant")
     kept = words.join(few(constant), ["leaf", "at", "word"]).groupBy("leaf", "line").agg(F.bit_xor(F.xxhash64("at", "word")).alias("shape"), F.count(F.lit(1)).alias("fixed"))
     size, solid = F.size("parts"), F.size(F.filter("parts", lambda w: w != 0))
-    shaped = kinds.join(kept, ["leaf", "line"]).filter((F.col("fixed") < solid) & (F.col("fixed") >= F.greatest(F.lit(LEAST_FIXED), F.ceil(size * FIXED))))
+    shaped = kinds.join(kept, ["leaf", "line"]).filter((F.col("fixed") < solid) & (F.col("fixed") >= least_fixed(size)))
     shaped = written(shaped.select("leaf", "line", "shape", "fixed"), "lines-shaped")
     if shaped.isEmpty():
         return None
@@ -104,11 +126,11 @@ def generalised(lines: DataFrame, found: DataFrame) -> DataFrame | None:
 def recurring(lines: DataFrame) -> DataFrame:
     """(leaf, line, first) of all lines whose template recurs."""
     found = written(lines.groupBy("leaf", "line").agg(F.sum("lead").alias("n"), F.max("need").alias("need"), F.min(F.struct(*PLACE)).alias("first")), "lines-found")
-    alike = found.filter("n >= need").select("leaf", "line", "first")
+    same = found.filter("n >= need").select("leaf", "line", "first")
     general = generalised(lines, found)
     if general is not None:
-        alike = general.unionByName(alike.join(general, ["leaf", "line"], "left_anti"))
-    return written(alike, "lines-recurring")
+        same = general.unionByName(same.join(general, ["leaf", "line"], "left_anti"))
+    return written(same, "lines-recurring")
 
 
 def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
@@ -139,7 +161,7 @@ l AS (SELECT n, doc_id, unnest(string_split(text, chr(10))) AS line, generate_su
 t AS (SELECT n, doc_id, pos, list_transform(string_split(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g')), ' '),
                                             lambda w: CASE WHEN regexp_matches(w, '[0-9@]') AND NOT regexp_matches(w, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]') THEN '<*>' ELSE w END) AS t FROM l),
 f AS (SELECT *, list_filter(t, lambda w: w <> '<*>') AS fixed FROM t),
-c AS (SELECT *, length(array_to_string(fixed, '')) AS chars, {'n': len(t), 'lead': t[1:CASE WHEN len(t) <= 10 THEN 2 ELSE 4 END]} AS leaf FROM f),
+c AS (SELECT *, length(array_to_string(fixed, '')) AS chars, {'n': len(t), 'lead': t[1:2]} AS leaf FROM f),
 k AS (SELECT *, CASE WHEN chars >= 100 THEN 2 WHEN len(t) >= 3 AND len(fixed) >= 2 OR chars >= 12 THEN 3 ELSE 20 END AS need FROM c WHERE chars >= 4),
 found AS (SELECT t, any_value(leaf) AS leaf, any_value(fixed) AS fixed, any_value(need) AS need, count(DISTINCT n) AS docs, min({'d': doc_id, 'p': pos}) AS lowest FROM k GROUP BY t),
 several AS (SELECT leaf FROM found GROUP BY leaf HAVING count(*) >= 3),

@@ -25,7 +25,7 @@ def brute(rows):
             t = tokens(line)
             if sum(map(len, fixed(t))) >= 4:
                 at[t].append((i is not None, i, n, p))
-                leaves[len(t), t[: 2 if len(t) <= 10 else 4]].add(t)
+                leaves[len(t), t[:2]].add(t)
     shapes = defaultdict(list)
     for leaf, kinds in leaves.items():
         if len(kinds) >= 3:
@@ -78,6 +78,11 @@ def test_a_field_may_be_a_word(spark):
     assert sorted((r.doc_id, r.dropped) for r in linededup.dedup(docs).collect()) == [(0, 0), (1, 1), (2, 1), (3, 1), (9, 0)]
 
 
+def test_a_field_at_the_third_place_of_a_long_line(spark):
+    docs = spark.createDataFrame([(i, f"This long {w} was sent on to everyone by the desk of the daily news") for i, w in enumerate(["row", "text", "note"])] + [(9, "This long way was sent on to no one by the desk of another paper")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.dropped) for r in linededup.dedup(docs).collect()) == [(0, 0), (1, 1), (2, 1), (9, 0)]
+
+
 def test_oracle(spark):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
