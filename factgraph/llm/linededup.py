@@ -97,7 +97,7 @@ def alike(lines: DataFrame, leaves: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def generalised(lines: DataFrame, found: DataFrame) -> DataFrame | None:
-    """(leaf, line, first) of the lines whose generalised template recurs, first being where that is found first."""
+    """(line, first) of the lines whose generalised template recurs, first being where that is found first."""
     leaves = written(found.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= CONSTANT).select("leaf"), "lines-leaves")
     if leaves.isEmpty():
         return None
@@ -117,19 +117,19 @@ def generalised(lines: DataFrame, found: DataFrame) -> DataFrame | None:
         return None
     shaped = few(shaped)
     template = ["leaf", "shape", "fixed"]
-    met = lines.join(shaped, ["leaf", "line"]).groupBy(*template, *PLACE).agg(F.count(F.lit(1)).alias("n"))  # n: rows alike
+    met = lines.drop("leaf").join(shaped, "line").groupBy(*template, *PLACE).agg(F.count(F.lit(1)).alias("n"))  # n: rows alike
     met = met.groupBy(*template, "id", "row").agg(F.max("n").alias("n"), F.min("pos").alias("pos"))
     recur = met.groupBy(*template).agg(F.sum("n").alias("n"), F.min(F.struct(*PLACE)).alias("first")).filter(F.col("n") >= GENERAL_DOCS)
-    return written(shaped.join(recur, template).select("leaf", "line", "first"), "lines-general")
+    return written(shaped.join(recur, template).select("line", "first"), "lines-general")
 
 
 def recurring(lines: DataFrame) -> DataFrame:
-    """(leaf, line, first) of all lines whose template recurs."""
+    """(line, first) of all lines whose template recurs."""
     found = written(lines.groupBy("leaf", "line").agg(F.sum("lead").alias("n"), F.max("need").alias("need"), F.min(F.struct(*PLACE)).alias("first")), "lines-found")
-    same = found.filter("n >= need").select("leaf", "line", "first")
+    same = found.filter("n >= need").select("line", "first")
     general = generalised(lines, found)
     if general is not None:
-        same = general.unionByName(same.join(general, ["leaf", "line"], "left_anti"))
+        same = general.unionByName(same.join(general, "line", "left_anti"))
     return written(same, "lines-recurring")
 
 
@@ -140,7 +140,7 @@ def dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep:
     rows = docs.select(F.struct(F.lit(0), *map(F.col, kept)).alias("kept"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("row", F.xxhash64(F.col("id").cast("string"), "text"))
     lines = written(parsed(rows), "lines-parsed")
-    gone = lines.join(few(recurring(lines)), ["leaf", "line"]).filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
+    gone = lines.join(few(recurring(lines)), "line").filter(~F.struct(*PLACE).eqNullSafe(F.col("first")))
     gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("row").alias("gone_row")).agg(F.collect_set("pos").alias("gone"))
     rows = rows.join(gone, (F.col("row") == F.col("gone_row")) & F.col("id").eqNullSafe(F.col("gone_id")), "left")
     split = F.split("text", "\n")
