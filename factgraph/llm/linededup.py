@@ -57,13 +57,14 @@ def parsed(rows: DataFrame) -> DataFrame:
     """(id, row, pos, leaf, line, need, parts, lead): each line that may recur; lead marks the first of its equals in its document."""
 
     def judged(t: Column, i: Column) -> Column:
-        fixed = F.filter(t, lambda x: x != "<*>")
-        return F.struct(t.alias("t"), i.alias("pos"), F.size(fixed).alias("fixed"), F.length(F.array_join(fixed, "")).alias("chars"))
+        masked = F.array_contains(t, "<*>")
+        fixed = F.when(masked, F.filter(t, lambda x: x != "<*>")).otherwise(t)
+        return F.struct(t.alias("t"), i.alias("pos"), masked.alias("masked"), F.size(fixed).alias("fixed"), F.length(F.array_join(fixed, "")).alias("chars"))
 
     def placed(x: Column) -> Column:
         t, chars = x["t"], x["chars"]
         need = F.when(chars >= LONG, LONG_DOCS).when((F.size(t) >= 3) & (x["fixed"] >= 2) | (chars >= LINE), LINE_DOCS).otherwise(SHORT_DOCS)
-        parts = F.when(x["fixed"] >= LEAST_FIXED, F.transform(t, lambda w: F.when(w == "<*>", 0).otherwise(F.hash(w))))
+        parts = F.when(x["fixed"] >= LEAST_FIXED, F.when(x["masked"], F.transform(t, lambda w: F.when(w == "<*>", 0).otherwise(F.hash(w)))).otherwise(F.transform(t, lambda w: F.hash(w))))
         key = F.struct(F.xxhash64(F.size(t), F.slice(t, 1, LEADING)).alias("leaf"), F.xxhash64(F.lit("line"), t).alias("line"))
         return F.struct(key.alias("key"), x["pos"].alias("pos"), need.cast("byte").alias("need"), parts.alias("parts"))
 
