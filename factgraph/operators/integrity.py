@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,15 +70,24 @@ def inventory_diff(then: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").select("path", change.alias("change")).filter("change is not null")
 
 
-def structural_issues(ledger: Ledger) -> list[str]:
-    """One line per failed check, with the least record that fails it."""
-    checks = [
+def _checks(ledger: Ledger) -> list[tuple[str, DataFrame]]:
+    return [
         ("foreign-key violations", foreign_key_violations(ledger).select(F.col("value").alias("id"))),
         ("assets without evidence", assets_without_evidence(ledger).select("id")),
         ("relationships without evidence", relationships_without_evidence(ledger).select("id")),
         ("orphaned evidence", orphaned_evidence(ledger).select("id")),
     ]
-    firsts = [(name, df.agg(F.min("id").alias("id")).first().id) for name, df in checks]
+
+
+def verdicts(ledger: Ledger) -> DataFrame:
+    """(check, failures): how many records fail each check, none included."""
+    counted = [df.agg(F.count(F.lit(1)).alias("failures")).select(F.lit(name).alias("check"), "failures") for name, df in _checks(ledger)]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def structural_issues(ledger: Ledger) -> list[str]:
+    """One line per failed check, with the least record that fails it."""
+    firsts = [(name, df.agg(F.min("id").alias("id")).first().id) for name, df in _checks(ledger)]
     return [f"{name} (record {i})" for name, i in firsts if i is not None]
 
 

@@ -93,12 +93,13 @@ def pack(ledger: Ledger, asset_id: int) -> dict:
     assets = pack_assets(ledger, admitted)
     inside, more = pack_relationships(ledger, assets)
     rows, edges = assets.collect(), inside.collect()
-    owns = ledger.relationships.filter("type = 'owns_asset'").filter(F.col("to_id").isin(list(admitted.depth)))
+    owns = ledger.relationships_at(list(admitted.depth)).filter("type = 'owns_asset'").filter(F.col("to_id").isin(list(admitted.depth)))
     owned = [(r.to_id, r.from_id, r.id) for r in owns.select("to_id", "from_id", "id").collect()]
     services = {r.id: r.name for r in ledger.assets.filter("kind = 'service'").filter(F.col("id").isin([s for _, s, _ in owned])).select("id", "name").collect()} if owned else {}
     teams = {r.name: r.owner for r in ledger.configs.select("name", "owner").filter(F.col("name").isin(list(services.values()))).collect()} if services else {}
     asset_ids, edge_ids = [*admitted.depth, *services], [*(e.relationship_id for e in edges), *(r for _, _, r in owned)]
-    at = ledger.evidence.filter(F.col("asset_id").isin(asset_ids) | F.col("relationship_id").isin(edge_ids)) if edge_ids else ledger.evidence.filter(F.col("asset_id").isin(asset_ids))
+    near = ledger.evidence_at(list(admitted.depth))
+    at = near.filter(F.col("asset_id").isin(asset_ids) | F.col("relationship_id").isin(edge_ids)) if edge_ids else near.filter(F.col("asset_id").isin(asset_ids))
     at = at.join(ledger.sources.select(F.col("id").alias("source_id"), "path", "sha256"), "source_id")
     at = at.select("asset_id", "relationship_id", stable_id("evidence", F.col("path"), F.col("sha256"), F.col("locator")).alias("id"), "path", "sha256", "locator")
     if len(at.select("id").distinct().limit(PACK_EVIDENCE + 1).collect()) > PACK_EVIDENCE:

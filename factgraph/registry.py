@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from factgraph.functions.identity import fingerprint, stable_id
 from factgraph.functions.names import normalize_name
 from factgraph.operators import derive, integrity, links, neighborhood, ownership, paths, summary
-from factgraph.plans import prefix
+from factgraph.plans import materialize, prefix, store
 from factgraph.plans.model import Ledger
 from factgraph.plans.star import SQL, Star, table
 from factgraph.sources.queries import QUERIES as _EXTRACTION
@@ -19,6 +19,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {name: f for name, (f, _) in _EXTRACTION.items()}
 _ORACLES: dict[str, str] = {name: sql for name, (_, sql) in _EXTRACTION.items()}
 
+#: Customers and suppliers with the service that owns them, by the tables' own keys.
+_HELD = "held AS (SELECT 8 * c_custkey + 1 AS id, 8 * c_nationkey::BIGINT AS service FROM customer UNION ALL SELECT 8 * s_suppkey + 2, 8 * s_nationkey::BIGINT FROM supplier)"
+
 #: The assets that the single-asset queries ask about, by id: a customer, a supplier, a part, a service.
 CUSTOMER_ASSET, SUPPLIER_ASSET, PART_ASSET, SERVICE_ASSET = 8 * 1 + 1, 8 * 1 + 2, 8 * 1 + 4, 8 * 1
 
@@ -295,6 +298,50 @@ def neighborhood_pack_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighborhood.gaps_at(ledger, [r.path for r in places.select("path").distinct().collect()])[0].select(F.col("path").alias("source"), "locator", "code", "message")
 
 
+_PACK = f"""{_HELD}, {_levels()}, st AS (SELECT a.id, s.path, s.sha256, 'asset:' || sha256('["' || a.kind || '","' || s.path || '","' || a.canonical_name || '"]') AS stable FROM admitted JOIN assets a USING (id) JOIN sources s ON s.id = a.source_id),
+    inside AS (SELECT from_id, to_id, type, 'relation:' || sha256('["' || f.stable || '","' || t.stable || '","' || type || '","' || origin || '"]') AS stable
+      FROM relationships JOIN st f ON f.id = from_id JOIN st t ON t.id = to_id WHERE type <> 'owns_asset' ORDER BY stable LIMIT 64),
+    place AS (
+      SELECT stable AS of, path, sha256, 'row' AS locator FROM st
+      UNION SELECT i.stable, e.path, s.sha256, locator FROM inside i JOIN link_evidence e USING (from_id, to_id, type) JOIN sources s ON s.id = e.source_id
+      UNION SELECT st.stable, s.path, s.sha256, 'row' FROM st JOIN held USING (id) JOIN sources s ON s.id = held.service)"""
+
+
+@query(f"""WITH {_PACK} SELECT of AS target, 'evidence:' || sha256('["' || path || '","' || sha256 || '","' || locator || '"]') AS evidence_id, path AS source, locator FROM place""")
+def neighborhood_pack_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each asset and relationship of a pack with each place of its evidence; an asset's is also that of its services."""
+    found = neighborhood.pack(Star(spark, sf_dir).ledger(), CUSTOMER_ASSET)
+    at = {e["id"]: e for e in found["evidence"]}  # PACK_EVIDENCE at most
+    rows = [(x["id"], i, at[i]["source"], at[i]["locator"]) for x in found["assets"] + found["relationships"] for i in x["evidence_ids"]]
+    return spark.createDataFrame(rows, "target string, evidence_id string, source string, locator string")
+
+
+@query(f"WITH {_PACK} SELECT stable AS asset, c.name AS service, c.owner AS team FROM st JOIN held USING (id) JOIN configs c ON 8 * c.n_nationkey = held.service")
+def neighborhood_pack_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The services and teams of a pack's assets."""
+    found = neighborhood.pack(Star(spark, sf_dir).ledger(), CUSTOMER_ASSET)
+    return spark.createDataFrame([(a["id"], o["name"], o["team"]) for a in found["assets"] for o in a["owners"]], "asset string, service string, team string")
+
+
+_DENSE = """a AS (SELECT from_id AS id FROM relationships WHERE type = 'supplied_by' AND to_id <= 82 GROUP BY from_id ORDER BY count(*) DESC, from_id LIMIT 22),
+    st AS (SELECT x.id, 'asset:' || sha256('["' || x.kind || '","' || s.path || '","' || x.canonical_name || '"]') AS stable FROM assets x JOIN sources s ON s.id = x.source_id WHERE x.id IN (SELECT id FROM a) OR x.kind = 'supplier' AND x.id <= 82)"""
+
+
+@query(
+    f"""WITH {_DENSE}, r AS (SELECT 'relation:' || sha256('["' || f.stable || '","' || t.stable || '","' || type || '","' || origin || '"]') AS stable_id, f.stable AS from_stable, t.stable AS to_stable, type
+      FROM relationships JOIN st f ON f.id = from_id JOIN st t ON t.id = to_id WHERE type <> 'owns_asset')
+    SELECT *, row_number() OVER (ORDER BY stable_id) AS place, (SELECT count(*) FROM r) > 64 AS more FROM r ORDER BY stable_id LIMIT 64"""
+)
+def pack_relationships_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the links between the first suppliers and the 22 parts that most of them supply, the 64 that a pack takes, and whether there are more."""
+    ledger = Star(spark, sf_dir).ledger()
+    parts = ledger.relationships.filter("type = 'supplied_by' and to_id <= 82").groupBy(F.col("from_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "id").limit(22)
+    ids = [r.id for r in parts.collect()] + [8 * k + 2 for k in range(11)]
+    assets = neighborhood.pack_assets(ledger, neighborhood.Admitted(dict.fromkeys(ids, 0), False))
+    first, more = neighborhood.pack_relationships(ledger, assets)
+    return prefix.numbered(first.drop("relationship_id", "origin"), ["stable_id"], "place").withColumn("more", F.lit(more))
+
+
 # -- integrity --------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -339,12 +386,59 @@ def fk_violations_of_relationships(spark: SparkSession, sf_dir: str) -> DataFram
     return _violations(spark, sf_dir, "relationships")
 
 
-# No SQL: DuckDB fails internally on the union of its checks at some sizes; tests/test_integrity.py holds all six against sets in plain Python.
-@query()
+@query(
+    """WITH e AS MATERIALIZED (SELECT source_id, id AS asset_id, NULL::BIGINT AS f, NULL::BIGINT AS t FROM assets
+      UNION ALL SELECT source_id, NULL, from_id, to_id FROM (SELECT DISTINCT source_id, from_id, to_id, type, locator FROM declared)),
+    x AS (SELECT unnest([{'c': 'source_id', 'v': if(source_id % 97 = 1, source_id, NULL)}, {'c': 'asset_id', 'v': if(asset_id % 89 = 4, asset_id, NULL)},
+      {'c': 'relationship_id', 'v': if((f + t) % 83 = 2, f * 1000003 + t, NULL)}]) AS x FROM e)
+    SELECT x.c AS "column", x.v AS "value", count(*) AS n FROM x WHERE x.v IS NOT NULL GROUP BY ALL"""
+)
 def fk_violations_of_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _violations(spark, sf_dir, "evidence")
 
 
+@query(
+    f"""WITH {_HELD}, e AS MATERIALIZED (SELECT source_id, id AS asset_id, NULL::BIGINT AS f, NULL::BIGINT AS t, true AS asset FROM assets
+      UNION ALL SELECT source_id, NULL, from_id, to_id, false FROM (SELECT DISTINCT source_id, from_id, to_id, type, locator FROM declared)),
+    a AS MATERIALIZED (SELECT id, source_id FROM assets WHERE id % 89 <> 4),
+    r AS MATERIALIZED (SELECT from_id, to_id FROM (SELECT DISTINCT from_id, to_id FROM declared UNION ALL SELECT service, id FROM held) WHERE (from_id + to_id) % 83 <> 2),
+    n AS (SELECT (SELECT count(*) FROM a WHERE source_id % 97 = 1) + (SELECT count(*) FILTER (WHERE from_id % 89 = 4) + count(*) FILTER (WHERE to_id % 89 = 4) FROM r)
+        + (SELECT count(*) FILTER (WHERE source_id % 97 = 1) + count(*) FILTER (WHERE asset AND asset_id % 89 = 4) + count(*) FILTER (WHERE NOT asset AND (f + t) % 83 = 2) FROM e) AS keys,
+      (SELECT count(*) FROM held WHERE (service + id) % 83 <> 2) AS edges, (SELECT count(*) FROM e WHERE source_id % 97 = 1) AS orphans)
+    SELECT 'foreign-key violations' AS "check", keys AS failures FROM n UNION ALL SELECT 'assets without evidence', 0 FROM n
+    UNION ALL SELECT 'relationships without evidence', edges FROM n UNION ALL SELECT 'orphaned evidence', orphans FROM n"""
+)
+def verify_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records fail each structural check of a ledger with seeded losses; derived ownership has no evidence in the star ledger."""
+    star = Star(spark, sf_dir)
+    ledger = Ledger.empty(spark)
+    ledger.sources, ledger.assets, ledger.evidence = star.sources().filter("id % 97 <> 1"), star.assets().filter("id % 89 <> 4"), star.evidence()
+    ledger.relationships = star.relationships().filter("(from_id + to_id) % 83 <> 2")
+    return integrity.verdicts(ledger)
+
+
+@query(
+    f"""WITH {_HELD}, d AS MATERIALIZED (SELECT DISTINCT from_id, to_id, source_id, locator FROM declared)
+    SELECT 'asset' AS what, a.id AS first, s.id AS second, s.path || ' ' || s.sha256 AS at FROM (SELECT id, source_id FROM assets) a JOIN sources s ON s.id = a.source_id
+    UNION ALL SELECT DISTINCT 'relationship', from_id, to_id, '' FROM d UNION ALL SELECT 'relationship', service, id, '' FROM held
+    UNION ALL SELECT 'evidence', source_id, id, 'row' FROM assets UNION ALL SELECT 'evidence', source_id, from_id, locator FROM d"""
+)
+def generation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ledger committed as a generation and loaded again: every asset with its source, every relationship and every place of evidence."""
+    folder = materialize.folder(spark.range(0), "generation")
+    store.save(Star(spark, sf_dir).ledger(), folder)
+    found = store.load(spark, folder)
+    row = lambda what, first, second, at: [F.lit(what).alias("what"), F.col(first).alias("first"), F.col(second).alias("second"), at.alias("at")]
+    sources = found.sources.select(F.col("id").alias("source_id"), F.concat_ws(" ", "path", "sha256").alias("at"))
+    ends = found.relationships.select(F.col("id").alias("relationship_id"), "from_id")
+    return (
+        found.assets.join(sources, "source_id").select(*row("asset", "id", "source_id", F.col("at")))
+        .unionByName(found.relationships.select(*row("relationship", "from_id", "to_id", F.lit(""))))
+        .unionByName(found.evidence.filter("asset_id is not null").select(*row("evidence", "source_id", "asset_id", F.col("locator"))))
+        .unionByName(found.evidence.join(ends, "relationship_id").select(*row("evidence", "source_id", "from_id", F.col("locator"))))
+    )
+
+
 @query("SELECT source_id, count(*) AS n FROM (SELECT source_id FROM assets UNION ALL SELECT source_id FROM (SELECT DISTINCT source_id, from_id, to_id, type, locator FROM declared)) WHERE source_id % 97 = 1 GROUP BY source_id")
 def verify_orphaned_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
