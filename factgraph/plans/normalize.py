@@ -39,10 +39,10 @@ def table_links(tables: DataFrame, placed: DataFrame, sources: DataFrame, config
     return rows.select("phase", "path", "ordinal", "from_id", "to_id", "type", "origin", "source_id", "locator"), gaps
 
 
-def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None, manifest_sha256: str, metadata: dict[str, str]) -> Ledger:
+def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None, manifest_sha256: str, metadata: dict[str, str], budget: tuple[int, int] | None = (govalues.MOST_STEPS, govalues.MOST_BYTES)) -> Ledger:
     """The ledger of a scan's facts; ScanError for a file's error or for an asset declared twice in a file.
 
-    Ids follow phase, path and order of emission, without a gap; they are numbered by ranges (plans/prefix), so no task sees all rows and reruns agree.
+    The evaluations of all files share a budget of steps and bytes, None for no bound. Ids follow phase, path and order of emission, without a gap; they are numbered by ranges (plans/prefix), so no task sees all rows and reruns agree.
     """
     bad = facts.filter("fact = 'error'").orderBy("path").select("path", "name").first()
     if bad is not None:
@@ -52,7 +52,7 @@ def ledger_of(spark: SparkSession, facts: DataFrame, manifest: Manifest | None,
         raise ScanError(f"{twice.path}: {twice.kind} {twice.canonical!r} is declared twice")
     tables = None
     if not facts.filter("fact = 'go' and kind = 'call'").isEmpty():
-        facts, tables = gocalls.resolved(facts, (govalues.MOST_STEPS, govalues.MOST_BYTES))
+        facts, tables = gocalls.resolved(facts, budget)
         facts = written(facts, "facts-resolved")
     services = [(n, s.name, s.owner, s.source, s.domain, s.tags) for n, s in enumerate(manifest.services)] if manifest else []
     configs = spark.createDataFrame([s[1:] for s in services], CONFIGS)

@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factgraph.plans.star import table
 from factgraph.operators import gocalls
+from factgraph.operators.ownership import MANY_TABLES, NO_SERVICE, NO_TABLE
+from factgraph.plans import materialize
+from factgraph.plans.normalize import ledger_of
+from factgraph.plans.star import table
 from factgraph.sources import scan, sqlref
+from factgraph.sources.manifest import Manifest, Service
 
 REFERENCE = "schema string, table string, access string, operation string, error string"
 
@@ -178,6 +182,43 @@ SELECT 'svc/' || s_suppkey || '/a.go' AS path, fact, CASE WHEN name = 't' THEN '
 FROM supplier JOIN rows ON s_suppkey % 10 = kind"""
 
 
+#: The statement of a supplier's query by its number modulo 6; # is that number.
+STATEMENTS = ["SELECT id FROM t#", "UPDATE t# SET a = 1", "SELECT id FROM t#", "DELETE FROM t#", "SELECT id FROM t#", "INSERT INTO shop.t# (id) VALUES (1)"]
+
+
+def go_table_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a project of 25 services, by nation, with a package and its table's declaration per supplier: edges from queries to tables with every place that
+    stands for them, and gaps where a table is declared twice (2), outside the service (3), or the query lies in no service (4).
+    """
+    s = table(spark, sf_dir, "supplier")
+    kind, key, home = F.col("s_suppkey") % 6, F.col("s_suppkey").cast("string"), text("svc/", F.col("s_nationkey"), "/", F.col("s_suppkey"), "/")
+    statement = F.replace(F.element_at(F.array(*map(F.lit, STATEMENTS)), (kind + 1).cast("int")), F.lit("#"), key)
+    code = contents(
+        s, F.when(kind == 4, text("lib/", key, "/a.go")).otherwise(text(home, "a.go")),
+        text("package p\n\nimport \"database/sql\"\n\nconst said = \"", statement, "\"\n\nfunc Run(db *sql.DB) {\n\tdb.Query(said)\n}\n"),
+    )
+    declared = text("CREATE TABLE ", F.when(kind == 5, "shop.").otherwise(""), "t", key, " (id int);")
+    first = contents(s, F.when(kind == 3, text("ddl/", key, ".sql")).otherwise(text(home, "t.sql")), declared)
+    again = contents(s.filter(kind == 2), text(home, "u.sql"), declared)
+    nations = [r.n_nationkey for r in table(spark, sf_dir, "nation").select("n_nationkey").collect()]
+    services = Manifest([Service(f"s{n}", "team", f"svc/{n}") for n in sorted(nations)])
+    facts = materialize.written(scan.facts_of(code.unionByName(first).unionByName(again)), "facts")
+    ledger = ledger_of(spark, facts, services, "", {}, budget=None)
+    at = ledger.sources.select(F.col("id").alias("source_id"), "path")
+    goals = ledger.assets.filter("kind = 'table'").select(F.col("id").alias("to_id"), F.col("canonical_name").alias("table"))
+    edges = ledger.relationships.filter("type in ('reads_table', 'writes_table')").join(goals, "to_id").select(F.col("id").alias("relationship_id"), F.col("type").alias("fact"), "table")
+    places = ledger.evidence.filter("relationship_id is not null").join(edges, "relationship_id").join(at, "source_id")
+    gaps = ledger.diagnostics.select(F.col("code").alias("fact"), F.lit("").alias("table"), "path", "locator", F.col("message").alias("reason"))
+    return places.select("fact", "table", "path", "locator", F.lit("").alias("reason")).unionByName(gaps)
+
+
+GO_TABLES_SQL = f"""WITH s AS (SELECT s_suppkey % 6 AS kind, 'svc/' || s_nationkey || '/' || s_suppkey || '/' AS home, 'lib/' || s_suppkey || '/' AS lib, CASE WHEN s_suppkey % 6 = 5 THEN 'shop.t' ELSE 't' END || s_suppkey AS name FROM supplier),
+e AS (SELECT *, CASE WHEN kind = 0 THEN 'reads_table' ELSE 'writes_table' END AS fact FROM s WHERE kind IN (0, 1, 5))
+SELECT fact, name AS "table", home || 'a.go' AS path, unnest(['L5-L5', 'L8-L8']) AS locator, '' AS reason FROM e
+UNION ALL SELECT fact, name, home || 't.sql', 'CREATE TABLE ' || name, '' FROM e
+UNION ALL SELECT 'go_unresolved_table', '', CASE WHEN kind = 4 THEN lib ELSE home END || 'a.go', 'L8-L8', CASE kind WHEN 2 THEN '{MANY_TABLES.replace("'", "''")}' WHEN 3 THEN '{NO_TABLE.replace("'", "''")}' ELSE '{NO_SERVICE}' END FROM s WHERE kind IN (2, 3, 4)"""
+
+
 def sqlref_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statement per order: reads, writes and one that is out of the grammar, by turns."""
     o = table(spark, sf_dir, "orders")
@@ -198,4 +239,4 @@ CASE WHEN o_orderkey % 4 = 3 THEN '' WHEN o_orderkey % 4 = 1 OR o_orderkey % 8 =
 CASE o_orderkey % 4 WHEN 0 THEN 'read' WHEN 3 THEN '' ELSE 'write' END AS access, CASE WHEN o_orderkey % 4 = 0 THEN 'SELECT' WHEN o_orderkey % 4 = 1 THEN 'INSERT' WHEN o_orderkey % 8 = 2 THEN 'DELETE' WHEN o_orderkey % 8 = 6 THEN 'UPDATE' ELSE '' END AS operation,
 CASE o_orderkey % 4 WHEN 3 THEN 'go_unsupported_sql' ELSE '' END AS error FROM orders"""
 
-QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL), (go_facts, GO_SQL), (go_value_facts, GO_VALUES_SQL))}
+QUERIES = {f.__name__: (f, sql) for f, sql in ((ddl_tables, DDL_SQL), (openapi_facts, OPENAPI_SQL), (asyncapi_facts, ASYNCAPI_SQL), (sqlref_facts, SQLREF_SQL), (go_facts, GO_SQL), (go_value_facts, GO_VALUES_SQL), (go_table_edges, GO_TABLES_SQL))}
