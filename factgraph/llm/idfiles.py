@@ -1,6 +1,6 @@
 """Token-id files: an adaptive context-mixing range coder in independently reset, checksummed blocks.
 
-A file's header holds its prior: how often each id occurs (order 0), and each id's most frequent follower, found in a bounded part of the file. Ids are
+A file's header holds its prior: how often each id occurs (order 0), and each id's most frequent follower, both counted over the whole file. Ids are
 cut into blocks, and every block starts afresh from the prior. Within a block, tables of the last two ids (order 2) and of the last one (order 1, the
 follower until the block knows better) each predict an id, with a confidence. The prediction of the highest order is the candidate; whether it is the
 next id is one binary decision, whose probability a logistic mixer, adapting at every step, makes from what all three orders say of the candidate. Where
@@ -38,10 +38,9 @@ from factgraph.llm.bpe import SPACE, slices
 from factgraph.llm.common import new_shared_path, written
 
 MAGIC = b"IDCM2\n"
-#: Ids of a block, the most blocks that are coded side by side, and ids of a file whose followers make the prior.
+#: Ids of a block, and the most blocks that are coded side by side.
 BLOCK = 1024
 LANES = 6144
-FIT = 1 << 20
 #: Bits of the tables of the last id and of the last two, and of the prior's whole.
 BITS1, BITS2 = 7, 8
 WHOLE = 16
@@ -77,10 +76,10 @@ class Prior:
         upto = np.cumsum(counts[seen]) * ((1 << WHOLE) - len(seen)) // max(len(ids), 1)
         freq, follower = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int32)
         freq[seen] = np.diff(upto, prepend=0) + 1
-        step = BLOCK * max(1, -(-len(ids) // FIT))  # blocks at even distances
-        parts = [ids[a : a + BLOCK].astype(np.int64) for a in range(0, len(ids), step)]
-        pairs = np.concatenate([np.empty(0, np.int64), *(x[:-1] << 16 | x[1:] for x in parts)])
-        pairs, n = np.unique(pairs, return_counts=True)
+        wide = ids.astype(np.uint32)
+        pairs = np.sort(np.delete(wide[:-1] << np.uint32(16) | wide[1:], slice(BLOCK - 1, None, BLOCK)))  # no pair reaches over a block's end
+        edges = np.concatenate([np.zeros(min(len(pairs), 1), np.int64), np.nonzero(pairs[1:] != pairs[:-1])[0] + 1, np.full(min(len(pairs), 1), len(pairs))])
+        pairs, n = pairs[edges[:-1]].astype(np.int64), np.diff(edges)
         order = np.lexsort((n, pairs >> 16))
         last = order[np.nonzero(np.diff(pairs[order] >> 16, append=-1))[0]]
         follower[pairs[last] >> 16] = pairs[last] & 65535

@@ -25,6 +25,15 @@ def test_round_trip(kind):
     assert kind not in ("zeros", "repeating") or len(data) < 0.3 * 2 * len(ids)
 
 
+def test_prior_counts_the_whole_file():
+    rows = np.tile(np.array([1, 2], np.uint16), 1 << 20).reshape(-1, idfiles.BLOCK)
+    rows[1::2, 1::2] = 3  # in every second block 3 follows,
+    rows[::2, idfiles.BLOCK // 2 :] = 4  # and in the others 2 does half as often
+    assert idfiles.Prior.of(rows.ravel()).follower[1] == 3
+    for ids in ([], [1], [1, 2], [1, 2] * 600):
+        assert idfiles.Prior.of(np.array(ids, np.uint16)).follower.tolist() == {0: [0], 1: [0, 0], 2: [0, 2, 0]}.get(len(ids), [0, 2, 1])
+
+
 def test_damage_is_seen():
     data = bytearray(b"".join(idfiles.pack(np.array([1]), np.array([5000]), np.arange(5000, dtype=np.uint16))))
     for at in (3, 40, len(data) - 100):
