@@ -1,3 +1,4 @@
+import random
 import pytest
 
 from factgraph.sources import ddl, documents, golang, scan, sqlref
@@ -167,3 +168,17 @@ def test_bad_go(text):
 def test_generated_go():
     assert [r["kind"] for r in scan.extract("a.go", b"// Code generated by x. DO NOT EDIT.\npackage a\nfunc F() {}\n")] == [None, "generated_file"]
     assert len(scan.extract("a.go", b"package a\n// Code generated by x. DO NOT EDIT.\nfunc F() {}\n")) > 3
+
+
+def test_ascii_tokens_are_those_of_all_text():
+    bits = ["'", "''", '"', "`", "/*", "*/", "--", "\n", " ", "\x0b", "\x1c", "\\", "a", "Ab", "_x", "1", "1.2", "1.", ".", "?", "$1", ":two", "<=", "<>", "!", "!=", "(", ",", ";", "/*!", "*", "SELECT", "\x00"]
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choice(bits) for _ in range(draw.randrange(1, 9)))
+        at = 0
+        while at < len(text):
+            slow, fast = sqlref._TOKEN.match(text, at), sqlref._ASCII_TOKEN.match(text, at)
+            assert (slow and (slow.end(), slow.lastgroup)) == (fast and (fast.end(), fast.lastgroup)), text
+            if not slow:
+                break
+            at = slow.end()
