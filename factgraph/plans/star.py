@@ -10,6 +10,8 @@ from factgraph.operators.ownership import owned
 from factgraph.plans.model import DIAGNOSTICS, Ledger
 
 SERVICE, CUSTOMER, SUPPLIER, ORDER, PART = range(5)
+#: The types of relationships; a row that declares one carries its place here until it has been moved.
+TYPES = ("places", "contains_part", "supplied_by", "owns_asset")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,15 +62,18 @@ class Star:
         joined = self.nation.join(self.region, self.nation["n_regionkey"] == self.region["r_regionkey"])
         return joined.select(F.col("n_name").alias("name"), F.col("r_name").alias("owner"), text("nation/", F.col("n_nationkey")).alias("source_root"), F.lit("").alias("domain"), F.array().cast("array<string>").alias("tags"))
 
-    def declared(self, ids: list[int] | None = None) -> DataFrame:
-        """Each declaring row: (from_id, to_id, type, source_id, locator), repeats included; of the rows at the given assets only, by filters on raw columns, which the scan can use."""
-        line = text("L", F.col("l_linenumber"))
+    def _rows(self, ids: list[int] | None = None) -> DataFrame:
+        """Each declaring row as numbers: (from_id, to_id, code, n), code being the type's place in TYPES and n what its locator is made of."""
         if ids is None:
-            return _declared(self.orders, self.lineitem, self.lineitem, line)
+            return _declaring(self.orders, self.lineitem, self.lineitem)
         keys = {kind: [i // 8 for i in ids if i % 8 == kind] for kind in (CUSTOMER, SUPPLIER, ORDER, PART)}
         near = lambda df, a, a_kind, b, b_kind: df.filter(F.col(a).isin(keys[a_kind]) | F.col(b).isin(keys[b_kind]))
         orders = near(self.orders, "o_custkey", CUSTOMER, "o_orderkey", ORDER)
-        return _declared(orders, near(self.lineitem, "l_orderkey", ORDER, "l_partkey", PART), near(self.lineitem, "l_partkey", PART, "l_suppkey", SUPPLIER), line)
+        return _declaring(orders, near(self.lineitem, "l_orderkey", ORDER, "l_partkey", PART), near(self.lineitem, "l_partkey", PART, "l_suppkey", SUPPLIER))
+
+    def declared(self, ids: list[int] | None = None) -> DataFrame:
+        """Each declaring row: (from_id, to_id, type, source_id, locator), repeats included; of the rows at the given assets only, by filters on raw columns, which the scan can use."""
+        return self._rows(ids).select("from_id", "to_id", type_of().alias("type"), source_of().alias("source_id"), locator_of().alias("locator"))
 
     def ownership(self) -> DataFrame:
         """(name, asset_id) by path prefix."""
@@ -76,18 +81,20 @@ class Star:
 
     def relationships(self, ids: list[int] | None = None) -> DataFrame:
         services = self.nation.select(F.col("n_name").alias("name"), key("n_nationkey", SERVICE).alias("from_id"))
-        owns = self.ownership().filter("kind in ('customer', 'supplier')").join(services, "name").select("from_id", F.col("asset_id").alias("to_id"), F.lit("owns_asset").alias("type"), F.lit("source-derived").alias("origin"))
+        owns = self.ownership().filter("kind in ('customer', 'supplier')").join(services, "name").select("from_id", F.col("asset_id").alias("to_id"), F.lit(TYPES.index("owns_asset")).alias("code"))
         if ids is not None:
             owns = owns.filter(F.col("from_id").isin(ids) | F.col("to_id").isin(ids))
-        declared = self.declared(ids).select("from_id", "to_id", "type", F.lit("declared").alias("origin"))
-        return declared.unionByName(owns).dropDuplicates().select(relation_id().alias("id"), "from_id", "to_id", "type", "origin")
+        found = self._rows(ids).select("from_id", "to_id", "code").unionByName(owns).dropDuplicates()  # numbers alone are moved; what follows from them comes after
+        origin = F.when(F.col("code") == TYPES.index("owns_asset"), "source-derived").otherwise("declared")
+        return found.select("from_id", "to_id", type_of().alias("type"), origin.alias("origin")).select(relation_id().alias("id"), "from_id", "to_id", "type", "origin")
 
     def evidence(self, ids: list[int] | None = None, type_: str | None = None) -> DataFrame:
         """Of assets, their source; of declared relationships, each distinct place. Only relationships at the given assets or of a type, if either is given."""
         null = F.lit(None).cast("long")
         assets = self.assets().select("source_id", F.col("id").alias("asset_id"), null.alias("relationship_id"), F.lit("row").alias("locator"))
-        declared = self.declared(ids) if type_ is None else self.declared(ids).filter(F.col("type") == type_)
-        edges = declared.withColumn("origin", F.lit("declared")).select("source_id", null.alias("asset_id"), relation_id().alias("relationship_id"), "locator").dropDuplicates()
+        rows = self._rows(ids) if type_ is None else self._rows(ids).filter(F.col("code") == TYPES.index(type_))
+        rows = rows.dropDuplicates().withColumns({"type": type_of(), "origin": F.lit("declared")})
+        edges = rows.select(source_of().alias("source_id"), null.alias("asset_id"), relation_id().alias("relationship_id"), locator_of().alias("locator"))
         both = assets.unionByName(edges)
         return both.select(F.xxhash64("source_id", "asset_id", "relationship_id", "locator").alias("id"), *both.columns)
 
@@ -96,14 +103,28 @@ class Star:
         return Ledger(sources, self.assets(), self.relationships(), self.evidence(), self.configs(), self.spark.createDataFrame([], DIAGNOSTICS), sources.select("path", "sha256"), {"last_build_at": "star"}, self.relationships, self.evidence)
 
 
-def _declared(orders: DataFrame, contained: DataFrame, supplied: DataFrame, line: Column) -> DataFrame:
+def _declaring(orders: DataFrame, contained: DataFrame, supplied: DataFrame) -> DataFrame:
+    row = lambda df, type_, start, end, n: df.select(start.alias("from_id"), end.alias("to_id"), F.lit(TYPES.index(type_)).alias("code"), F.col(n).cast("long").alias("n"))
     return (
-        orders.select(key("o_custkey", CUSTOMER).alias("from_id"), key("o_orderkey", ORDER).alias("to_id"), F.lit("places").alias("type"), key("o_custkey", CUSTOMER).alias("source_id"), text("orders.", F.col("o_orderkey")).alias("locator"))
-        .unionByName(contained.select(key("l_orderkey", ORDER).alias("from_id"), key("l_partkey", PART).alias("to_id"), F.lit("contains_part").alias("type"), key("l_partkey", PART).alias("source_id"), line.alias("locator")))
-        .unionByName(supplied.select(key("l_partkey", PART).alias("from_id"), key("l_suppkey", SUPPLIER).alias("to_id"), F.lit("supplied_by").alias("type"), key("l_suppkey", SUPPLIER).alias("source_id"), line.alias("locator")))
+        row(orders, "places", key("o_custkey", CUSTOMER), key("o_orderkey", ORDER), "o_orderkey")
+        .unionByName(row(contained, "contains_part", key("l_orderkey", ORDER), key("l_partkey", PART), "l_linenumber"))
+        .unionByName(row(supplied, "supplied_by", key("l_partkey", PART), key("l_suppkey", SUPPLIER), "l_linenumber"))
     )
 
 
+def type_of() -> Column:
+    return F.when(F.col("code") == 0, TYPES[0]).when(F.col("code") == 1, TYPES[1]).when(F.col("code") == 2, TYPES[2]).otherwise(TYPES[3])
+
+
+def source_of() -> Column:
+    """A customer's file places its orders; a part's and a supplier's say where they are used."""
+    return F.when(F.col("code") == TYPES.index("places"), F.col("from_id")).otherwise(F.col("to_id"))
+
+
+def locator_of() -> Column:
+    return F.when(F.col("code") == TYPES.index("places"), text("orders.", F.col("n"))).otherwise(text("L", F.col("n")))
+
+
 def relation_id() -> Column:
     return F.xxhash64("from_id", "to_id", "type", "origin")
 
