@@ -232,8 +232,8 @@ def evidence_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def path_customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     star = Star(spark, sf_dir)
-    ids = star.relationships().filter("type <> 'owns_asset'")
-    ids = ids.withColumn("id", F.col("to_id"))  # ties go to the smaller end
+    # Repeats make no other path, so they are not looked for; ties go to the smaller end.
+    ids = star.declared().select(F.col("to_id").alias("id"), "from_id", "to_id", "type", F.lit("declared").alias("origin"))
     schema = "step long, from_id long, to_id long, type string, kind string, name string, evidence string"
     try:
         found = paths.shortest_path(ids, star.assets(), CUSTOMER_ASSET, SUPPLIER_ASSET)
