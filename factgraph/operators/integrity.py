@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factgraph.plans.materialize import written
 from factgraph.plans.model import Ledger
 
 
@@ -22,21 +23,30 @@ def orphaned_evidence(ledger: Ledger) -> DataFrame:
     return ledger.evidence.join(ledger.sources.select(F.col("id").alias("source_id")), "source_id", "left_anti")
 
 
-def foreign_key_violations(ledger: Ledger) -> DataFrame:
-    """(table, column, value): references that lead nowhere; null references lead nowhere by design."""
+REFERENCES = (
+    ("assets", "source_id", "sources"), ("relationships", "from_id", "assets"), ("relationships", "to_id", "assets"),
+    ("evidence", "source_id", "sources"), ("evidence", "asset_id", "assets"), ("evidence", "relationship_id", "relationships"),
+)
 
-    def check(name: str, df: DataFrame, column: str, to: DataFrame) -> DataFrame:
-        there = to.select(F.col("id").alias(column))
-        return df.filter(F.col(column).isNotNull()).join(there, column, "left_anti").select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.col(column).alias("value"))
 
-    return (
-        check("assets", ledger.assets, "source_id", ledger.sources)
-        .unionByName(check("relationships", ledger.relationships, "from_id", ledger.assets))
-        .unionByName(check("relationships", ledger.relationships, "to_id", ledger.assets))
-        .unionByName(check("evidence", ledger.evidence, "source_id", ledger.sources))
-        .unionByName(check("evidence", ledger.evidence, "asset_id", ledger.assets))
-        .unionByName(check("evidence", ledger.evidence, "relationship_id", ledger.relationships))
-    )
+def lost(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
+    """The different values of a column that lead nowhere, written: values are moved alone and once a task, and where few are lost the rows that hold them are not moved."""
+    values = df.select(column).filter(F.col(column).isNotNull()).distinct()
+    return written(values.join(to.select(F.col("id").alias(column)), column, "left_anti"), f"lost-{column}")
+
+
+def foreign_key_violations(ledger: Ledger, only: str | None = None) -> DataFrame:
+    """(table, column, value): references that lead nowhere, of all tables or of one; null references lead nowhere by design."""
+
+    def check(name: str, column: str, to: str) -> DataFrame:
+        df, there = getattr(ledger, name), getattr(ledger, to)
+        if name == "relationships":
+            found = df.join(lost(df, column, there), column, "left_semi")
+        else:
+            found = df.filter(F.col(column).isNotNull()).join(there.select(F.col("id").alias(column)), column, "left_anti")
+        return found.select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.col(column).alias("value"))
+
+    return reduce(DataFrame.unionByName, [check(*r) for r in REFERENCES if only in (None, r[0])])
 
 
 def one_target(ledger: Ledger) -> DataFrame:

@@ -371,7 +371,7 @@ def _violations(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ledger.evidence = star.evidence()
     ledger.relationships = star.relationships().filter("(from_id + to_id) % 83 <> 2")
     ends = star.relationships().select(F.col("id").alias("value"), F.lit("relationship_id").alias("column"), (F.col("from_id") * 1000003 + F.col("to_id")).alias("ends"))
-    found = integrity.foreign_key_violations(ledger).filter(F.col("table") == name)
+    found = integrity.foreign_key_violations(ledger, name)
     found = found.join(ends, ["value", "column"], "left") if name == "evidence" else found.withColumn("ends", F.lit(None).cast("long"))
     return found.groupBy("column", F.coalesce("ends", "value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
