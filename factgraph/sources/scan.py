@@ -24,6 +24,8 @@ CREDENTIALS = re.compile(r"^(\.|credentials\.|secrets\.|service-account\.|servic
 MOST_FILES = 10_000
 MOST_BYTES = 4 << 20
 MOST_GO_BYTES = 64 << 20
+#: Rows of facts that a task hands on together: what it holds does not grow with the files of a batch.
+FLUSH_ROWS = 5000
 
 FACTS = (
     "path string, ordinal int, fact string, kind string, name string, canonical string, attributes map<string,string>, locator string, "
@@ -165,7 +167,12 @@ def facts_of(contents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for path, content in zip(batch["path"], batch["content"], strict=True) for r in extract(path, bytes(content))]
+            rows: list[dict] = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                rows += extract(path, bytes(content))
+                if len(rows) >= FLUSH_ROWS:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows = []
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return contents.select("path", "content").mapInPandas(run, FACTS)
@@ -202,6 +209,9 @@ def facts(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
                     rows += extract(path, read(root, path))
                 except (ScanError, OSError) as e:
                     rows.append(dict.fromkeys(COLUMNS) | {"path": path, "ordinal": 0, "fact": "error", "name": str(e)})
+                if len(rows) >= FLUSH_ROWS:
+                    yield pd.DataFrame(rows, columns=COLUMNS)
+                    rows = []
             yield pd.DataFrame(rows, columns=COLUMNS)
 
     return spread(spark, paths).mapInPandas(run, FACTS)

@@ -182,3 +182,10 @@ def test_ascii_tokens_are_those_of_all_text():
             if not slow:
                 break
             at = slow.end()
+
+
+def test_facts_are_handed_on_in_parts(spark, monkeypatch):
+    files = spark.createDataFrame([(f"t{i}.sql", bytearray(f"CREATE TABLE a{i} (x int);", "ascii")) for i in range(5)], "path string, content binary")
+    whole = sorted(map(str, scan.facts_of(files).collect()))
+    monkeypatch.setattr(scan, "FLUSH_ROWS", 2)
+    assert sorted(map(str, scan.facts_of(files).collect())) == whole and len(whole) == 15
