@@ -70,3 +70,24 @@ def test_long_words_are_not_kept():
     mine = bpe.PairIndexBpe(public_tokenizers.path(FILES[0]))
     mine.encode_batch(["x" * 5000 + " short " + "y" * 300])
     assert [w for w in mine.known if len(w) > bpe.LONG] == [] and "short" in mine.known
+
+
+def test_words_of_a_full_table_are_not_merged_again(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 4)
+    mine = bpe.PairIndexBpe(public_tokenizers.path(FILES[0]))
+    merged, merge = [], mine.merge_all
+    monkeypatch.setattr(mine, "merge_all", lambda words: merged.extend(words) or merge(words))
+    texts = ["one two three four", "one five", "two one", "six seven eight", "one six"]
+    got = [mine.encode_batch([t])[0] for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == as_library(FILES[0], texts)[0]
+    assert sorted(merged) == sorted({w for t in texts for w in t.split()})
+    assert len(mine.known) <= 4 and len(mine.older) <= 4
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_near_texts_are_split_alike(name):
+    """The standard library's expressions cut as the others do, for each character that they may meet, beside letters, digits, blanks and signs."""
+    mine = bpe.PairIndexBpe(public_tokenizers.path(name))
+    for c in map(chr, range(0x558)):
+        text = f"a{c}b {c}1{c}2 {c}.{c}{c} '{c}\n {c}"
+        assert mine.near_words(text) == mine.words(text), hex(ord(c))
