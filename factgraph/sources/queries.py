@@ -24,7 +24,12 @@ def text(*parts: str | Column) -> Column:
 
 
 def contents(df: DataFrame, path: Column, content: Column) -> DataFrame:
-    return df.select(path.alias("path"), content.cast("binary").alias("content"))
+    """A file for each row. The rows of a small table lie in one part of it: they are dealt out before they grow to files, whose reading costs more than their move."""
+    return dealt(df).select(path.alias("path"), content.cast("binary").alias("content"))
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    return df.repartition(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def sql_references(texts: DataFrame) -> DataFrame:
@@ -41,8 +46,7 @@ def sql_references(texts: DataFrame) -> DataFrame:
                     rows.append((k, "", "", "", "", "go_unsupported_sql"))
             yield pd.DataFrame(rows, columns=["key", "schema", "table", "access", "operation", "error"])
 
-    spread = texts.select("key", "sql").repartition(2 * texts.sparkSession.sparkContext.defaultParallelism)  # a statement costs more than its move
-    return spread.mapInPandas(run, f"key long, {REFERENCE}")
+    return dealt(texts.select("key", "sql")).mapInPandas(run, f"key long, {REFERENCE}")
 
 
 def ddl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +115,7 @@ def go_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         '"\n\nfunc Serve(w web.ResponseWriter, r *web.Request) {}\n\nfunc Run(db *sql.DB, m *web.ServeMux) {\n\tm.HandleFunc("GET /s/', key,
         '", Serve)\n\tdb.Query(all)\n\tServe(nil, nil)\n\tlost.Exec("x")\n}\n',
     )
-    facts, tables = gocalls.resolved(scan.facts_of(contents(s, text("svc/", key, "/a.go"), content)))
+    facts, tables = gocalls.resolved(materialize.written(scan.facts_of(contents(s, text("svc/", key, "/a.go"), content)), "facts"))
     shown = lambda c: F.regexp_replace(F.col(c), "#[0-9]+$", "")
     a = facts.filter("fact = 'asset' and kind in ('route', 'query')").select("path", "fact", "kind", shown("canonical").alias("subject"), "name", "locator")
     e = facts.filter("fact = 'edge' and type <> 'contains'").select("path", "fact", F.col("type").alias("kind"), shown("from_canonical").alias("subject"), shown("to_canonical").alias("name"), "locator")
@@ -161,7 +165,7 @@ def go_value_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         given = "package p\n\nimport \"database/sql\"\n\n" + HEADS.get(k, "\n") + "func Run(db *sql.DB, s *S, given string, cond bool) {\n" + body.replace("LARGE", "x" * 65_537) + "}\n"
         text_of = F.replace(F.lit(given), F.lit("#"), key)
         content = F.when(F.col("s_suppkey") % 10 == k, text_of) if content is None else content.when(F.col("s_suppkey") % 10 == k, text_of)
-    facts, tables = gocalls.resolved(scan.facts_of(contents(s, text("svc/", key, "/a.go"), content)))
+    facts, tables = gocalls.resolved(materialize.written(scan.facts_of(contents(s, text("svc/", key, "/a.go"), content)), "facts"))
     a = facts.filter("fact in ('asset', 'support') and kind = 'query'").select("path", "fact", F.coalesce("name", F.lit("")).alias("name"), "locator")
     g = facts.filter("fact = 'gap'").select("path", "fact", F.col("kind").alias("name"), "locator")
     return a.unionByName(g).unionByName(tables.select("path", F.col("access").alias("fact"), F.col("table").alias("name"), "locator"))

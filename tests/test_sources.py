@@ -1,7 +1,7 @@
 import random
 import pytest
 
-from factgraph.sources import ddl, documents, golang, scan, sqlref
+from factgraph.sources import ddl, documents, golang, queries, scan, sqlref
 
 ACCEPTED = [
     ("SELECT id, name FROM items WHERE id = $1", "", "items", "read"),
@@ -189,3 +189,15 @@ def test_facts_are_handed_on_in_parts(spark, monkeypatch):
     whole = sorted(map(str, scan.facts_of(files).collect()))
     monkeypatch.setattr(scan, "FLUSH_ROWS", 2)
     assert sorted(map(str, scan.facts_of(files).collect())) == whole and len(whole) == 15
+
+
+@pytest.mark.parametrize("query", [queries.go_facts, queries.go_value_facts])
+def test_go_files_are_extracted_once_by_many_tasks(spark, monkeypatch, query):
+    files, given = [], []
+    extract = scan.facts_of
+    monkeypatch.setattr(scan, "facts_of", lambda contents: files.append(contents) or extract(contents))
+    monkeypatch.setattr(queries.gocalls, "resolved", lambda facts: given.append(facts) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        query(spark, "/root/testdata/sf0.01")
+    assert sum(n > 0 for n in files[0].rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) >= 4
+    assert "MapInPandas" not in given[0]._jdf.queryExecution().executedPlan().toString()
