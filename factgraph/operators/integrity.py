@@ -29,10 +29,19 @@ REFERENCES = (
 )
 
 
+#: References whose values repeat so often that few are left when they are told apart.
+REPEATED = {("relationships", "from_id"), ("relationships", "to_id"), ("evidence", "source_id")}
+
+
+def ids(to: DataFrame, column: str) -> DataFrame:
+    """The ids of a table, to be met by merging: read alone they look small enough to be sent to all, but each task would then hold those of the whole table."""
+    return to.select(F.col("id").alias(column)).hint("merge")
+
+
 def lost(df: DataFrame, column: str, to: DataFrame) -> DataFrame:
     """The different values of a column that lead nowhere, written: values are moved alone and once a task, and where few are lost the rows that hold them are not moved."""
     values = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    return written(values.join(to.select(F.col("id").alias(column)), column, "left_anti"), f"lost-{column}")
+    return written(values.join(ids(to, column), column, "left_anti"), f"lost-{column}")
 
 
 def foreign_key_violations(ledger: Ledger, only: str | None = None) -> DataFrame:
@@ -40,10 +49,10 @@ def foreign_key_violations(ledger: Ledger, only: str | None = None) -> DataFrame
 
     def check(name: str, column: str, to: str) -> DataFrame:
         df, there = getattr(ledger, name), getattr(ledger, to)
-        if name == "relationships":
+        if (name, column) in REPEATED:
             found = df.join(lost(df, column, there), column, "left_semi")
         else:
-            found = df.filter(F.col(column).isNotNull()).join(there.select(F.col("id").alias(column)), column, "left_anti")
+            found = df.filter(F.col(column).isNotNull()).join(ids(there, column), column, "left_anti")
         return found.select(F.lit(name).alias("table"), F.lit(column).alias("column"), F.col(column).alias("value"))
 
     return reduce(DataFrame.unionByName, [check(*r) for r in REFERENCES if only in (None, r[0])])

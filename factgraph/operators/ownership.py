@@ -21,7 +21,8 @@ def owned(assets: DataFrame, sources: DataFrame, configs: DataFrame) -> DataFram
     """(name, owner, asset_id, kind): each service with every other asset under its root; overlapping roots give an asset several owners."""
     at = sources.select(F.col("id").alias("source_id"), F.explode(ancestors(F.col("path"))).alias("source_root"))
     roots = at.join(configs.select("name", "owner", "source_root"), "source_root")
-    return assets.filter("kind <> 'service'").select("id", "kind", "source_id").join(roots, "source_id").select("name", "owner", F.col("id").alias("asset_id"), "kind")
+    of = assets.filter("kind <> 'service'").select("id", "kind", "source_id").hint("merge")  # both sides grow with the ledger: neither is sent to all tasks
+    return of.join(roots, "source_id").select("name", "owner", F.col("id").alias("asset_id"), "kind")
 
 
 def unique_service(paths: DataFrame, configs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 from factgraph import registry
+from factgraph.operators import integrity
 from factgraph.plans.star import Star
 
 DATA = "/root/testdata/sf0.001"
@@ -27,3 +28,12 @@ def test_foreign_keys(spark):
     for name, expected in want.items():
         got = {(r["column"], r["value"]): r.n for r in registry.queries()[name](spark, DATA).collect()}
         assert got == expected and got
+
+
+def test_tables_that_grow_are_met_by_merging(spark):
+    """Assets meet their sources in the star's relationships, and references the ids that they lead to, however small the tables are."""
+    star = Star(spark, DATA)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [source_id" in plan(star.relationships())
+    ledger = star.ledger()
+    assert "SortMergeJoin [relationship_id" in plan(integrity.foreign_key_violations(ledger, "evidence"))
